@@ -200,5 +200,6 @@ def _joined(spans):
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "base_spans", "spans")
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
