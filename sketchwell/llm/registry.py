@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import pii, quality
 
 
 def queries() -> dict:
-    return {"op6_pii": pii.op6_pii}
+    return {"op3_quality": quality.op3_quality, "op6_pii": pii.op6_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality": quality.ORACLE_SQL}
