@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import pii, quality
+from . import packing, pii, quality
 
 
 def queries() -> dict:
-    return {"op3_quality": quality.op3_quality, "op6_pii": pii.op6_pii}
+    return {"op3_quality": quality.op3_quality, "op6_pii": pii.op6_pii, "op10_packing": packing.op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
