@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality
+from . import packing, pii, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op3_quality": quality.op3_quality, "op6_pii": pii.op6_pii, "op10_packing": packing.op10_packing}
+    return {
+        "op3_quality": quality.op3_quality,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op6_pii": pii.op6_pii,
+        "op10_packing": packing.op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
