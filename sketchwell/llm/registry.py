@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, toxicity
+from . import langid, packing, pii, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_langid": langid.op1_langid,
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_pii": pii.op6_pii,
