@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, packing, pii, quality, toxicity
+from . import langid, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_pii": pii.op6_pii,
+        "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
     }
 
