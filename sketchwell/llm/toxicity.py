@@ -14,12 +14,14 @@ share of label 1 (0 without labels). Labels of several rows of one document all
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, ascii_lower, checkpointed, documents, remainder
+from .common import append_columns, checkpointed, documents, remainder
 
 #: The classifier is fitted on about so many labelled rows, taken by a hash of the id ...
 LABELLED = 20_000
@@ -66,7 +68,7 @@ class Distance:
 
     def features(self, text: str | None) -> list[float]:
         """The largest distance, the sum of the three largest, and the mean over all windows."""
-        words = (text or "").encode().lower().split()
+        words = _words(text or "")
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         cache, found = self.cache, []
@@ -95,23 +97,45 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 
 def toxic_words(sample: DataFrame) -> list[bytes]:
     """The words that set label 1 apart, the most telling last; sample has doc_id, text and toxic."""
-    words = F.filter(F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = sample.select("doc_id", "toxic", words.alias("w"))
-    pairs = rows.select("doc_id", "toxic", F.explode(F.array_distinct(F.arrays_zip(F.col("w").alias("w"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("p")))).alias("x"))
-    per_text = pairs.groupBy("doc_id", "toxic", F.col("x.w").alias("w")).agg(F.collect_set("x.p").alias("p"))
+    import pandas as pd
+
+    def counted(batches):
+        for pdf in batches:
+            found: tuple[Counter, Counter] = Counter(), Counter()
+            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+                found[int(toxic)].update(set(_words(text)))
+            words = list(found[0] | found[1])
+            yield pd.DataFrame({"w": words, "a": [found[1][w] for w in words], "b": [found[0][w] for w in words]})
+
     counts = sample.agg(F.sum(F.col("toxic")).alias("a"), F.count(F.lit(1)).alias("n")).first()
     n_toxic, n_other = int(counts["a"] or 0), int(counts["n"]) - int(counts["a"] or 0)
     if not n_toxic or not n_other:
         return []
-    toxic = F.col("toxic") == 1
-    by_word = per_text.groupBy("w").agg(F.sum(toxic.cast("long")).alias("a"), F.sum((~toxic).cast("long")).alias("b"))
+    texts = sample.select("text", "toxic").where(F.col("text").isNotNull())
+    by_word = texts.mapInPandas(counted, "w binary, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share = (F.col("a") + F.col("b")) / (n_toxic + n_other)
     errors = (F.col("a") / n_toxic - share) / F.sqrt(share * (1 - share) / n_toxic + 1e-12)
-    telling = by_word.where((F.col("a") >= MIN_TEXTS) & (errors > MIN_ERRORS) & (F.col("a") / n_toxic > MIN_TIMES * (F.col("b") + 0.5) / n_other)).withColumn("errors", errors)
-    telling = telling.orderBy(F.desc("errors"), "w").limit(4 * MAX_WORDS)  # a top-k report of the words, not of the rows
-    contexts = per_text.where(toxic).join(F.broadcast(telling.select("w")), "w", "left_semi").select("w", F.explode("p").alias("p")).groupBy("w").agg(F.countDistinct("p").alias("contexts"))
-    kept = telling.join(contexts, "w").where(F.col("contexts") >= MIN_CONTEXTS * F.col("a")).orderBy(F.desc("errors"), "w").limit(MAX_WORDS)
-    return [r["w"].strip(".,;:!?|").encode() for r in kept.select("w").collect() if r["w"].strip(".,;:!?|")][::-1]
+    telling = by_word.where((F.col("a") >= MIN_TEXTS) & (errors > MIN_ERRORS) & (F.col("a") / n_toxic > MIN_TIMES * (F.col("b") + 0.5) / n_other))
+    rows = telling.select("w", "a", errors.alias("errors")).orderBy(F.desc("errors"), "w").limit(4 * MAX_WORDS).collect()  # the top words, not rows
+    asked = {bytes(r["w"]): (r["errors"], r["a"]) for r in rows}
+    if not asked:
+        return []
+
+    def before(batches):
+        for pdf in batches:
+            found = set()
+            for text in pdf["text"]:
+                words = _words(text)
+                found.update((w, p) for w, p in zip(words, [b"", *words], strict=False) if w in asked)
+            yield pd.DataFrame(list(found), columns=["w", "p"])
+
+    contexts = texts.where("toxic = 1").mapInPandas(before, "w binary, p binary").groupBy("w").agg(F.countDistinct("p").alias("n")).collect()
+    kept = sorted((asked[bytes(r["w"])][0], bytes(r["w"])) for r in contexts if r["n"] >= MIN_CONTEXTS * asked[bytes(r["w"])][1])
+    return [w for _, x in kept[-MAX_WORDS:] if len(w := x.strip(b".,;:!?|")) >= GRAM]
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode().lower().split()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes, list[bytes], np.ndarray, float]:
