@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, packing, pii, quality, simhash, toxicity
+from . import langid, licenses, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_pii": pii.op6_pii,
+        "op8_licenses": licenses.op8_licenses,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.ORACLE_SQL}
+    return {"op3_quality": quality.ORACLE_SQL, "op8_licenses": licenses.ORACLE_SQL}
