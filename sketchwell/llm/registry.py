@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, packing, pii, quality, simhash, toxicity
+from . import fingerprints, langid, licenses, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
+        "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_pii": pii.op6_pii,
