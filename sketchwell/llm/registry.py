@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, licenses, packing, pii, quality, simhash, toxicity
+from . import fingerprints, langid, licenses, lm, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_pii": pii.op6_pii,
+        "op7_lm": lm.op7_lm,
         "op8_licenses": licenses.op8_licenses,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
