@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, licenses, lm, packing, pii, quality, simhash, toxicity
+from . import fingerprints, langid, licenses, lm, packing, pieces, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_pii": pii.op6_pii,
         "op7_lm": lm.op7_lm,
         "op8_licenses": licenses.op8_licenses,
