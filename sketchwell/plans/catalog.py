@@ -1,11 +1,528 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL.
+
+Names that end in _ok give a group's count and whether an estimate met its bound: their SQL states
+the count and the expected verdict, it does not repeat the estimate. Metrics are whole numbers
+(quantities, cents), so that power sums are exact and the same in any order.
+"""
 
 from __future__ import annotations
 
+from math import comb
+
+from pyspark.sql import functions as F
+
+from ..functions import moments as M
+from ..operators import evaluation as E
+from ..operators import quantiles as Q
+from ..operators import states as A
+from ..operators import summaries as Y
+from ..operators import thresholds as H
+from ..sources import synthetic
+from ..sources.readers import table
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+CENTS = F.round(F.col("value") * 100)
+CENTS_SQL = "round(value * 100)"
+QTY = F.col("l_quantity")
+
+
+def _power_sql(x: str, i: int) -> str:
+    return "sum(" + "*".join([f"({x})"] * i) + ")"
+
+
+def _state_sql(x: str, order: int) -> str:
+    return ", ".join([f"count({x}) AS n", f"min({x}) AS mn", f"max({x}) AS mx", *[f"{_power_sql(x, i)} AS p{i}" for i in range(1, order + 1)]])
+
+
+_MERGE_SQL = lambda order: ", ".join(["sum(n)::BIGINT AS n", "min(mn) AS mn", "max(mx) AS mx", *[f"sum(p{i}) AS p{i}" for i in range(1, order + 1)]])
+
+
+def _lineitem(spark, sf):
+    return table(spark, sf, "lineitem")
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events").withColumn("cents", CENTS)
+
+
+@query(f"SELECT l_returnflag, {_state_sql('l_quantity', 5)} FROM lineitem GROUP BY l_returnflag")
+def moment_state_by_flag(spark, sf):
+    return A.build(_lineitem(spark, sf), ["l_returnflag"], QTY, 5)
+
+
+@query(f"SELECT event_type, {_state_sql(CENTS_SQL, 3)}, count(*) FILTER ({CENTS_SQL} > 0) AS ln_n, round(sum(ln({CENTS_SQL})) FILTER ({CENTS_SQL} > 0) / count(*), 6) AS l1_mean FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def log_moment_state_by_event(spark, sf):
+    found = A.build(_events(spark, sf), ["event_type"], F.col("cents"), 3, logs=True)
+    return found.select("event_type", "n", "mn", "mx", "p1", "p2", "p3", "ln_n", F.round(F.col("l1") / F.col("n"), 6).alias("l1_mean"))
+
+
+@query("""SELECT c_mktsegment, count(*) AS n, count(*) FILTER (c_acctbal > 0) AS ln_n, min(c_acctbal) AS mn, max(c_acctbal) AS mx FROM customer GROUP BY c_mktsegment""")
+def signed_log_state(spark, sf):
+    return A.build(table(spark, sf, "customer"), ["c_mktsegment"], F.col("c_acctbal"), 2, logs=True).select("c_mktsegment", "n", "ln_n", "mn", "mx")
+
+
+_CELLS_SQL = f"SELECT event_id // 200 AS cell_id, {_state_sql(CENTS_SQL, 3)} FROM events WHERE value IS NOT NULL GROUP BY event_id // 200"
+
+
+@query(f"SELECT count(*) AS cells, {_MERGE_SQL(3)} FROM ({_CELLS_SQL})")
+def cell_state_merge(spark, sf):
+    cells = A.build(A.cells(_events(spark, sf), "event_id", 200), ["cell_id"], F.col("cents"), 3)
+    return cells.agg(F.count(F.lit(1)).alias("cells"), *M.merging(cells.columns))
+
+
+@query(f"SELECT {_MERGE_SQL(3)} FROM ({_CELLS_SQL}) WHERE cell_id < (SELECT floor(0.1 * (max(event_id // 200) + 1)) FROM events)")
+def cell_fraction_merge(spark, sf):
+    rows = A.first_cells(A.cells(_events(spark, sf), "event_id", 200), 0.1)
+    return A.merge(A.build(rows, ["cell_id"], F.col("cents"), 3), [])
+
+
+_FLAGS = ["l_returnflag", "l_linestatus"]
+
+
+@query(f"SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level, {_state_sql('l_quantity', 4)} FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_state(spark, sf):
+    return A.cube(A.build(_lineitem(spark, sf), _FLAGS, QTY, 4), _FLAGS)
+
+
+@query(f"SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level, {_state_sql('l_quantity', 4)} FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_state(spark, sf):
+    return A.rollup(A.build(_lineitem(spark, sf), _FLAGS, QTY, 4), _FLAGS)
+
+
+_PANES_SQL = f"SELECT time_bucket(INTERVAL '1 hour', ts) AS pane, event_type, {_state_sql(CENTS_SQL, 3)} FROM events WHERE value IS NOT NULL GROUP BY ALL"
+
+
+@query(f"SELECT epoch_us(pane) AS pane, event_type, n, mn, mx, p1, p2, p3 FROM ({_PANES_SQL})")
+def tumbling_state(spark, sf):
+    return A.panes(_events(spark, sf), "ts", "1 hour", ["event_type"], F.col("cents"), 3).withColumn("pane", F.unix_micros("pane"))
+
+
+_FRAME = "OVER (PARTITION BY event_type ORDER BY pane ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
+
+
+@query(f"SELECT epoch_us(pane) AS pane, event_type, CAST(sum(n) {_FRAME} AS BIGINT) AS n, min(mn) {_FRAME} AS mn, max(mx) {_FRAME} AS mx, sum(p1) {_FRAME} AS p1, sum(p2) {_FRAME} AS p2, sum(p3) {_FRAME} AS p3 FROM ({_PANES_SQL})")
+def sliding_state(spark, sf):
+    paned = A.panes(_events(spark, sf), "ts", "1 hour", ["event_type"], F.col("cents"), 3)
+    return A.slide(paned, ["event_type"], 6).withColumn("pane", F.unix_micros("pane"))
+
+
+def _shift_sql(m: int, center: str, half: str) -> str:
+    sums = ["n", *[f"p{i}" for i in range(1, 9)]]
+    terms = " + ".join(f"{comb(m, j)} * " + ("*".join([f"(-({center}))"] * (m - j)) + " * " if m - j else "") + sums[j] for j in range(m + 1))
+    return f"({terms}) / n" + (" / (" + "*".join([f"({half})"] * m) + ")" if m and half else "")
+
+
+_C, _R = "(mx + mn) / 2", "(mx - mn) / 2"
+_STATE5 = f"(SELECT l_returnflag, {_state_sql('l_quantity', 5)} FROM lineitem GROUP BY l_returnflag)"
+
+
+@query("SELECT l_returnflag, " + ", ".join(f"round({_shift_sql(m, _C, _R)}, 6) AS m{m}" for m in range(6)) + f" FROM {_STATE5}")
+def scaled_moments(spark, sf):
+    found = A.build(_lineitem(spark, sf), ["l_returnflag"], QTY, 5)
+    return found.select("l_returnflag", *[F.round(c, 6).alias(f"m{i}") for i, c in enumerate(M.scaled_moments(5))])
+
+
+@query("SELECT l_returnflag, " + ", ".join("round(" + " + ".join(f"{c} * ({_shift_sql(j, _C, _R)})" for j, c in enumerate(row) if c) + f", 6) AS t{i}" for i, row in enumerate(M.chebyshev_coefficients(5))) + f" FROM {_STATE5}")
+def cheby_moments(spark, sf):
+    found = A.build(_lineitem(spark, sf), ["l_returnflag"], QTY, 5)
+    return found.select("l_returnflag", *[F.round(c, 6).alias(f"t{i}") for i, c in enumerate(M.chebyshev_moments(5))])
+
+
+def _inversion_sql(p: float, order: int) -> str:
+    u = [_shift_sql(m, "mn", "mx - mn") for m in range(order + 1)]
+    mass = ["(" + " + ".join(f"{(-1) ** (j - k) * comb(order, j) * comb(j, k)} * ({u[j]})" for j in range(k, order + 1)) + ")" for k in range(order + 1)]
+    cases = " ".join(f"WHEN {' + '.join(mass[: k + 1])} >= {p} THEN {k}" for k in range(order + 1))
+    return f"round((CASE {cases} ELSE {order} END) / {float(order)} * (mx - mn) + mn, 6)"
+
+
+@query("SELECT l_returnflag, " + ", ".join(f"{_inversion_sql(p, 5)} AS q{round(100 * p)}" for p in (0.12, 0.48, 0.87)) + f" FROM {_STATE5}")
+def mnat_quantiles(spark, sf):
+    found = A.build(_lineitem(spark, sf), ["l_returnflag"], QTY, 5)
+    return found.select("l_returnflag", *[F.round(M.inversion_quantile(p, 5), 6).alias(f"q{round(100 * p)}") for p in (0.12, 0.48, 0.87)])
+
+
+def _markov_sql(t: float, order: int) -> str:
+    upper = [f"(({_shift_sql(i, 'mn', '')}) / (" + "*".join([f"({t} - mn)"] * i) + "))" for i in range(1, order + 1)]
+    lower = [f"(1 - {(-1) ** i} * ({_shift_sql(i, 'mx', '')}) / (" + "*".join([f"(mx - {t})"] * i) + "))" for i in range(1, order + 1)]
+    return f"round(greatest(0.0, {', '.join(lower)}), 6) AS lo, round(least(1.0, {', '.join(upper)}), 6) AS hi"
+
+
+@query(f"SELECT l_returnflag, {_markov_sql(40.0, 5)} FROM {_STATE5}")
+def markov_bounds(spark, sf):
+    lo, hi = M.markov_bounds(F.lit(40.0), 5)
+    return A.build(_lineitem(spark, sf), ["l_returnflag"], QTY, 5).select("l_returnflag", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+@query("SELECT o_custkey, count(*) AS n, CASE WHEN 300000 < min(o_totalprice) THEN true WHEN 300000 >= max(o_totalprice) THEN false END AS above FROM orders GROUP BY o_custkey")
+def range_threshold(spark, sf):
+    found = A.build(table(spark, sf, "orders"), ["o_custkey"], F.col("o_totalprice"), 1)
+    return found.select("o_custkey", "n", H.by_range(F.lit(300000.0), F.lit(0.5)).alias("above"))
+
+
+@query("SELECT l_returnflag, floor((53 * log10(2) - 2.58) / (log10(6) + log10(abs((max(l_quantity) + min(l_quantity)) / (max(l_quantity) - min(l_quantity))) + 1)))::BIGINT AS k FROM lineitem GROUP BY l_returnflag")
+def order_guard(spark, sf):
+    found = A.build(_lineitem(spark, sf), ["l_returnflag"], QTY, 1)
+    return found.select("l_returnflag", M.usable_order((F.col("mx") + F.col("mn")) / (F.col("mx") - F.col("mn"))).alias("k"))
+
+
+@query("SELECT o_orderstatus, quantile_disc(o_totalprice, 0.01) AS q_0, quantile_disc(o_totalprice, 0.5) AS q_1, quantile_disc(o_totalprice, 0.99) AS q_2 FROM orders GROUP BY o_orderstatus")
+def exact_quantiles(spark, sf):
+    return Q.exact(table(spark, sf, "orders"), ["o_orderstatus"], "o_totalprice", (0.01, 0.5, 0.99))
+
+
+@query("SELECT o_orderstatus, round(median(o_totalprice), 4) AS median FROM orders GROUP BY o_orderstatus")
+def median_select(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.round(F.median("o_totalprice"), 4).alias("median"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity, l_orderkey, l_linenumber")
+def full_sort(spark, sf):
+    return _lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity").orderBy("l_quantity", "l_orderkey", "l_linenumber")
+
+
+def _verdict(df, keys, x, estimates, bound):
+    """(keys, n, ok): whether every quantile's rank error is within the bound."""
+    errors = Q.rank_errors(df, keys, x, estimates)
+    return errors.groupBy(*keys).agg(F.max("n").alias("n"), (F.max("rank_error") <= bound).alias("ok"))
+
+
+def _ok_sql(keys: str, relation: str) -> str:
+    return f"SELECT {keys}, count(*) AS n, true AS ok FROM {relation} GROUP BY {keys}"
+
+
+_PS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query()
+def maxent_quantiles(spark, sf):
+    solved = Q.error_bounds(Q.quantiles(A.build(_lineitem(spark, sf), ["l_returnflag"], F.col("l_extendedprice"), 10, logs=True), _PS), _PS)
+    return solved.select("l_returnflag", "n", "qs", "errors", "converged")
+
+
+@query(_ok_sql("l_returnflag", "lineitem"))
+def maxent_quantiles_ok(spark, sf):
+    df = _lineitem(spark, sf)
+    solved = Q.quantiles(A.build(df, ["l_returnflag"], F.col("l_extendedprice"), 10), _PS, "maxent_plain")
+    return _verdict(df, ["l_returnflag"], "l_extendedprice", Q.exploded(solved, ["l_returnflag"], _PS), 0.02)
+
+
+@query(_ok_sql("event_type", "events"))
+def maxent_log_quantiles_ok(spark, sf):
+    df = table(spark, sf, "events")
+    solved = Q.quantiles(A.build(df, ["event_type"], F.col("value"), 10, logs=True), _PS)
+    return _verdict(df, ["event_type"], "value", Q.exploded(solved, ["event_type"], _PS), 0.02)
+
+
+@query(_ok_sql("l_returnflag", "lineitem"))
+def error_bounds_hold(spark, sf):
+    """Whether every estimate's true rank error is within its own worst-case bound."""
+    df = _lineitem(spark, sf)
+    solved = Q.error_bounds(Q.quantiles(A.build(df, ["l_returnflag"], F.col("l_extendedprice"), 8), _PS), _PS)
+    bounds = solved.select("l_returnflag", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in _PS]).alias("p"), F.col("errors").alias("e"))).alias("x")).select(F.col("l_returnflag").alias("_k"), F.col("x.p").alias("_p"), F.col("x.e").alias("bound"))
+    errors = Q.rank_errors(df, ["l_returnflag"], "l_extendedprice", Q.exploded(solved, ["l_returnflag"], _PS))
+    joined = errors.join(F.broadcast(bounds), (F.col("l_returnflag") == F.col("_k")) & (F.col("p") == F.col("_p")))
+    return joined.groupBy("l_returnflag").agg(F.max("n").alias("n"), F.bool_and(F.col("rank_error") <= F.col("bound") + 1e-6).alias("ok"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, true AS contained FROM lineitem GROUP BY l_returnflag")
+def bound_containment(spark, sf):
+    """Whether the true share above a price is inside its moment bounds."""
+    df, t = _lineitem(spark, sf), 50_000.0
+    bounds = H.tail_bounds(A.build(df, ["l_returnflag"], F.col("l_extendedprice"), 8, logs=True), t).select("l_returnflag", "lo", "hi")
+    true = df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_extendedprice") > t).cast("double")).alias("share"))
+    return true.join(F.broadcast(bounds), "l_returnflag").select("l_returnflag", "n", ((F.col("lo") <= F.col("share") + 1e-9) & (F.col("share") <= F.col("hi") + 1e-9)).alias("contained"))
+
+
+def _cascade(spark, sf):
+    states = A.build(_lineitem(spark, sf), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), 8, logs=True)
+    cuts = F.explode(F.array(*[F.lit(float(t)) for t in (500, 20_000, 60_000, 100_000, 200_000)]))
+    return H.cascade(states.withColumn("t", cuts), "t", 0.3)
+
+
+@query("""SELECT l_returnflag, l_linestatus, t, avg(CAST(l_extendedprice > t AS INT)) > 0.3 AS above
+FROM lineitem, (SELECT unnest([500.0, 20000.0, 60000.0, 100000.0, 200000.0])::DOUBLE AS t) GROUP BY ALL""")
+def cascade_groups(spark, sf):
+    return _cascade(spark, sf).select("l_returnflag", "l_linestatus", "t", "above")
+
+
+@query()
+def cascade_stages(spark, sf):
+    return H.stage_counts(_cascade(spark, sf))
+
+
+@query("""WITH g AS (SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n, avg(CAST(l_quantity > 45 AS INT)) AS share FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus))
+SELECT l_returnflag, l_linestatus, level, n FROM g WHERE n >= 0.02 * (SELECT count(*) FROM lineitem) AND share > 0.05""")
+def cube_search(spark, sf):
+    """Groups of the cube with enough support whose share of large quantities exceeds a rate."""
+    states = A.cube(A.build(_lineitem(spark, sf), _FLAGS, QTY, 8, logs=True), _FLAGS)
+    total = states.where(F.col("level") == 3).select(F.col("n").alias("_all"))
+    large = states.crossJoin(F.broadcast(total)).where(F.col("n") >= 0.02 * F.col("_all")).drop("_all")
+    return H.cascade(large.withColumn("t", F.lit(45.0)), "t", 0.05).where("above").select(*_FLAGS, "level", "n")
+
+
+@query()
+def sliding_threshold(spark, sf):
+    """Panes' sliding windows in which over a tenth of the values exceed a bound, with the deciding stage."""
+    paned = A.panes(table(spark, sf, "events"), "ts", "1 hour", ["event_type"], F.col("value"), 6, logs=True)
+    windows = A.slide(paned, ["event_type"], 6).where("n >= 20")
+    return H.cascade(windows.withColumn("t", F.lit(60.0)), "t", 0.1).select("pane", "event_type", "n", "above", "stage")
+
+
+_HIST_SQL = """WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
+g AS (SELECT power(2.0, ceil(log2((hi - lo) / 31))) AS width, lo FROM e), o AS (SELECT width, floor(lo / width) * width AS origin FROM g),
+h AS (SELECT width, origin, least(31, floor((p_retailprice - origin) / width))::INT AS bin, count(*) AS n FROM part, o GROUP BY ALL)"""
+
+
+@query(f"{_HIST_SQL} SELECT width, origin, bin, n FROM h")
+def pow2_histogram(spark, sf):
+    return Y.grid_histogram(table(spark, sf, "part"), [], "p_retailprice", 32)
+
+
+@query(f"{_HIST_SQL}, c AS (SELECT *, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM h) SELECT round(min_by((bin + (0.5 * total - (upto - n)) / n) * width + origin, bin), 6) AS q FROM c WHERE upto >= 0.5 * total")
+def pow2_hist_quantile(spark, sf):
+    return Y.histogram_quantile(Y.grid_histogram(table(spark, sf, "part"), [], "p_retailprice", 32), [], 0.5).select(F.round("q", 6).alias("q"))
+
+
+@query(f"{_HIST_SQL} SELECT width, bin, sum(n)::BIGINT AS n FROM h GROUP BY ALL")
+def pow2_histogram_merge(spark, sf):
+    """Histograms of order sizes' halves, merged; the same as one of all."""
+    whole = Y.grid_histogram(table(spark, sf, "part"), [], "p_retailprice", 32)
+    halves = whole.withColumn("half", F.col("bin") % 2)
+    merged = Y.merge_histograms(halves, [])
+    first = whole.agg(F.max("origin").alias("_o"))
+    moved = merged.crossJoin(F.broadcast(first))
+    return moved.select("width", (F.col("bin") + F.round((F.col("origin") - F.col("_o")) / F.col("width")).cast("int")).alias("bin"), "n")
+
+
+def _summary_ok(name: str, size: float, bound: float):
+    @query(_ok_sql("l_returnflag", "lineitem"))
+    def run(spark, sf):
+        df = _lineitem(spark, sf).withColumn("_id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"))
+        solved = Y.load(name, size).quantiles(df, ["l_returnflag"], "l_extendedprice", _PS)
+        return _verdict(df, ["l_returnflag"], "l_extendedprice", Q.exploded(solved, ["l_returnflag"], _PS), bound)
+
+    _QUERIES.pop("run")
+    sql = _SQL.pop("run")
+    key = f"{name}_ok"
+    _QUERIES[key], _SQL[key] = run, sql
+
+
+for _name, _size, _bound in [("gk", 200, 0.01), ("gk_adaptive", 200, 0.01), ("kll", 400, 0.02), ("random", 400, 0.02), ("tdigest", 200, 0.01), ("reservoir", 1500, 0.06), ("streaming_histogram", 100, 0.02), ("grid_histogram", 100, 0.03), ("moments", 11, 0.02), ("log_moments", 11, 0.02), ("hybrid_moments", 11, 0.02)]:
+    _summary_ok(_name, _size, _bound)
+
+
+@query("SELECT count(*) AS n, true AS ok FROM orders")
+def rank_error_of_builtin(spark, sf):
+    df = table(spark, sf, "orders")
+    solved = Y.gk_quantiles(df, [], "o_totalprice", _PS, 1000)
+    errors = Q.rank_errors(df, [], "o_totalprice", Q.exploded(solved, [], _PS))
+    return errors.agg(F.max("n").alias("n"), (F.max("rank_error") <= 0.002).alias("ok"))
+
+
+@query("SELECT count(*) AS n, true AS ok FROM events")
+def kll_merge_rank_ok(spark, sf):
+    """Whether the rank of 10 in merged cell sketches is within 0.02 of the true one."""
+    df = table(spark, sf, "events")
+    merged = Y.merge_kll(Y.kll(df, ["event_type"], "value", 400), [])
+    rank = Y.kll_rank(merged, [], 10.0)
+    true = df.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") <= 10).cast("double")).alias("share"))
+    return true.crossJoin(F.broadcast(rank)).select("n", (F.abs(F.col("share") - F.col("rank")) <= 0.02).alias("ok"))
+
+
+@query("""WITH v AS (SELECT l_quantity AS x, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'A') AS b FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1),
+c AS (SELECT sum(a) OVER (ORDER BY x) / (SELECT sum(a) FROM v) AS fa, sum(b) OVER (ORDER BY x) / (SELECT sum(b) FROM v) AS fb FROM v) SELECT round(max(abs(fa - fb)), 9) AS distance FROM c""")
+def ks_distance(spark, sf):
+    rows = _lineitem(spark, sf).where(F.col("l_returnflag").isin("R", "A")).withColumn("side", F.col("l_returnflag") == "R")
+    return Y.ks_distance(rows, "side", "l_quantity").select(F.round("distance", 9).alias("distance"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, true AS ok FROM lineitem GROUP BY l_returnflag")
+def subset_sum_ok(spark, sf):
+    """Whether the number of lines above a quantity is inside its sample's interval, widened by half."""
+    df = _lineitem(spark, sf).withColumn("_id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"))
+    sample = Y.reservoir(df, ["l_returnflag"], "_id", "l_quantity", 1000)
+    total = df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    found = Y.subset_sum(sample, ["l_returnflag"], total, F.col("x") > 25)
+    true = df.groupBy("l_returnflag").agg(F.sum((QTY > 25).cast("long")).alias("true"))
+    slack = (F.col("hi") - F.col("lo")) / 4
+    return found.join(true, "l_returnflag").select("l_returnflag", "n", ((F.col("lo") - slack <= F.col("true")) & (F.col("true") <= F.col("hi") + slack)).alias("ok"))
+
+
+@query("SELECT width_bucket_ AS bucket, count(*) AS n, round(count(*) / (SELECT count(*) FROM lineitem), 9) AS share FROM (SELECT CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 25 THEN 1 WHEN l_quantity < 40 THEN 2 ELSE 3 END AS width_bucket_ FROM lineitem) GROUP BY 1")
+def exact_pmf(spark, sf):
+    df = _lineitem(spark, sf)
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    bucket = F.when(QTY < 10, 0).when(QTY < 25, 1).when(QTY < 40, 2).otherwise(3)
+    return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("bucket", "n", F.round(F.col("n") / F.col("_n"), 9).alias("share"))
+
+
+@query("SELECT id, (id % 30) / 29.0 AS x FROM (SELECT unnest(range(0, 5000)) AS id)")
+def discrete_source(spark, sf):
+    return synthetic.discrete(spark, 5000, 30)
+
+
+@query("SELECT i AS id, i / 100.0 AS x FROM (SELECT unnest(range(0, 101)) AS i)")
+def uniform_source(spark, sf):
+    return synthetic.integers(spark, 101).select("id", (F.col("x") / 100).alias("x"))
+
+
+@query(f"""WITH e AS (SELECT event_id, {CENTS_SQL} AS x FROM events), n AS (SELECT max(event_id) + 1 AS n FROM e)
+SELECT event_id, x FROM e UNION ALL SELECT event_id, x * 0.5 + 1000 FROM e, n WHERE event_id < floor(0.01 * n)""")
+def outlier_source(spark, sf):
+    return synthetic.with_outliers(_events(spark, sf).select("event_id", F.col("cents").alias("x")), "event_id", "x", 0.01, 0.5, 1000.0)
+
+
+@query()
+def gaussian_source(spark, sf):
+    return synthetic.gaussian(spark, 10_000)
+
+
+@query("SELECT cardinality_, 20000 AS n, true AS ok FROM (SELECT unnest([30, 100, 300]) AS cardinality_)".replace("cardinality_", "cardinality").replace("20000 AS n", "20000::BIGINT AS n"))
+def discrete_bench_ok(spark, sf):
+    """Maximum entropy on few distinct values: rank errors of the order of a value's share."""
+    out = None
+    for c in (30, 100, 300):
+        df = synthetic.discrete(spark, 20_000, c).withColumn("cardinality", F.lit(c))
+        one = Q.exploded(Q.quantiles(A.build(df, ["cardinality"], F.col("x"), 10), _PS), ["cardinality"], _PS)
+        verdict = _verdict(df, ["cardinality"], "x", one, 0.04)
+        out = verdict if out is None else out.unionByName(verdict)
+    return out
+
+
+@query(_ok_sql("event_type", "events"))
+def outlier_bench_ok(spark, sf):
+    df = synthetic.with_outliers(table(spark, sf, "events").select("event_id", "event_type", "value"), "event_id", "value", 0.01, 0.1, 300.0)
+    solved = Q.quantiles(A.build(df, ["event_type"], F.col("value"), 10, logs=True), _PS)
+    found = _verdict(df, ["event_type"], "value", Q.exploded(solved, ["event_type"], _PS), 0.03)
+    n = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return found.drop("n").join(n, "event_type").select("event_type", "n", "ok")
+
+
+@query()
+def solver_comparison(spark, sf):
+    """Greatest rank error of each estimator on the same states."""
+    df, out = table(spark, sf, "events"), None
+    states = A.build(df, [], F.col("value"), 8, logs=True)
+    for method in Q.SOLVERS:
+        errors = Q.rank_errors(df, [], "value", Q.exploded(Q.quantiles(states, _PS, method), [], _PS))
+        one = errors.agg(F.max("rank_error").alias("rank_error")).withColumn("method", F.lit(method))
+        out = one if out is None else out.unionByName(one)
+    return out.select("method", "rank_error")
+
+
+@query()
+def precision_study(spark, sf):
+    """Quantiles from states in double and in single precision."""
+    states, out = A.build(table(spark, sf, "events"), [], F.col("value"), 8, logs=True), None
+    for name, kept in (("double", states), ("single", A.reduced_precision(states))):
+        one = Q.quantiles(kept, _PS).select(F.lit(name).alias("precision"), "qs", "converged")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT event_id, value, event_type FROM events WHERE isfinite(value) AND event_type IS NOT NULL")
+def finite_filter(spark, sf):
+    return E.finite_rows(table(spark, sf, "events"), "value", ["event_type"]).select("event_id", "value", "event_type")
+
+
+_MARK_SQL = "CAST(round_even(epoch_us(ts) / 600000000, 0) AS BIGINT) * 600000000"
+
+
+@query(f"SELECT {_MARK_SQL} AS mark, event_type, count(*) AS n FROM events GROUP BY ALL")
+def cell_sizes(spark, sf):
+    marked = table(spark, sf, "events").withColumn("mark", F.unix_micros(synthetic.nearest_ten_minutes(F.col("ts"))))
+    return E.cell_sizes(marked, ["mark", "event_type"])
+
+
+@query("SELECT user_id, event_type, list_sort(list(value)) AS data FROM events GROUP BY ALL")
+def collect_cells(spark, sf):
+    return E.collected(table(spark, sf, "events"), ["user_id", "event_type"], "value")
+
+
+@query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT label, count(v) AS n, min(v) AS mn, max(v) AS mx FROM x GROUP BY label""")
+def array_state(spark, sf):
+    return A.build_arrays(table(spark, sf, "embeddings"), ["label"], "embedding", 2).select("label", "n", "mn", "mx")
+
+
+@query("SELECT l_quantity AS x, count(*) AS n, round(sum(count(*)) OVER (ORDER BY l_quantity) / sum(count(*)) OVER (), 9) AS share FROM lineitem GROUP BY 1")
+def ecdf(spark, sf):
+    return E.ecdf(_lineitem(spark, sf), "l_quantity").select("x", "n", F.round("share", 9).alias("share"))
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 100 = 0 OR event_id = (SELECT max(event_id) FROM events)")
+def systematic_sample(spark, sf):
+    return E.every(table(spark, sf, "events"), "event_id", 100).select("event_id", "value")
+
+
+#: Result rows as a benchmark gives them: a few small literals.
+_RESULT_COLUMNS = "sketch, size_param, trial, q, threads, n, cells, merge_time, query_time, rank_error"
+_RESULTS = [(s, k, t, q, th, 1000 * k, 10, 1000 * k + 100 * t + th, 50 * k + t, round(0.001 * k * (1 + t) * q, 6)) for s, k in (("moments", 10), ("kll", 32)) for t in (0, 1, 2) for q in (0.1, 0.5, 0.9) for th in (1, 2, 4)]
+_RESULTS_SQL = f"(SELECT * REPLACE (q::DOUBLE AS q, rank_error::DOUBLE AS rank_error) FROM (VALUES {', '.join(str(r) for r in _RESULTS)}) AS r({_RESULT_COLUMNS}))"
+
+
+def _results(spark):
+    return spark.createDataFrame(_RESULTS, "sketch string, size_param int, trial int, q double, threads int, n long, cells int, merge_time long, query_time long, rank_error double")
+
+
+@query(f"SELECT sketch, size_param, q, round(avg(merge_time), 6) AS merge_time, round(avg(rank_error), 6) AS rank_error FROM {_RESULTS_SQL} WHERE trial > 0 GROUP BY ALL")
+def trial_means(spark, sf):
+    found = E.mean_by(_results(spark), ["sketch", "size_param", "q"], ["merge_time", "rank_error"])
+    return found.withColumn("merge_time", F.round("merge_time", 6)).withColumn("rank_error", F.round("rank_error", 6))
+
+
+@query(f"SELECT sketch, trial, max(rank_error)::DOUBLE AS worst FROM {_RESULTS_SQL} GROUP BY ALL")
+def trial_worst(spark, sf):
+    return _results(spark).groupBy("sketch", "trial").agg(F.max("rank_error").alias("worst"))
+
+
+@query(f"SELECT sketch, size_param, round(avg(m), 6) AS rank_error FROM (SELECT sketch, size_param, trial, avg(rank_error) AS m FROM {_RESULTS_SQL} GROUP BY ALL) GROUP BY ALL")
+def two_level_mean(spark, sf):
+    return E.mean_over_then(_results(spark), ["sketch", "size_param"], ["trial"], "rank_error").withColumn("rank_error", F.round("rank_error", 6))
+
+
+@query(f"SELECT sketch, trial, q, threads, round(rank_error / least(q, 1 - q), 6) AS relative_error, round(n * 1e6 / merge_time, 3) AS throughput, (merge_time + query_time)::DOUBLE AS end_to_end, round(merge_time / cells, 6) AS per_merge FROM {_RESULTS_SQL}")
+def derived_columns(spark, sf):
+    found = E.derived(_results(spark))
+    return found.select("sketch", "trial", "q", "threads", F.round("relative_error", 6).alias("relative_error"), F.round("throughput", 3).alias("throughput"), "end_to_end", F.round("per_merge", 6).alias("per_merge"))
+
+
+@query(f"WITH t AS (SELECT *, n * 1e6 / merge_time AS throughput FROM {_RESULTS_SQL}), o AS (SELECT sketch, avg(throughput) AS one FROM t WHERE threads = 1 GROUP BY sketch) SELECT DISTINCT sketch, threads, round(one * threads, 3) AS ideal FROM t JOIN o USING (sketch)")
+def ideal_scaling(spark, sf):
+    found = E.ideal_scaling(E.derived(_results(spark)))
+    return found.select("sketch", "threads", F.round("ideal", 3).alias("ideal")).distinct()
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def distinct_dims(spark, sf):
+    return table(spark, sf, "events").select("event_type").distinct()
+
+
+@query("SELECT lang, source, count(*) AS n, min(n_chars)::DOUBLE AS mn, max(n_chars)::DOUBLE AS mx, sum(n_chars)::DOUBLE AS p1, sum(n_chars * n_chars)::DOUBLE AS p2 FROM documents GROUP BY ALL")
+def wide_range_state(spark, sf):
+    return A.build(table(spark, sf, "documents"), ["lang", "source"], F.col("n_chars"), 2)
+
+
+@query(f"SELECT 'moments' AS summary, {M.state_bytes(10, False)} AS bytes UNION ALL SELECT 'log_moments', {M.state_bytes(10, True)}")
+def state_sizes(spark, sf):
+    return spark.createDataFrame([("moments", M.state_bytes(10, False)), ("log_moments", M.state_bytes(10, True))], "summary string, bytes int")
