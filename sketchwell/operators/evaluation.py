@@ -50,7 +50,7 @@ def derived(results: DataFrame) -> DataFrame:
     return results.withColumns({
         "relative_error": F.col("rank_error") / F.least("q", 1 - F.col("q")),
         "throughput": F.col("n") * 1e6 / F.col("merge_time"),
-        "end_to_end": F.col("merge_time") + F.col("query_time"),
+        "end_to_end": (F.col("merge_time") + F.col("query_time")).cast("double"),
         "per_merge": F.col("merge_time") / F.col("cells"),
     })
 

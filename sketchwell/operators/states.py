@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import moments as M
 
 
-def build(df: DataFrame, keys: list[str], x: Column, order: int = 10, logs: bool = False) -> DataFrame:
+def build(df: DataFrame, keys: list[str], x: Column | str, order: int = 10, logs: bool = False) -> DataFrame:
     """One state a group of keys over the finite values of x; groups without one do not appear."""
+    x = F.col(x) if isinstance(x, str) else x
     rows = df.select(*keys, x.cast("double").alias("_x")).where(M.finite(F.col("_x")))
     return rows.groupBy(*keys).agg(*M.building(F.col("_x"), order, logs))
 

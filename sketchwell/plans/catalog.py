@@ -42,9 +42,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-CENTS = F.round(F.col("value") * 100)
 CENTS_SQL = "round(value * 100)"
-QTY = F.col("l_quantity")
+QTY = "l_quantity"
 
 
 def _power_sql(x: str, i: int) -> str:
@@ -63,7 +62,7 @@ def _lineitem(spark, sf):
 
 
 def _events(spark, sf):
-    return table(spark, sf, "events").withColumn("cents", CENTS)
+    return table(spark, sf, "events").withColumn("cents", F.round(F.col("value") * 100))
 
 
 @query(f"SELECT l_returnflag, {_state_sql('l_quantity', 5)} FROM lineitem GROUP BY l_returnflag")
@@ -364,7 +363,7 @@ def subset_sum_ok(spark, sf):
     sample = Y.reservoir(df, ["l_returnflag"], "_id", "l_quantity", 1000)
     total = df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
     found = Y.subset_sum(sample, ["l_returnflag"], total, F.col("x") > 25)
-    true = df.groupBy("l_returnflag").agg(F.sum((QTY > 25).cast("long")).alias("true"))
+    true = df.groupBy("l_returnflag").agg(F.sum((F.col(QTY) > 25).cast("long")).alias("true"))
     slack = (F.col("hi") - F.col("lo")) / 4
     return found.join(true, "l_returnflag").select("l_returnflag", "n", ((F.col("lo") - slack <= F.col("true")) & (F.col("true") <= F.col("hi") + slack)).alias("ok"))
 
@@ -373,7 +372,7 @@ def subset_sum_ok(spark, sf):
 def exact_pmf(spark, sf):
     df = _lineitem(spark, sf)
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    bucket = F.when(QTY < 10, 0).when(QTY < 25, 1).when(QTY < 40, 2).otherwise(3)
+    bucket = F.when(F.col(QTY) < 10, 0).when(F.col(QTY) < 25, 1).when(F.col(QTY) < 40, 2).otherwise(3)
     return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("bucket", "n", F.round(F.col("n") / F.col("_n"), 9).alias("share"))
 
 
