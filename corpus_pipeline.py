@@ -18,22 +18,41 @@ from sketchwell.llm.common import documents
 MIN_COSINE = 2 / langid.DIMENSIONS**0.5
 
 
+READ = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def shielded(stage):
+    """stage with columns of docs that it does not read under names that cannot clash with its own."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        own = [c if c in READ else f"_extra_{i}" for i, c in enumerate(names)]
+        return stage(spark, docs.toDF(*own), sf_dir).select(*own).toDF(*names)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@shielded
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; texts without letters and unlike every prototype go."""
-    found = langid.predict(docs.select("*"), langid.train(docs))
+    found = langid.predict(docs, langid.train(docs))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_COSINE)).select(*docs.columns)
 
 
+@shielded
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and their group's thresholds."""
     return quality.judge(quality.with_counts(docs)).where("kept").select(*docs.columns)
 
 
+@shielded
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
     return simhash.keep_one(docs)
 
 
+@shielded
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by its kind; n_chars follows the new text."""
     redacted = pii.find(docs).withColumn("text", F.col("redacted"))

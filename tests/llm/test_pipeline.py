@@ -69,6 +69,8 @@ def test_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "")
             assert name == "packing" or docs.columns == [c.split()[0] for c in schema.split(", ")]
+            if name != "packing":
+                assert all((r["score"], r["kept"], r["fp"]) == ("x", 1, "y") for r in docs.collect())
         assert docs.count() == (1 if data else 0)
 
 
