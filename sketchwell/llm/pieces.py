@@ -26,7 +26,7 @@ from .common import append_columns, documents
 
 SPACE, LITERAL = "▁", "\0▁"
 PENALTY = 10.0
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 #: Scores below it mark pieces that a model keeps for later rules; they cost as much as the worst other piece.
 LEAST_SCORE = -1e8
 
