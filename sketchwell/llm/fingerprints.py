@@ -23,43 +23,46 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-BREAKS = r"\n|(?<=\.) "
-#: Cells of each of the three rows: the one of the fingerprint itself, and those tried in turn to recover differences.
-BASE_WIDTH, WIDTHS = 16, (8, 16, 32, 64, 256, 1024, 8192)
+#: Widths (powers of two) of the tables that are tried in turn; the first is that of the fingerprint itself.
+WIDTHS = (8, 16, 32, 64, 256, 1024, 8192)
 SECTION, MAX_SECTIONS, ROUNDS = 16, 65_536, 14
 #: Rows that are put in order together; there are never more than so many such ranges.
 RANGE_ROWS, MAX_RANGES, COARSE = 1_000, 100_000, 1_000
 
 
 def digests(text: Column) -> Column:
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS, -1), lambda p: p != "")
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit(". "), F.lit(".\n")), "\n", -1)
+    return F.array_distinct(F.transform(F.filter(lines, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def _check(h: Column) -> Column:
     return F.xxhash64(F.lit(97), h)
 
 
-def _in_cell(h: Column, i: Column, width: Column) -> Column:
-    """Whether cell i, of three rows of a width that is a power of two, is one of the digest's."""
-    row = F.floor(i / width).cast("int")
-    spot = F.call_function("shiftrightunsigned", h, row * 16 + 16).bitwiseAND((width - 1).cast("long"))
-    return spot == i % width
+def _placed(h: Column, **more: Column) -> Column:
+    """A digest with its check and, from its bits, its section and its place in each of three rows; masks cut them to size."""
+    bits = lambda n: F.shiftrightunsigned(h, n).bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int")
+    return F.struct(*[v.alias(k) for k, v in more.items()], h.alias("k"), _check(h).alias("x"), bits(0).alias("s"), bits(16).alias("r0"), bits(32).alias("r1"), bits(48).alias("r2"))
 
 
 def _cell(count: Column, keys: Column, checks: Column) -> Column:
     return F.struct(count.alias("c"), keys.alias("k"), checks.alias("x"))
 
 
-def table(found: Column, width: Column) -> Column:
-    """The cells of an array of digests."""
+def _rows(make) -> Column:
+    return F.struct(*[make(r).alias(r) for r in ("r0", "r1", "r2")])
+
+
+def table(found: Column, mask: Column) -> Column:
+    """The cells of an array of placed digests: three rows of mask + 1 cells."""
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    add = lambda s, h: _cell(s["c"] + 1, s["k"].bitwiseXOR(h), s["x"].bitwiseXOR(_check(h)))
-    return F.transform(F.sequence(F.lit(0), width * 3 - 1), lambda i: F.aggregate(F.filter(found, lambda h: _in_cell(h, i, width)), empty, add))
+    add = lambda s, e: _cell(s["c"] + 1, s["k"].bitwiseXOR(e["k"]), s["x"].bitwiseXOR(e["x"]))
+    return _rows(lambda r: F.transform(F.sequence(F.lit(0), mask), lambda i: F.aggregate(F.filter(found, lambda e: e[r].bitwiseAND(mask) == i), empty, add)))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda p, q: _cell(p["c"] - q["c"], p["k"].bitwiseXOR(q["k"]), p["x"].bitwiseXOR(q["x"])))
+    less = lambda p, q: _cell(p["c"] - q["c"], p["k"].bitwiseXOR(q["k"]), p["x"].bitwiseXOR(q["x"]))
+    return _rows(lambda r: F.zip_with(a[r], b[r], less))
 
 
 def _let(value: Column, use) -> Column:
@@ -67,32 +70,35 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def peel(cells: Column, width: Column) -> Column:
+def peel(cells: Column, mask: Column) -> Column:
     """The digests of a subtracted table as (c: 1 or -1, k: digest); null if cells are left over."""
     none = F.expr("cast(array() as array<struct<c:int,k:bigint>>)")
+    single = lambda c: (F.abs(c["c"]) == 1) & (c["x"] == _check(c["k"]))
+    drop = lambda c, p: _cell(c["c"] - p["c"], c["k"].bitwiseXOR(p["k"]), c["x"].bitwiseXOR(p["x"]))
+    short = lambda ps: F.transform(ps, lambda p: F.struct(p["c"].alias("c"), p["k"].alias("k")))
 
     def step(s: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(s["cells"], lambda c: (F.abs(c["c"]) == 1) & (c["x"] == _check(c["k"]))), lambda c: F.struct(c["c"].alias("c"), c["k"].alias("k"))))
-        drop = lambda c, p: _cell(c["c"] - p["c"], c["k"].bitwiseXOR(p["k"]), c["x"].bitwiseXOR(_check(p["k"])))
-        without = lambda ps: F.transform(s["cells"], lambda c, i: F.aggregate(F.filter(ps, lambda p: _in_cell(p["k"], i, width)), c, drop))
-        return _let(pure, lambda ps: F.struct(F.when(F.size(ps) == 0, s["cells"]).otherwise(without(ps)).alias("cells"), F.concat(s["found"], ps).alias("found"), (F.size(ps) > 0).alias("going")))
+        pure = F.array_distinct(F.transform(F.concat(*[F.filter(s["cells"][r], single) for r in ("r0", "r1", "r2")]), lambda c: _placed(c["k"], c=c["c"])))
+        without = lambda ps: _rows(lambda r: F.transform(s["cells"][r], lambda c, i: F.aggregate(F.filter(ps, lambda p: p[r].bitwiseAND(mask) == i), c, drop)))
+        return _let(pure, lambda ps: F.struct(F.when(F.size(ps) == 0, s["cells"]).otherwise(without(ps)).alias("cells"), F.concat(s["found"], short(ps)).alias("found"), (F.size(ps) > 0).alias("going")))
 
     start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("going"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(s["going"], step(s)).otherwise(s))
     clean = lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["x"] == 0)
-    return _let(end, lambda s: F.when(F.forall(s["cells"], clean), s["found"]))
+    return _let(end, lambda s: F.when(F.forall(s["cells"]["r0"], clean) & F.forall(s["cells"]["r1"], clean) & F.forall(s["cells"]["r2"], clean), s["found"]))
 
 
 def difference(a: Column, b: Column) -> Column:
     """(c, k) of the digests in one of two arrays only: c is 1 for those of a, -1 for those of b; null if every width failed."""
     none = F.expr("cast(null as array<struct<c:int,k:bigint>>)")
-    widths = F.array(*[F.lit(w) for w in WIDTHS])
-    tried = lambda x: F.aggregate(widths, none, lambda done, w: F.when(done.isNotNull(), done).otherwise(peel(subtract(table(x["a"], w), table(x["b"], w)), w)))
+    masks = F.array(*[F.lit(w - 1) for w in WIDTHS])
+    tried = lambda x: F.aggregate(masks, none, lambda done, m: F.when(done.isNotNull(), done).otherwise(peel(subtract(table(x["a"], m), table(x["b"], m)), m)))
     wanted = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / SECTION)))
-    sections = F.least(F.lit(MAX_SECTIONS), F.pow(F.lit(2.0), wanted)).cast("int")
-    of = lambda found, i, n: F.filter(found, lambda h: h.bitwiseAND((n - 1).cast("long")) == i)
-    each = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: _let(F.struct(of(a, i, n).alias("a"), of(b, i, n).alias("b")), tried))
-    return F.flatten(_let(sections, each))
+    last = F.least(F.lit(MAX_SECTIONS), F.pow(F.lit(2.0), wanted)).cast("int") - 1
+    placed = F.struct(*[F.transform(v, lambda h: _placed(h)).alias(n) for n, v in (("a", a), ("b", b))], last.alias("last"))
+    of = lambda found, i, m: F.filter(found, lambda e: e["s"].bitwiseAND(m) == i)
+    each = lambda v: F.transform(F.sequence(F.lit(0), v["last"]), lambda i: _let(F.struct(of(v["a"], i, v["last"]).alias("a"), of(v["b"], i, v["last"]).alias("b")), tried))
+    return F.flatten(_let(placed, each))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -103,9 +109,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def name(found: Column) -> Column:
-    """A digest of the base table's cells, as text."""
-    cells = F.transform(table(found, F.lit(BASE_WIDTH)), lambda c: F.concat_ws(":", c["c"].cast("string"), c["k"].cast("string"), c["x"].cast("string")))
-    return F.sha2(F.array_join(cells, ","), 256)
+    """A digest of the first table's cells, as text."""
+    text = lambda row: F.array_join(F.transform(row, lambda c: F.concat_ws(":", c["c"].cast("string"), c["k"].cast("string"), c["x"].cast("string"))), ",")
+    cells = lambda t: F.concat_ws(";", text(t["r0"]), text(t["r1"]), text(t["r2"]))
+    return F.sha2(_let(table(F.transform(found, lambda h: _placed(h)), F.lit(WIDTHS[0] - 1)), cells), 256)
 
 
 def with_next(df: DataFrame, id_column: str, values: list[str]) -> DataFrame:

@@ -36,64 +36,82 @@ TEMPLATES = [
     ("public-domain", "released into the public domain"),
 ]
 N_BASE = 3
-#: What separates words (fixed value).
-BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words (fixed value), but for capitals, which are lower-cased in the words.
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The mark of a text's last word, which has no pair: one comes from every text and tells its length.
+LAST = -1
 
 
 def words_of(text):
-    """The text's words, as an array column."""
-    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAKS, -1)
+    """The text's words in their own case, as an array column."""
+    parts = F.split(F.coalesce(text, F.lit("")), BREAKS, -1)
     head = (F.get(parts, F.lit(0)) == "").cast("int")
     tail = ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
     return F.slice(parts, head + 1, F.size(parts) - head - tail)
 
 
 def template_pairs(spark: SparkSession) -> DataFrame:
-    """(template, label, pairs, at, first, second, h): some hundred rows, as many as TEMPLATES has words."""
+    """(template, label, pairs, at, first, second, h): some hundred rows, as many as TEMPLATES has words, and LAST."""
     rows = []
     for i, (label, phrase) in enumerate(TEMPLATES):
         words = phrase.split()
         rows += [(i, label, len(words) - 1, at, a, b) for at, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    return spark.createDataFrame(rows, "template int, label string, pairs int, at int, first string, second string").withColumn("h", F.xxhash64("first", "second"))
+    schema = "template int, label string, pairs int, at int, first string, second string"
+    pairs = spark.createDataFrame(rows, schema).withColumn("h", F.xxhash64("first", "second"))
+    return pairs.unionByName(spark.createDataFrame([(LAST, None, 1, 0, None, None)], schema).withColumn("h", F.lit(0).cast("long")))
 
 
-def diagonals(df: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, template, label, pairs, diagonal, votes, ats, low, high): votes of every whole text."""
+def hits(df: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, template, label, pairs, at, place): each pair of every whole text at each of its template places.
+
+    The template LAST has a row of every text, whose place is that of the last word (-1: no word).
+    """
     words = df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words_of(F.col("text")).alias("w"))
     zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))
-    rolled = words.where(F.size("w") > 1).select("doc_id", "text_hash", F.posexplode(zipped).alias("place", "x"))
-    rolled = rolled.select("doc_id", "text_hash", "place", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    templates = F.broadcast(template_pairs(df.sparkSession))
-    hits = rolled.join(templates, (F.xxhash64("a", "b") == F.col("h")) & (F.col("a") == F.col("first")) & (F.col("b") == F.col("second")))
-    keys = ["doc_id", "text_hash", "template", "label", "pairs", (F.col("place") - F.col("at")).alias("diagonal")]
-    found = hits.select(*keys, "place", "at")
+    rolled = words.select("doc_id", "text_hash", F.posexplode_outer(zipped).alias("place", "x"))
+    rolled = rolled.select("doc_id", "text_hash", F.coalesce("place", F.lit(-1)).alias("place"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    key = F.when(F.col("b").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lower("a"), F.lower("b")))
+    alike = F.when(F.col("b").isNull(), F.col("template") == LAST).otherwise((ascii_lower(F.col("a")) == F.col("first")) & (ascii_lower(F.col("b")) == F.col("second")))
+    found = rolled.join(F.broadcast(template_pairs(df.sparkSession)), (key == F.col("h")) & alike)
+    return found.select("doc_id", "text_hash", "template", "label", "pairs", "at", "place")
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, template, label, pairs, start, end, cover, n_exact, first, last, rows): merged diagonals of hits.
+
+    cover is the share of the template's pairs; n_exact, first and last tell of its diagonals with
+    all votes. rows is the number of hits that the island's fullest diagonal has. One shuffle, by document.
+    """
+    dealt = found.repartition("doc_id", "text_hash")
+    keys = ["doc_id", "text_hash", "template", "label", "pairs"]
     # repeated rows vote alike, so distinct places count
-    return found.groupBy("doc_id", "text_hash", "template", "label", "pairs", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("place").alias("low"), F.max("place").alias("high")).withColumn("votes", F.size("ats"))
-
-
-def spans(voted: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, template, label, start, end, cover): merged and verified spans, end exclusive."""
+    voted = dealt.groupBy(*keys, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("place").alias("low"), F.max("place").alias("high"), F.count(F.lit(1)).alias("hits"))
     along = W.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
-    islands = voted.withColumn("_new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > GAP).cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(along))
-    merged = islands.groupBy("doc_id", "text_hash", "template", "label", "pairs", "_island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"), F.min("low").alias("start"), (F.max("high") + 2).alias("end"))
-    merged = merged.withColumn("cover", F.col("n") / F.col("pairs"))
-    return merged.where((F.col("cover") >= COVER) & (F.col("end") - F.col("start") <= 2 * (F.col("pairs") + 1))).select("doc_id", "text_hash", "template", "label", "start", "end", "cover")
+    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > GAP).cast("int"), F.lit(0))
+    islands = voted.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(along))
+    exact = F.when((F.size("ats") == F.col("pairs")), F.col("diagonal").cast("long"))
+    merged = islands.groupBy(*keys, "_island").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"), F.min("low").alias("start"), (F.max("high") + 2).alias("end"), F.count(exact).alias("n_exact"), F.min(exact).alias("first"), F.max(exact).alias("last"), F.max("hits").alias("rows")
+    )
+    return merged.withColumn("cover", F.col("n") / F.col("pairs")).drop("_island", "n")
 
 
 def scan(df: DataFrame) -> DataFrame:
     """One row per row of df: doc_id, n_words, base places and labels, all labels, and a score."""
-    voted = diagonals(df)
-    is_base = F.col("template") < N_BASE
-    exact = voted.where(is_base & (F.col("votes") == F.col("pairs"))).select("doc_id", "text_hash", "label", F.col("diagonal").cast("long").alias("base"), F.lit(1.0).alias("cover"))
-    more = spans(voted.where(~is_base)).select("doc_id", "text_hash", "label", F.lit(None).cast("long").alias("base"), "cover")
-    joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    found = exact.unionByName(more).groupBy("doc_id", "text_hash").agg(
-        F.count("base").alias("n_base"), F.min("base").alias("first_word"), F.max("base").alias("last_word"), joined(F.when(F.col("base").isNotNull(), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("cover").alias("score")
+    last, base = F.col("template") == LAST, (F.col("template") >= 0) & (F.col("template") < N_BASE) & (F.col("n_exact") > 0)
+    verified = (F.col("template") >= N_BASE) & (F.col("cover") >= COVER) & (F.col("end") - F.col("start") <= 2 * (F.col("pairs") + 1))
+    joined = lambda wanted: F.array_join(F.sort_array(F.collect_set(F.when(wanted, F.col("label")))), ",")
+    by_text = spans(hits(df)).groupBy("doc_id", "text_hash").agg(
+        F.max(F.when(last, F.col("end") - 1)).cast("long").alias("n_words"),
+        F.coalesce(F.sum(F.when(base, F.col("n_exact"))), F.lit(0)).alias("n_base"),
+        F.min(F.when(base, F.col("first"))).alias("first_word"),
+        F.max(F.when(base, F.col("last"))).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(base | verified).alias("labels"),
+        F.coalesce(F.max(F.when(base, F.lit(1.0)).when(verified, F.col("cover"))), F.lit(0.0)).alias("score"),
+        F.max(F.when(last, F.col("rows"))).cast("int").alias("_rows"),
     )
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    rows = df.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return rows.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return by_text.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_rows")))).drop("text_hash", "_rows", "_copy")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,9 @@ def test_small_tables_fail_and_larger_ones_succeed(spark):
     keys = [rng.getrandbits(62) for _ in range(60)]
     df = spark.createDataFrame([(keys,)], "a array<long>")
     none = F.expr("cast(array() as array<bigint>)")
-    sizes = [df.select(fingerprints.peel(fingerprints.subtract(fingerprints.table(F.col("a"), F.lit(w)), fingerprints.table(none, F.lit(w))), F.lit(w)).alias("d")).first()["d"] for w in (8, 64)]
+    placed = lambda c, m: fingerprints.table(F.transform(c, lambda h: fingerprints._placed(h)), m)
+    tried = lambda m: fingerprints.peel(fingerprints.subtract(placed(F.col("a"), m), placed(none, m)), m)
+    sizes = [df.select(tried(F.lit(w - 1)).alias("d")).first()["d"] for w in (8, 64)]
     assert sizes[0] is None and {x["k"] for x in sizes[1]} == set(keys)
 
 
