@@ -17,6 +17,7 @@ occur. An empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,10 @@ from pyspark.sql import Window as W
 from .common import append_columns, checkpointed, documents
 
 CAPACITY, END = 1024, 2
-#: Distinct words a task keeps with their ids, per table.
-CACHED_WORDS = 200_000
+#: Distinct words that a Python worker keeps with their ids, and the characters of the longest.
+CACHED_WORDS, KEPT_CHARS = 600_000, 64
+#: What a text that is encoded word by word does not hold, besides white space other than space and line feed.
+PAIRS = ("  ", "\n\n", " \n", "\n ", "<|endoftext|>")
 #: Ranks of one length are dealt over so many buckets.
 BUCKETS = 128
 
@@ -54,17 +57,21 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         #: The same vocabulary in a library that is quick on short strings.
         self.short = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile(r"[ \n]{2}|^\s|\s$|[^\S \n]|[\x1c-\x1f\x85]|<\|endoftext\|>")
+        self.white = re.compile(r"[^\S \n]")
         self.words: dict[str, bytes] = {}
         self.line = self._ids("\n")
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.short.encode_ordinary(word), "<u4").tobytes()
 
+    def odd(self, text: str) -> bool:
+        """Whether text must go whole to the tokenizer."""
+        return text[0].isspace() or text[-1].isspace() or any(p in text for p in PAIRS) or self.white.search(text) is not None
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.odd.search(text):
+        if self.odd(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
@@ -81,17 +88,25 @@ class Encoder:
                 for k in keys:
                     got = words.get(k)
                     if got is None:
-                        got = words[k] = self._ids(k)
+                        got = self._ids(k)
+                        if len(k) <= KEPT_CHARS:
+                            words[k] = got
                     out.append(got)
         return b"".join(out)
 
 
+@cache
+def encoder() -> Encoder:
+    """One encoder in each Python worker, kept from task to task with the words it has met."""
+    return Encoder()
+
+
 def pieces(df: DataFrame, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32, ids): the pieces of every whole text; ids as uint32 bytes."""
     fields = [T.StructField("found", T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])))]
 
     def make():
-        encode, end = Encoder(), np.array([END], "<u4").tobytes()
+        encode, end = encoder(), np.array([END], "<u4").tobytes()
 
         def compute(texts):
             rows = []
