@@ -7,9 +7,9 @@ whole text, times those shares. A word never seen has the bucket's remaining hal
 
 Counts cover every training text: words of a fixed list are counted in each task, all others are
 counted by a shuffle of their own, and come back to the texts by a join on the word. No word is so
-frequent there as to crowd one task, since the frequent ones are on the list. The network is trained
-in rounds on a fixed share of the training texts, which grows with them: each task trains a copy on
-its texts and the copies are averaged by the symbols they saw.
+frequent there as to crowd one task, since the frequent ones are on the list. The list and the
+network come from every training text too: in each round, each task trains a copy on its texts and
+the copies are averaged by the symbols they saw.
 
 Null text counts as empty: it is the end token alone. Repeated rows each give their own result.
 Without training texts the base score is 0 per token.
@@ -35,8 +35,6 @@ TAILS = 64
 END = gru.SYMBOLS - TAILS - 1
 #: Words of the list that is counted in tasks; the first END of them are symbols.
 LISTED = 131_072
-#: The share of training texts that the list is made of and the network is trained on, and the least number of texts.
-SHARE, LEAST = 0.03, 500
 ROUNDS, BLOCK = 2, 1024
 #: Symbols that are scored together, lanes side by side.
 POOL = 1_000_000
@@ -83,7 +81,7 @@ def _text_batches(batches, column="text"):
 
 
 def most_frequent(texts: DataFrame, n: int = LISTED) -> list[bytes]:
-    """The n most frequent words of a share of the texts, ties by word; a list of bounded size."""
+    """The n most frequent words of all of texts, ties by word; a list of bounded size."""
 
     def count(batches):
         for batch in _text_batches(batches):
@@ -171,12 +169,9 @@ def score(df: DataFrame, training) -> DataFrame:
     context = spark.sparkContext
     docs = df.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("_train"))
     train = docs.where("_train")
-    n_train = train.count()
-    share = min(1.0, max(SHARE, LEAST / max(1, n_train)))
-    part = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    lists = context.broadcast(most_frequent(part))
+    lists = context.broadcast(most_frequent(train))
     counts, n_words, n_texts, symbols = listed_counts(train, lists)
-    network = context.broadcast(train_network(part, lists, gru.initial(symbols.astype("float64"))))
+    network = context.broadcast(train_network(train, lists, gru.initial(symbols.astype("float64"))))
     shared = context.broadcast(counts)
 
     def read(batches):

@@ -75,3 +75,22 @@ def test_odd_rows(spark, tmp_path):
         k, known, base = want[r["doc_id"]]
         assert (r["train_tokens"], r["n_tokens"], r["n_known"]) == (n, k, known) and abs(r["base_score"] - base) < 1e-6
     assert lm.op7_lm(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_list_and_network_come_from_every_training_text(spark, monkeypatch):
+    rows = [(i, f"w{i % 40} w{i % 7} pair{i // 2}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    most_frequent, train_network = lm.most_frequent, lm.train_network
+    monkeypatch.setattr(lm, "most_frequent", lambda texts: seen.setdefault("list", most_frequent(texts)))
+
+    def trained(texts, lists, start):
+        seen["texts"] = texts.count()
+        return train_network(texts, lists, start)
+
+    monkeypatch.setattr(lm, "train_network", trained)
+    assert lm.score(df, df["doc_id"] % 5 != 1).count() == 1500
+    train = [t for i, t in rows if i % 5 != 1]
+    counts = Counter(w.encode() for t in train for w in t.split())
+    assert seen["texts"] == len(train)
+    assert seen["list"] == sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))
