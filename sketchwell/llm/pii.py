@@ -77,18 +77,41 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 
 _GLYPH = re.compile("[" + re.escape("".join(GLYPHS)) + "]")
 _WORD = "|".join(DIGITS)
-#: Words that a run of spelled digits has, or else it repeats one of the other two.
-_DIGIT_HINTS = (*[w for w in DIGITS if w not in ("one", "oh")], "one one", "one-one", "oh one", "one oh", "oh oh")
-_DOT_HINTS = ("dot", "[.]", "(.)", "{.}", "[at]", "(at)", "{at}", "[@]", "(@)", "{@}", "[ at", "( at", "{ at")
+#: What every token has: a digit's word, the word dot, or a bracket before at, @ or a full stop.
+_WORD_HINTS = ("dot", *DIGITS)
+_BRACKET_HINT = re.compile(r"[\[({][\x20]?(?:at|@|\.)")
 _TOKENS = re.compile(
-    r"(?P<digits>(?<![A-Za-z])(?:%s)(?:[\x20-]{1,2}(?:%s)){2,}(?![A-Za-z]))"
+    r"(?P<digits>(?<![A-Za-z])(?:%s)(?:[\x20-]{1,2}(?:%s))*(?![A-Za-z]))"
     r"|(?P<at>[\x20]?[\[({][\x20]?(?:at|@)[\x20]?[\])}][\x20]?|(?<=[A-Za-z0-9])[\x20]at[\x20](?=[A-Za-z0-9-]+(?:[\x20]dot[\x20]|[\x20]?[\[({][\x20]?dot[\x20]?[\])}])))"
     r"|(?P<dot>[\x20]?[\[({][\x20]?(?:dot|\.)[\x20]?[\])}][\x20]?|(?<=[A-Za-z0-9])[\x20]dot[\x20](?=[A-Za-z0-9]))" % (_WORD, _WORD),
     re.IGNORECASE | re.ASCII,
 )
+#: What may stand between a short run of spelled digits and its neighbours.
+_GAP = "\x20().+-"
 _ONE = re.compile(rf"(?:{_WORD})", re.IGNORECASE)
 
 
+def _tokens(plain: str) -> list[re.Match]:
+    """Matches of _TOKENS; fewer than three spelled digits count beside digits, other spelled ones or a dot."""
+    found = list(_TOKENS.finditer(plain))
+
+    def counts(i: int, m: re.Match) -> bool:
+        if m.lastgroup != "digits" or len(_ONE.findall(m[0])) > 2:
+            return True
+        before = plain[max(0, m.start() - 3) : m.start()].rstrip(_GAP)[-1:]
+        after = plain[m.end() : m.end() + 3].lstrip(_GAP)[:1]
+        if (before and before in "0123456789") or (after and after in "0123456789"):
+            return True
+        beside = []
+        if i and m.start() - found[i - 1].end() <= 2:
+            beside.append((found[i - 1], plain[found[i - 1].end() : m.start()]))
+        if i + 1 < len(found) and found[i + 1].start() - m.end() <= 2:
+            beside.append((found[i + 1], plain[m.end() : found[i + 1].start()]))
+        return any(n.lastgroup != "at" and not gap.strip(_GAP) for n, gap in beside)
+
+    return [m for i, m in enumerate(found) if counts(i, m)]
+
+
 def deobfuscate(text: str) -> tuple[str, list[int], list[int]] | None:
     """The rewritten text with, per character of it, source start and end; None if nothing is disguised.
 
@@ -104,8 +127,8 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]] | None:
                 starts.append(i)
         plain = "".join(out)
     lower = plain.lower()
-    hinted = any(h in lower for h in _DOT_HINTS) or any(h in lower for h in _DIGIT_HINTS)
-    tokens = list(_TOKENS.finditer(plain)) if hinted else []
+    hinted = any(h in lower for h in _WORD_HINTS) or _BRACKET_HINT.search(lower) is not None
+    tokens = _tokens(plain) if hinted else []
     if not glyphs and not tokens:
         return None
     if starts is None:
@@ -135,7 +158,7 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]] | None:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and base spans with those found behind disguises; both in order.
 
-    A span behind a disguise is left out where it overlaps a base span of its kind.
+    A span behind a disguise is left out where a base span of its kind covers it.
     """
     base = base_spans(text)
     spans = base
@@ -144,7 +167,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         more = []
         for kind, a, b in base_spans(plain):
             s, e = begin[a], end[b - 1]
-            if text[s:e] != plain[a:b] and not any(k == kind and s < y and x < e for k, x, y in base):
+            if text[s:e] != plain[a:b] and not any(k == kind and x <= s and e <= y for k, x, y in base):
                 more.append((kind, s, e))
         spans = base + more
     order = lambda x: (x[1], RANK[x[0]], x[2])

@@ -63,3 +63,30 @@ def test_query_on_odd_rows(spark, tmp_path):
 
 def test_redact_merges_overlaps():
     assert pii.redact("a 1.2.3.4 b", [("ip", 2, 9), ("card", 4, 9)]) == "a <IP> b"
+
+
+def test_disguises_beside_base_spans_are_whole():
+    for text, kind, redacted in [
+        ("jоhn@example.com", "email", "<EMAIL>"),
+        ("to john@mail.example dot com now", "email", "to <EMAIL> now"),
+        ("at \uff1192.168.1.1 now", "ip", "at <IP> now"),
+    ]:
+        base, spans = pii.all_spans(text)
+        assert [k for k, *_ in base] == [kind] and set(base) < set(spans)
+        assert pii.redact(text, spans) == redacted
+
+
+def test_every_token_is_hinted():
+    for text in ["john [ @ ] example.com", "john[at ]example.com", "john@example[ . ]com", "john@example(. )com", "john[at)example{ dot]com", "john@example( Dot)com"]:
+        assert pii.redact(text, pii.all_spans(text)[1]) == "<EMAIL>", text
+    rng = random.Random(8)
+    for _ in range(30_000):
+        x = "".join(rng.choice(["[", "( ", "{", " ", "at", "AT", "@", ".", "dot", " ]", ")", "}", "a", "1", "one", "oh", "Two", "-"]) for _ in range(rng.randint(0, 14)))
+        if pii._TOKENS.search(x):
+            assert any(h in x.lower() for h in pii._WORD_HINTS) or pii._BRACKET_HINT.search(x.lower()), x
+
+
+def test_short_runs_of_spelled_digits_beside_dots_and_digits():
+    for text, kind in [("1 dot two dot 3 dot 4", "ip"), ("one dot one dot two dot two", "ip"), ("one nine [dot] 1.2.oh", "ip"), ("one.two.one.two", "ip")]:
+        assert [(k, text[s:e]) for k, s, e in pii.all_spans(text)[1]] == [(kind, text)], text
+    assert pii.all_spans("4111 1111 1111 111 one")[1] == [("card", 0, 22)]
