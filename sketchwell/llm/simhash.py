@@ -127,24 +127,29 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return state.unionByName(nodes.join(linked, "fp", "left_anti").select("fp", "rank"))
 
 
-def group(hashed: DataFrame) -> DataFrame:
-    """hashed (doc_id, fp, ...) with component_id, the smallest doc_id of the component; its lineage is cut."""
+def _ranked(hashed: DataFrame) -> DataFrame:
+    """hashed (fp, doc_id, ...) with _rank: (missing, id, fp) of the node that names the component; its lineage is cut."""
     hashed = checkpointed(hashed.drop("component_id"))
     nodes = hashed.groupBy("fp").agg(F.min("doc_id").alias("id"))
     nodes = checkpointed(nodes.select("fp", F.struct(F.col("id").isNull().alias("missing"), "id", "fp").alias("rank")))
-    found = components(nodes, links(nodes.select("fp")))
-    return hashed.join(found.select("fp", F.col("rank.id").alias("component_id")), "fp")
+    return hashed.join(components(nodes, links(nodes.select("fp"))).withColumnRenamed("rank", "_rank"), "fp")
+
+
+def group(hashed: DataFrame) -> DataFrame:
+    """hashed (doc_id, fp, ...) with component_id, the smallest doc_id of the component; its lineage is cut."""
+    return _ranked(hashed).withColumn("component_id", F.col("_rank.id")).drop("_rank")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the first row of the document that names the component.
 
+    Groups are told apart by the id and fingerprint that name them, since an id may name several.
     Rows are told apart by id and a hash of the text, so that texts are read again, not kept.
     """
     same = F.xxhash64(F.coalesce("text", F.lit("")))
-    grouped = group(with_fingerprint(docs.select("doc_id", "text", same.alias("_hash"))).drop("text"))
-    naming = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id", F.when(F.col("doc_id").isNull(), F.col("fp"))).agg(F.min("_hash").alias("_kept"))
-    naming = naming.select(F.col("doc_id").alias("_id"), "_kept")
+    ranked = _ranked(with_fingerprint(docs.select("doc_id", "text", same.alias("_hash"))).drop("text"))
+    naming = ranked.where((F.col("fp") == F.col("_rank.fp")) & F.col("doc_id").eqNullSafe(F.col("_rank.id"))).groupBy("fp").agg(F.min("doc_id").alias("_id"), F.min("_hash").alias("_kept"))
+    naming = naming.select("_id", "_kept").distinct()
     first = docs.withColumn("_hash", same).join(naming, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
     return first.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 

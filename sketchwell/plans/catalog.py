@@ -284,7 +284,7 @@ def cube_search(spark, sf):
 def sliding_threshold(spark, sf):
     """Panes' sliding windows in which over a tenth of the values exceed a bound, with the deciding stage."""
     paned = A.panes(table(spark, sf, "events"), "ts", "1 hour", ["event_type"], F.col("value"), 6, logs=True)
-    windows = A.slide(paned, ["event_type"], 6).where("n >= 20")
+    windows = A.slide(paned, ["event_type"], 6)
     return H.cascade(windows.withColumn("t", F.lit(60.0)), "t", 0.1).select("pane", "event_type", "n", "above", "stage")
 
 

@@ -77,3 +77,11 @@ def test_odd_rows(spark, tmp_path):
     kept = simhash.keep_one(spark.read.parquet(f"{tmp_path}/full/documents.parquet"))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "None"]
     assert kept.columns == ["doc_id", "text", "fp", "component_id"] and kept.where(F.col("text").isNull()).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda df: df.withColumn("fp", F.col("text").cast("long")))
+    # texts are their fingerprints: id 1 names two groups, and three without ids are linked
+    rows = [(1, "0"), (4, "1"), (1, "65280"), (6, "65281"), (None, "280375465082880"), (None, "280375465082881"), (None, "280375465082883"), (8, "-1"), (8, "-1")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "0"), (1, "65280"), (None, "280375465082880"), (8, "-1")], key=str)
