@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from math import comb
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import moments as M
@@ -282,10 +283,20 @@ def cube_search(spark, sf):
 
 @query()
 def sliding_threshold(spark, sf):
-    """Panes' sliding windows in which over a tenth of the values exceed a bound, with the deciding stage."""
-    paned = A.panes(table(spark, sf, "events"), "ts", "1 hour", ["event_type"], F.col("value"), 6, logs=True)
-    windows = A.slide(paned, ["event_type"], 6)
-    return H.cascade(windows.withColumn("t", F.lit(60.0)), "t", 0.1).select("pane", "event_type", "n", "above", "stage")
+    """Panes' sliding windows in which over a tenth of the values exceed a bound, with the deciding stage.
+
+    A density fitted to under 20 values says little: where it would decide, such a window's values are counted (stage count).
+    """
+    events = table(spark, sf, "events").where(M.finite(F.col("value").cast("double")))  # as build has it
+    paned = A.panes(events, "ts", "1 hour", ["event_type"], F.col("value"), 6, logs=True)
+    decided = H.cascade(A.slide(paned, ["event_type"], 6).withColumn("t", F.lit(60.0)), "t", 0.1)
+    over = events.groupBy(F.window("ts", "1 hour")["start"].alias("pane"), "event_type").agg(F.sum((F.col("value") > 60).cast("long")).alias("over"))
+    frame = W.partitionBy("event_type").orderBy("pane").rowsBetween(-5, 0)  # as slide has it
+    counted = over.select(F.col("pane").alias("_pane"), F.col("event_type").alias("_type"), F.sum("over").over(frame).alias("over"))
+    joined = decided.join(counted, F.col("pane").eqNullSafe(F.col("_pane")) & F.col("event_type").eqNullSafe(F.col("_type")))
+    few = (F.col("n") < 20) & (F.col("stage") == "density")
+    above = F.when(few, F.col("over") / F.col("n") > 0.1).otherwise(F.col("above"))
+    return joined.select("pane", "event_type", "n", above.alias("above"), F.when(few, "count").otherwise(F.col("stage")).alias("stage"))
 
 
 _HIST_SQL = """WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),

@@ -1,8 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sketchwell.plans import catalog
 from sketchwell.functions import moments as M
 from sketchwell.operators import evaluation as E
 from sketchwell.operators import quantiles as Q
@@ -123,3 +125,26 @@ def test_stream_states_equal_batch_states(spark, tmp_path):
     q.stop()
     final = {(str(r["pane"]), r["k"], r["n"], r["p1"]) for r in spark.table("panes").collect()}
     assert final and final <= {(str(r["pane"]), r["k"], r["n"], r["p1"]) for r in A.panes(df, "ts", "1 hour", ["k"], F.col("x"), 2).collect()}
+
+
+def test_sliding_threshold_reports_sparse_windows(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"2024-01-{1 + int(rng.integers(3)):02d} {int(rng.integers(24)):02d}:10:00", "rare" if i % 10 == 0 else "often" if i % 10 > 4 else "some", float(rng.exponential(30))) for i in range(160)]
+    rows += [(900, "2024-02-01 00:00:00", "once", 99.0), (901, "2024-02-01 00:00:00", "low", 1.0), (902, "2024-02-01 00:00:00", "pair", 50.0), (903, "2024-02-01 00:00:00", "pair", 70.0)]
+    df = spark.createDataFrame(rows, "event_id long, t string, event_type string, value double").withColumn("ts", F.to_timestamp("t")).drop("t")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(str(r["pane"]), r["event_type"]): r for r in catalog.sliding_threshold(spark, str(tmp_path)).collect()}
+    panes = {}
+    for _, t, kind, value in rows:
+        panes.setdefault(kind, {}).setdefault(t[:14] + "00:00", []).append(value)
+    want = {}
+    for kind, held in panes.items():
+        order = sorted(held)
+        for i, pane in enumerate(order):
+            want[pane, kind] = [v for p in order[max(0, i - 5) : i + 1] for v in held[p]]
+    assert set(got) == set(want) and all(got[k]["n"] == len(v) for k, v in want.items()) and min(map(len, want.values())) == 1
+    for k, values in want.items():
+        if len(values) < 20:
+            assert got[k]["above"] == (sum(v > 60 for v in values) / len(values) > 0.1), (k, values, got[k])
+    assert {"count", "range"} <= {r["stage"] for r in got.values()}
+    assert got["2024-02-01 00:00:00", "once"]["above"] and not got["2024-02-01 00:00:00", "low"]["above"]
