@@ -1,13 +1,10 @@
-"""SimHash near-duplicates by pivot distance tables.
-
-A fingerprint has 64 bits; two link at MAX_BITS or fewer differing bits. Each distinct fingerprint
-gets a table of its Hamming distances to reference fingerprints (pivots) in groups. Within a block of
-bits, the references are the base pivot with one bit of the block turned; the difference of a
-distance to that of the base says that bit, so equal differences over a set of blocks mean equal
-bits there, and the part of the table that makes a key is read off the fingerprint's own bits. With BLOCKS blocks two fingerprints that link agree on at least BLOCKS - MAX_BITS of
-them: candidates are those with equal differences over one such choice of blocks. They are dropped
-if any distance to the other pivots (random, fixed) differs by more than MAX_BITS, since distances
-obey the triangle inequality, and verified by their differing bits otherwise.
+"""SimHash near-duplicates by block keys and cleared bits, with a table of pivot distances as a filter.
+
+A fingerprint has 64 bits; two link at MAX_BITS or fewer differing bits. With BLOCKS blocks two
+fingerprints that link agree on at least BLOCKS - MAX_BITS of them: candidates are those with equal
+bits in one such choice of blocks. They are dropped if any distance to the pivots (random, fixed)
+differs by more than MAX_BITS, since distances obey the triangle inequality, and verified by their
+differing bits otherwise.
 
 A choice that many fingerprints share is not paired: each of its members is written with every way
 of clearing up to MAX_BITS of the bits outside the choice, and members that agree then are within
