@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASSES, MEMBERS = 16, 32, 32
+HIDDEN, CLASSES, MEMBERS = 16, 16, 32
 SYMBOLS = CLASSES * MEMBERS
 SHAPES = {"emb": (SYMBOLS, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "vc": (HIDDEN, CLASSES), "bc": (CLASSES,), "vw": (SYMBOLS, HIDDEN), "bw": (SYMBOLS,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-WINDOW, LANES = 16, 64
+#: Steps of a training window; lanes at most and at least, and symbols for each lane in between.
+WINDOW, LANES, LEAST_LANES, LANE_SYMBOLS = 32, 256, 16, 4096
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -63,10 +64,6 @@ def lanes(texts: list[np.ndarray], width: int, first: int) -> tuple[np.ndarray,
     return inputs, targets, starts, places
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _log_shares(x: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log-share of the wanted row of each column of scores, sums of x); x becomes shares but for division by the sums."""
     x -= x.max(axis=0)
@@ -125,33 +122,63 @@ def outputs(p: dict[str, np.ndarray], h: np.ndarray, targets: np.ndarray, grad:
     return logp, dh
 
 
+def _run(p, given, starts, h, kept=None) -> np.ndarray:
+    """States of steps x lanes; with kept, also what the way back needs.
+
+    Gates are halved sums, since a sigmoid is half a tanh of half its sum and a half.
+    """
+    H = HIDDEN
+    half = np.repeat(np.array([0.5, 0.5, 1.0], h.dtype), H)
+    gx, wh = (half * (p["emb"] @ p["wx"] + p["b"]))[given], half * p["wh"]
+    n_steps, n = given.shape
+    states = np.empty((n_steps, n, H), h.dtype)
+    if kept is not None:
+        kept |= {"zr": np.empty((n_steps, n, 2 * H), h.dtype), "new": np.empty_like(states), "back": np.empty_like(states), "before": np.empty_like(states)}
+    fresh = starts.any(axis=1)
+    gh = np.empty((n, 3 * H), h.dtype)
+    zr, new = np.empty((n, 2 * H), h.dtype), np.empty((n, H), h.dtype)
+    for t in range(n_steps):
+        if fresh[t]:
+            h = np.where(starts[t][:, None], np.zeros((), h.dtype), h)
+        if kept is not None:
+            zr, new = kept["zr"][t], kept["new"][t]
+            kept["before"][t] = h
+        np.matmul(h, wh, out=gh)
+        np.add(gx[t, :, : 2 * H], gh[:, : 2 * H], out=zr)
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        if kept is not None:
+            kept["back"][t] = gh[:, 2 * H :]
+        np.multiply(zr[:, H:], gh[:, 2 * H :], out=new)
+        new += gx[t, :, 2 * H :]
+        np.tanh(new, out=new)
+        out = states[t]
+        np.subtract(h, new, out=out)
+        out *= zr[:, :H]
+        out += new
+        h = out
+    return states
+
+
 def score(flat: np.ndarray, texts: list[np.ndarray], first: int, width: int = 256, window: int = 64) -> np.ndarray:
     """Natural log-probability of each whole text."""
     if not texts:
         return np.zeros(0)
     p = views(flat)
     inputs, targets, starts, places = lanes(texts, width, first)
-    table = p["emb"] @ p["wx"] + p["b"]
     n, steps = targets.shape
-    given, fresh = np.ascontiguousarray(inputs.T).astype("intp"), starts.any(axis=0)
+    given, starts = np.ascontiguousarray(inputs.T), np.ascontiguousarray(starts.T)
     h = np.zeros((n, HIDDEN), "float32")
     logs = np.zeros((n, steps), "float32")
-    H = HIDDEN
     for a in range(0, steps, window):
         b = min(a + window, steps)
-        states = np.empty((b - a, n, H), "float32")
-        for t in range(a, b):
-            if fresh[t]:
-                h = np.where(starts[:, t, None], np.float32(0), h)
-            gx, gh = table[given[t]], h @ p["wh"]
-            zr = _sigmoid(gx[:, : 2 * H] + gh[:, : 2 * H])
-            new = np.tanh(gx[:, 2 * H :] + zr[:, H:] * gh[:, 2 * H :])
-            h = new + zr[:, :H] * (h - new)
-            states[t - a] = h
+        states = _run(p, given[a:b], starts[a:b], h)
+        h = states[-1]
         wanted = targets[:, a:b].T.reshape(-1)
         live = np.flatnonzero(wanted >= 0)
         part = np.zeros(len(wanted), "float32")
-        part[live] = outputs(p, states.reshape(-1, H)[live], wanted[live])[0]
+        part[live] = outputs(p, states.reshape(-1, HIDDEN)[live], wanted[live])[0]
         logs[:, a:b] = part.reshape(b - a, n).T
     return np.array([logs[lane, at : at + k].sum(dtype="float64") for lane, at, k in places])
 
@@ -160,38 +187,47 @@ def window_gradient(p, inputs, targets, starts, h):
     """(mean loss, flat gradient, last state) of one window of lanes x steps."""
     flat = np.zeros(SIZE, p["emb"].dtype)
     g, H = views(flat), HIDDEN
-    table = p["emb"] @ p["wx"] + p["b"]
-    kept, states = [], []
-    for t in range(inputs.shape[1]):
-        h = np.where(starts[:, t, None], np.zeros((), h.dtype), h)
-        gx, gh = table[inputs[:, t]], h @ p["wh"]
-        z, r = _sigmoid(gx[:, :H] + gh[:, :H]), _sigmoid(gx[:, H : 2 * H] + gh[:, H : 2 * H])
-        new = np.tanh(gx[:, 2 * H :] + r * gh[:, 2 * H :])
-        kept.append((h, z, r, new, gh[:, 2 * H :]))
-        h = new + z * (h - new)
-        states.append(h)
+    given, starts = np.ascontiguousarray(inputs.T), np.ascontiguousarray(starts.T)
+    kept: dict[str, np.ndarray] = {}
+    states = _run(p, given, starts, h, kept)
+    n_steps, n, _ = states.shape
     wanted = targets.T.reshape(-1)
     live = np.flatnonzero(wanted >= 0)
-    every = np.concatenate(states)
-    logp, dlive = outputs(p, every[live], wanted[live], g)
+    every = states.reshape(-1, H)
+    logp, dlive = outputs(p, every if len(live) == len(wanted) else every[live], wanted[live], g)
     dall = np.zeros_like(every)
     dall[live] = dlive
-    dall = dall.reshape(len(states), -1, H)
-    dtable, dh = np.zeros_like(table), np.zeros_like(h)
-    for t in range(len(states) - 1, -1, -1):
-        before, z, r, new, ghn = kept[t]
-        d = dall[t] + dh
-        dz, dn = d * (before - new) * z * (1 - z), d * (1 - z) * (1 - new * new)
-        dr = dn * ghn * r * (1 - r)
-        dgx, dgh = np.hstack([dz, dr, dn]), np.hstack([dz, dr, dn * r])
-        np.add.at(dtable, inputs[:, t], dgx)
-        g["wh"] += before.T @ dgh
-        dh = np.where(starts[:, t, None], np.zeros((), h.dtype), d * z + dgh @ p["wh"].T)
-    g["emb"] += dtable @ p["wx"].T
-    g["wx"] += p["emb"].T @ dtable
+    dall = dall.reshape(states.shape)
+    z, r, new = kept["zr"][:, :, :H], kept["zr"][:, :, H:], kept["new"]
+    to_z, to_new, to_r = (kept["before"] - new) * z * (1 - z), (1 - z) * (1 - new * new), kept["back"] * r * (1 - r)
+    dgx, dgh = np.empty((n_steps, n, 3 * H), h.dtype), np.empty((n_steps, n, 3 * H), h.dtype)
+    back, fresh = np.ascontiguousarray(p["wh"].T), starts.any(axis=1)
+    dh = np.zeros((n, H), h.dtype)
+    for t in range(n_steps - 1, -1, -1):
+        d = dall[t]
+        d += dh
+        x = dgx[t]
+        np.multiply(d, to_z[t], out=x[:, :H])
+        np.multiply(d, to_new[t], out=x[:, 2 * H :])
+        np.multiply(x[:, 2 * H :], to_r[t], out=x[:, H : 2 * H])
+        dgh[t, :, : 2 * H] = x[:, : 2 * H]
+        np.multiply(x[:, 2 * H :], r[t], out=dgh[t, :, 2 * H :])
+        np.matmul(dgh[t], back, out=dh)
+        d *= z[t]
+        dh += d
+        if fresh[t]:
+            dh[starts[t]] = 0
+    dgx, dgh = dgx.reshape(-1, 3 * H), dgh.reshape(-1, 3 * H)
+    g["wh"] += kept["before"].reshape(-1, H).T @ dgh
+    seen = given.reshape(-1)
+    order = np.argsort(seen, kind="stable")
+    symbols, first = np.unique(seen[order], return_index=True)
+    dtable = np.add.reduceat(dgx[order], first, axis=0)
+    g["emb"][symbols] += dtable @ p["wx"].T
+    g["wx"] += p["emb"][symbols].T @ dtable
     g["b"] += dtable.sum(axis=0)
-    n = max(1, len(live))
-    return -logp.sum() / n, flat / n, h
+    count = max(1, len(live))
+    return -logp.sum() / count, flat / count, states[-1]
 
 
 def train(flat: np.ndarray, texts: list[np.ndarray], first: int, rate: float = 0.01) -> tuple[np.ndarray, int]:
@@ -200,15 +236,17 @@ def train(flat: np.ndarray, texts: list[np.ndarray], first: int, rate: float = 0
     if not texts:
         return flat, 0
     p = views(flat)
-    inputs, targets, starts, _ = lanes(texts, LANES, first)
+    total = sum(map(len, texts))
+    inputs, targets, starts, _ = lanes(texts, min(LANES, max(LEAST_LANES, total // LANE_SYMBOLS)), first)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     h = np.zeros((len(inputs), HIDDEN), "float32")
     steps = range(0, inputs.shape[1], WINDOW)
     for k, a in enumerate(steps, 1):
         w = slice(a, a + WINDOW)
         _, grad, h = window_gradient(p, inputs[:, w], targets[:, w], starts[:, w], h)
-        grad *= min(1.0, 1.0 / (float(np.sqrt((grad * grad).sum())) + 1e-9))
+        grad *= min(1.0, 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
         m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
+        grad *= grad
+        v += 0.01 * (grad - v)
         flat -= rate * (1 - 0.9 * k / len(steps)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
-    return flat, int((targets >= 0).sum())
+    return flat, total

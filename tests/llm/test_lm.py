@@ -77,20 +77,30 @@ def test_odd_rows(spark, tmp_path):
     assert lm.op7_lm(spark, f"{tmp_path}/none").count() == 0
 
 
-def test_list_and_network_come_from_every_training_text(spark, monkeypatch):
+def test_symbols_counts_and_network_come_from_every_training_text(spark, monkeypatch):
     rows = [(i, f"w{i % 40} w{i % 7} pair{i // 2}") for i in range(1500)]
+    rows = [(i, t if i % 5 != 1 else "held " * 50) for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    seen = {}
-    most_frequent, train_network = lm.most_frequent, lm.train_network
-    monkeypatch.setattr(lm, "most_frequent", lambda texts: seen.setdefault("list", most_frequent(texts)))
+    seen, train_network = {}, lm.train_network
 
     def trained(texts, lists, start):
-        seen["texts"] = texts.count()
+        seen.update(texts=texts.count(), lists=lists.value, start=start)
         return train_network(texts, lists, start)
 
     monkeypatch.setattr(lm, "train_network", trained)
     assert lm.score(df, df["doc_id"] % 5 != 1).count() == 1500
     train = [t for i, t in rows if i % 5 != 1]
     counts = Counter(w.encode() for t in train for w in t.split())
-    assert seen["texts"] == len(train)
-    assert seen["list"] == sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))
+    words, symbols = seen["lists"]
+    assert seen["texts"] == len(train) and b"held" in words and b"held" not in symbols
+    assert symbols == sorted(counts, key=lambda w: (-counts[w], w))[: lm.END]
+    share = np.exp(gru.views(seen["start"])["bc"].astype(float))
+    want = np.array([counts[w] for w in symbols] + [0] * (lm.END - len(symbols)) + [len(train)] + [sum(n for w, n in counts.items() if w not in symbols and lm.tail_of(w) == t) for t in range(lm.TAILS)]) + 0.5
+    assert np.allclose(share, want.reshape(gru.CLASSES, -1).sum(axis=1) / want.sum(), rtol=1e-3)
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 97} and" for i in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, "w1 and"), (7, "w2 and w3")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lm.score(df, df["doc_id"] != 2).collect()}
+    assert rows[1]["n_tokens"] == 120_001 and math.isfinite(rows[1]["score"]) and rows[1]["score"] < 0 and rows[7]["score"] < 0
