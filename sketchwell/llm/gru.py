@@ -14,7 +14,7 @@ SYMBOLS = CLASSES * MEMBERS
 SHAPES = {"emb": (SYMBOLS, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "vc": (HIDDEN, CLASSES), "bc": (CLASSES,), "vw": (SYMBOLS, HIDDEN), "bw": (SYMBOLS,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 #: Steps of a training window; lanes at most and at least, and symbols for each lane in between.
-WINDOW, LANES, LEAST_LANES, LANE_SYMBOLS = 32, 256, 16, 4096
+WINDOW, LANES, LEAST_LANES, LANE_SYMBOLS = 16, 512, 16, 2048
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:

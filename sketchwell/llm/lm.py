@@ -40,7 +40,7 @@ END = gru.SYMBOLS - TAILS - 1
 #: Words whose counts every task holds.
 LISTED = 131_072
 #: Distinct words that a counting task holds before it hands them on.
-HELD = 300_000
+HELD = 600_000
 #: Rounds of training; the numbers of one block of the network; groups in which tasks' blocks are added up first.
 ROUNDS, BLOCK, GROUPS = 2, 1024, 64
 #: Symbols that are scored together, lanes side by side.
@@ -122,6 +122,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("w").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
 
 
+def _least(words: DataFrame, column: str, n: int, more: bool) -> int:
+    """A count that at most n words reach, or (more) that n words reach if there are so many; counts are rounded down to six bits."""
+    value = F.col(column)
+    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(value)) - 6)).cast("long")
+    rows = sorted(words.where(value > 0).groupBy((value - value % step).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)  # 32 rows for each doubling
+    found, upto = 0, 0
+    for c, k in rows:
+        if not more and upto + k > n:
+            break
+        found, upto = c, upto + k
+        if more and upto >= n:
+            break
+    return found or 2**62
+
+
 def train_network(texts: DataFrame, lists, start: np.ndarray) -> np.ndarray:
     """Network parameters after ROUNDS of training, each on its share of texts, averaged over tasks; lists is a broadcast (words, symbols)."""
     flat = start
@@ -165,8 +180,8 @@ def score(df: DataFrame, training) -> DataFrame:
     docs = df.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("_train"))
     words = checkpointed(word_counts(docs))
     n_texts = docs.where("_train").count()
-    ranked = words.where("train > 0").orderBy(F.desc("train"), "w").limit(END).select("w", "train").collect()  # END rows
-    top = words.orderBy(F.desc("n"), "w").limit(LISTED).select("w", "train").toPandas()  # LISTED rows
+    ranked = words.where(F.col("train") >= _least(words, "train", END, True)).orderBy(F.desc("train"), "w").limit(END).select("w", "train").collect()  # END rows
+    top = words.where(F.col("n") >= _least(words, "n", LISTED, False)).select("w", "train").toPandas()  # LISTED rows at most
     symbols = [bytes(r["w"]) for r in ranked]
     count_of = dict(zip(map(bytes, top["w"]), top["train"].tolist(), strict=True)) | {bytes(r["w"]): r["train"] for r in ranked}
     lists = context.broadcast((list(count_of), symbols))

@@ -104,3 +104,13 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, "w1 and"), (7, "w2 and w3")], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in lm.score(df, df["doc_id"] != 2).collect()}
     assert rows[1]["n_tokens"] == 120_001 and math.isfinite(rows[1]["score"]) and rows[1]["score"] < 0 and rows[7]["score"] < 0
+
+
+def test_least_counts_bound_the_lists(spark):
+    rng = np.random.default_rng(3)
+    counts = [int(c) for c in np.floor(rng.pareto(0.7, 4000) * 3)]
+    df = spark.createDataFrame([(c,) for c in counts], "c long")
+    for n in (1, 10, 300, 5000):
+        least, most = lm._least(df, "c", n, True), lm._least(df, "c", n, False)
+        assert sum(c >= least for c in counts) >= min(n, sum(c > 0 for c in counts)) and sum(c >= most for c in counts) <= n
+    assert lm._least(df.limit(0), "c", 5, True) == lm._least(df.limit(0), "c", 5, False) == 2**62
