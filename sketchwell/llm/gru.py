@@ -13,8 +13,10 @@ HIDDEN, CLASSES, MEMBERS = 16, 16, 32
 SYMBOLS = CLASSES * MEMBERS
 SHAPES = {"emb": (SYMBOLS, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "vc": (HIDDEN, CLASSES), "bc": (CLASSES,), "vw": (SYMBOLS, HIDDEN), "bw": (SYMBOLS,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-#: Steps of a training window; lanes at most and at least, and symbols for each lane in between.
-WINDOW, LANES, LEAST_LANES, LANE_SYMBOLS = 16, 512, 16, 2048
+#: Windows that training is dealt over, symbols of a window at least and at most, and its steps at least and at most.
+WINDOWS, LEAST_SYMBOLS, MOST_SYMBOLS, LEAST_STEPS, MOST_STEPS = 256, 1024, 8192, 16, 256
+#: Lanes at most and at least, and symbols for each lane in between.
+LANES, LEAST_LANES, LANE_SYMBOLS = 512, 16, 2048
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -42,7 +44,8 @@ def lanes(texts: list[np.ndarray], width: int, first: int) -> tuple[np.ndarray,
     """(inputs, targets, starts, places): arrays of lanes x steps, targets -1 where a lane has ended.
 
     A text's inputs are its symbols one step late, `first` before them. places: each text's lane,
-    first step and length. The longest texts are placed first, each on the shortest lane.
+    first step and length. The longest texts are placed first, each on the shortest lane; longer
+    lanes come first, so that those that have not ended stand together.
     """
     import heapq
 
@@ -53,6 +56,8 @@ def lanes(texts: list[np.ndarray], width: int, first: int) -> tuple[np.ndarray,
         at, lane = heapq.heappop(free)
         places[i] = (lane, at, len(texts[i]))
         heapq.heappush(free, (at + len(texts[i]), lane))
+    rank = {lane: k for k, (_, lane) in enumerate(sorted(free, reverse=True))}
+    places = [(rank[lane], at, n) for lane, at, n in places]
     steps = max(at for at, _ in free)
     targets = np.full((len(free), steps), -1, "int16")
     inputs = np.full((len(free), steps), first, "int16")
@@ -168,18 +173,18 @@ def score(flat: np.ndarray, texts: list[np.ndarray], first: int, width: int = 25
     p = views(flat)
     inputs, targets, starts, places = lanes(texts, width, first)
     n, steps = targets.shape
-    given, starts = np.ascontiguousarray(inputs.T), np.ascontiguousarray(starts.T)
+    given, starts, ends = np.ascontiguousarray(inputs.T), np.ascontiguousarray(starts.T), (targets >= 0).sum(axis=1)
     h = np.zeros((n, HIDDEN), "float32")
     logs = np.zeros((n, steps), "float32")
     for a in range(0, steps, window):
-        b = min(a + window, steps)
-        states = _run(p, given[a:b], starts[a:b], h)
+        b, k = min(a + window, steps), int((ends > a).sum())  # lanes that have not ended
+        states = _run(p, given[a:b, :k], starts[a:b, :k], h[:k])
         h = states[-1]
-        wanted = targets[:, a:b].T.reshape(-1)
+        wanted = targets[:k, a:b].T.reshape(-1)
         live = np.flatnonzero(wanted >= 0)
         part = np.zeros(len(wanted), "float32")
         part[live] = outputs(p, states.reshape(-1, HIDDEN)[live], wanted[live])[0]
-        logs[:, a:b] = part.reshape(b - a, n).T
+        logs[:k, a:b] = part.reshape(b - a, k).T
     return np.array([logs[lane, at : at + k].sum(dtype="float64") for lane, at, k in places])
 
 
@@ -237,16 +242,22 @@ def train(flat: np.ndarray, texts: list[np.ndarray], first: int, rate: float = 0
         return flat, 0
     p = views(flat)
     total = sum(map(len, texts))
-    inputs, targets, starts, _ = lanes(texts, min(LANES, max(LEAST_LANES, total // LANE_SYMBOLS)), first)
+    width = max(LEAST_LANES, total // max(LANE_SYMBOLS, *map(len, texts)))
+    inputs, targets, starts, _ = lanes(texts, min(LANES, width), first)
+    ends, steps = (targets >= 0).sum(axis=1), targets.shape[1]
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     h = np.zeros((len(inputs), HIDDEN), "float32")
-    steps = range(0, inputs.shape[1], WINDOW)
-    for k, a in enumerate(steps, 1):
-        w = slice(a, a + WINDOW)
-        _, grad, h = window_gradient(p, inputs[:, w], targets[:, w], starts[:, w], h)
+    most = min(MOST_SYMBOLS, max(LEAST_SYMBOLS, total // WINDOWS))
+    a = k = done = 0
+    while a < steps:
+        live = int((ends > a).sum())
+        b, k = a + min(MOST_STEPS, max(LEAST_STEPS, most // live)), k + 1
+        _, grad, h = window_gradient(p, inputs[:live, a:b], targets[:live, a:b], starts[:live, a:b], h[:live])
         grad *= min(1.0, 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
         m += 0.1 * (grad - m)
         grad *= grad
         v += 0.01 * (grad - v)
-        flat -= rate * (1 - 0.9 * k / len(steps)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
+        done += int((targets[:live, a:b] >= 0).sum())
+        flat -= rate * (1 - 0.9 * done / total) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
+        a = b
     return flat, total

@@ -43,8 +43,8 @@ LISTED = 131_072
 HELD = 600_000
 #: Rounds of training; the numbers of one block of the network; groups in which tasks' blocks are added up first.
 ROUNDS, BLOCK, GROUPS = 2, 1024, 64
-#: Symbols that are scored together, lanes side by side.
-POOL = 1_000_000
+#: Symbols that are trained on, and scored, together, lanes side by side.
+LEARNED, POOL = 4_000_000, 1_000_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -151,7 +151,7 @@ def train_network(texts: DataFrame, lists, start: np.ndarray) -> np.ndarray:
                 for t in batch.column("text").to_pylist():
                     held.append(known.read(words_of(t))[1])
                     n += len(held[-1])
-                    if n > POOL:
+                    if n > LEARNED:
                         at, trained = gru.train(at, held, END)
                         seen, held, n = seen + trained, [], 0
             at, trained = gru.train(at, held, END)
