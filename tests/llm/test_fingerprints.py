@@ -14,10 +14,35 @@ def test_peeling_recovers_the_difference(spark):
         a = shared + [rng.getrandbits(63) for _ in range(rng.randint(0, n + 2))]
         b = shared + [-rng.getrandbits(63) for _ in range(rng.randint(0, n + 2))]
         rows.append((a, b))
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
-    for r in df.select("a", "b", fingerprints.difference(F.col("a"), F.col("b")).alias("d")).collect():
-        assert {(x["c"], x["k"]) for x in r["d"]} == {(1, k) for k in set(r["a"]) - set(r["b"])} | {(-1, k) for k in set(r["b"]) - set(r["a"])}
-        assert len(r["d"]) == len(set(r["a"]) ^ set(r["b"]))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a array<long>, b array<long>")
+    e = F.explode(fingerprints.dealt(1, F.col("a"), F.col("b"))).alias("e")
+    found = fingerprints.recovered(df.select("i", e, F.lit(None).cast("int").alias("kept")), ["i"])
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["i"], []).extend((x["c"], x["k"]) for x in r["found"])
+    for i, (a, b) in enumerate(rows):
+        d = got.get(i, [])
+        assert set(d) == {(1, k) for k in set(a) - set(b)} | {(-1, k) for k in set(b) - set(a)} and len(d) == len(set(a) ^ set(b))
+    assert found.where("i = 10").count() > 20
+
+
+def test_a_section_that_fails_is_compared_by_its_digests(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "WIDTHS", (1,))
+    df = spark.createDataFrame([([1, 2, 3, 9], [3, 4])], "a array<long>, b array<long>")
+    found = df.select(fingerprints.difference(F.col("a"), F.col("b")).alias("d")).first()["d"]
+    assert sorted((x["c"], x["k"]) for x in found) == [(-1, 4), (1, 1), (1, 2), (1, 9)]
+
+
+def test_written_fingerprints_subtract(spark):
+    rng = random.Random(4)
+    a = [rng.getrandbits(64) - 2**63 for _ in range(50)]
+    b = a[3:] + [5, -6]
+    df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+    table = lambda c: fingerprints.text_of(fingerprints.of_digests(F.col(c), fingerprints.FINGERPRINT))
+    written = df.select(table("a").alias("a"), table("b").alias("b"))
+    left = fingerprints.subtract(fingerprints.cells_of(F.col("a")), fingerprints.cells_of(F.col("b")))
+    found = written.select(fingerprints.peel(left, F.lit(fingerprints.FINGERPRINT - 1)).alias("d")).first()["d"]
+    assert {(x["c"], x["k"]) for x in found} == {(1, k) for k in a[:3]} | {(-1, 5), (-1, -6)}
 
 
 def test_small_tables_fail_and_larger_ones_succeed(spark):
@@ -25,7 +50,7 @@ def test_small_tables_fail_and_larger_ones_succeed(spark):
     keys = [rng.getrandbits(62) for _ in range(60)]
     df = spark.createDataFrame([(keys,)], "a array<long>")
     none = F.expr("cast(array() as array<bigint>)")
-    placed = lambda c, m: fingerprints.table(F.transform(c, lambda h: fingerprints._placed(h)), m)
+    placed = lambda c, m: fingerprints.of_digests(c, m + 1)
     tried = lambda m: fingerprints.peel(fingerprints.subtract(placed(F.col("a"), m), placed(none, m)), m)
     sizes = [df.select(tried(F.lit(w - 1)).alias("d")).first()["d"] for w in (8, 64)]
     assert sizes[0] is None and {x["k"] for x in sizes[1]} == set(keys)
@@ -68,6 +93,29 @@ def test_next_over_sparse_ids(spark, monkeypatch):
     assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
 
 
+def test_ids_that_many_rows_have_are_cut_by_the_hash(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 5)
+    rng = random.Random(5)
+    ids = [None] * 150 + [7] * 200 + [9] + [rng.randint(-100, 100) for _ in range(40)]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").withColumn("_tie", F.xxhash64("text"))
+    rows = df.collect()
+    order = sorted(rows, key=lambda r: (-(2**63) if r["doc_id"] is None else r["doc_id"], r["_tie"]))
+    got = fingerprints.with_next(df, "doc_id", ["text"])
+    assert {r["text"]: r["next_text"] for r in got.collect()} == {r["text"]: order[(k + 1) % len(order)]["text"] for k, r in enumerate(order)}
+    assert got.groupBy("_range").count().agg(F.max("count")).first()[0] < 40
+
+
+def test_very_long_text(spark):
+    a = "\n".join(f"line {i}" for i in range(30_000))
+    b = a.replace("line 777\n", "other\n")
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in fingerprints.compare(fingerprints.versions(df)).collect()}
+    want = brute([(1, a), (2, b)])
+    for k in (1, 2):
+        assert (rows[k]["n_chars"], rows[k]["edited_sha256"]) == want[k][:2]
+        assert abs(rows[k]["near_edited"] - want[k][2]) < 1e-9 and abs(rows[k]["near_next"] - want[k][3]) < 1e-9
+
+
 def test_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, digests string, next_text int"
     data = [(1, None, "x", 1), (None, "Null id.", None, 2), (3, "One. Two.\nThree.", "x", 1), (3, "One. Two.\nThree.", "x", 1), (9, "", "x", 1)]
