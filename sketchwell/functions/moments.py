@@ -125,6 +125,12 @@ def markov_bounds(t: Column, order: int, logs: bool = False) -> tuple[Column, Co
     return lo, hi
 
 
+def markov_quantile_error(q: Column, p: float) -> Column:
+    """The greatest rank error of q as the p-quantile of a state, by Markov's inequality on its mean alone."""
+    reach = F.when(q > F.col("mn"), (F.col("p1") / F.col("n") - F.col("mn")) / (q - F.col("mn"))).otherwise(F.lit(1.0))
+    return F.greatest(F.lit(float(p)), F.least(F.lit(1.0), reach) - (1 - p))
+
+
 def usable_order(center_over_half: Column) -> Column:
     """The highest order whose scaled sums keep some digits in double precision."""
     return F.floor((53 * log10(2) - 2.58) / (log10(6) + F.log10(F.abs(center_over_half) + 1))).cast("long")

@@ -118,91 +118,191 @@ class Density:
         return float(np.interp(y, _fine(), self.below, 0.0, 1.0))
 
 
-def newton(functions: np.ndarray, means: np.ndarray, weights: np.ndarray, tol: float = 1e-9, most: int = 200) -> tuple[np.ndarray, bool]:
-    """Coefficients of the density whose means of the functions are the given ones; functions[0] is 1."""
-    at = np.zeros(len(means))
-    at[0] = -np.log(2.0)
-    value = lambda c: float(weights @ np.exp(np.minimum(c @ functions, 700.0)) - c @ means)
-    potential = value(at)
+def newton(functions: np.ndarray, means: np.ndarray, weights: np.ndarray, tol: float = 1e-9, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of the densities whose means of the functions are the given ones, and which converged.
+
+    functions is densities x functions x nodes, means densities x functions; the first function is 1.
+    All densities step together; one that is done is left out of later steps.
+    """
+    at = np.zeros(means.shape)
+    at[:, 0] = -np.log(2.0)
+    value = lambda f, m, c: np.exp(np.minimum(np.matmul(c[:, None], f)[:, 0], 700.0)) @ weights - (c * m).sum(axis=1)
+    potential, converged, going = value(functions, means, at), np.zeros(len(at), bool), np.arange(len(at))
     for _ in range(most):
-        mass = weights * np.exp(np.minimum(at @ functions, 700.0))
-        slope = functions @ mass - means
-        if np.abs(slope).max() < tol:
-            return at, True
-        curve = (functions * mass) @ functions.T
-        try:
-            step = -np.linalg.solve(curve, slope)
-        except np.linalg.LinAlgError:
-            step = -np.linalg.pinv(curve) @ slope
-        if not np.isfinite(step).all():
+        if not len(going):
             break
-        size, downhill = 1.0, slope @ step
-        while size > 1e-6 and not (new := value(at + size * step)) <= potential + 0.3 * size * downhill + 1e-14:
-            size /= 4
-        if size <= 1e-6:
-            return at, bool(np.abs(slope).max() < 1e-6)
-        at, potential = at + size * step, new
-    return at, False
+        f, m, c = functions[going], means[going], at[going]
+        mass = weights * np.exp(np.minimum(np.matmul(c[:, None], f)[:, 0], 700.0))
+        slope = np.matmul(f, mass[:, :, None])[:, :, 0] - m
+        done = np.abs(slope).max(axis=1) < tol
+        converged[going[done]] = True
+        curve = np.matmul(f * mass[:, None], f.transpose(0, 2, 1))
+        step = -_solved(curve, slope)
+        usable = np.isfinite(step).all(axis=1) & ~done
+        step[~usable] = 0
+        downhill, size, before = (slope * step).sum(axis=1), np.ones(len(going)), potential[going]
+        after = value(f, m, c + step)
+        while (short := usable & (size > 1e-6) & ~(after <= before + 0.3 * size * downhill + 1e-14)).any():
+            size[short] /= 4
+            after[short] = value(f[short], m[short], c[short] + size[short, None] * step[short])
+        stuck = usable & (size <= 1e-6)
+        converged[going[stuck & (np.abs(slope).max(axis=1) < 1e-6)]] = True
+        moved = usable & ~stuck
+        at[going[moved]] = (c + size[:, None] * step)[moved]
+        potential[going[moved]] = after[moved]
+        going = going[moved]
+    return at, converged
+
+
+def _solved(curve: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:  # one is singular: solve them apart
+        out = np.full(slope.shape, np.nan)
+        for i, (a, b) in enumerate(zip(curve, slope, strict=True)):
+            if np.isfinite(a).all():
+                out[i] = np.linalg.pinv(a) @ b
+        return out
+
+
+def _densities(functions, coefficients, ends, logs, converged) -> list[Density]:
+    _, weights = grid()
+    power = np.matmul(coefficients[:, None], functions)[:, 0]
+    f = np.exp(np.minimum(power, 700.0))
+    below = np.maximum.accumulate(np.clip(f @ _cumulative().T, 0, None), axis=1)
+    out = []
+    for i, (lo, hi) in enumerate(ends):
+        share = below[i] / below[i][-1] if below[i][-1] > 0 else (_fine() + 1) / 2
+        out.append(Density(lo, hi, bool(logs[i]), share, bool(converged[i]), -float(weights @ (f[i] * power[i]))))
+    return out
 
 
-def _density(functions, coefficients, lo, hi, logs, converged) -> Density:
-    _, weights = grid()
-    f = np.exp(np.minimum(coefficients @ functions, 700.0))
-    below = np.maximum.accumulate(np.clip(_cumulative() @ f, 0, None))
-    entropy = -float(weights @ (f * (coefficients @ functions)))
-    return Density(lo, hi, logs, below / below[-1] if below[-1] > 0 else (_fine() + 1) / 2, converged, entropy)
+def usable_order(lo: float, hi: float) -> int:
+    """The highest power whose scaled sums keep some digits in double precision."""
+    center = abs((hi + lo) / (hi - lo)) if hi > lo else 0.0
+    return int((53 * np.log10(2) - 2.58) / (np.log10(6) + np.log10(center + 1)))
+
+
+def usable_means(sums, lo: float, hi: float) -> np.ndarray:
+    """Chebyshev means that can be right: of usable orders, and up to the first above one in size."""
+    means = chebyshev_means(sums[: max(3, usable_order(lo, hi) + 1)], lo, hi)
+    return means[: trusted(means)]
 
 
 def choose(state: State) -> bool:
     """Whether the logarithm is the primary scale: as many usable moments, and closer to uniform."""
     if not state.positive or state.log_hi <= state.log_lo:
         return False
-    plain = chebyshev_means(state.sums, state.lo, state.hi)
-    logs = chebyshev_means(state.log_sums, state.log_lo, state.log_hi)
-    k, j = trusted(plain), trusted(logs)
-    return j >= k and from_uniform(logs[:j]) < from_uniform(plain[:k])
+    plain, logs = usable_means(state.sums, state.lo, state.hi), usable_means(state.log_sums, state.log_lo, state.log_hi)
+    return len(logs) >= len(plain) and from_uniform(logs) < from_uniform(plain)
 
 
-def fit(state: State, both: bool = True, logs: bool | None = None) -> Density:
-    """Maximum entropy density. both: take functions of the other scale too while they stay well conditioned."""
+@dataclass
+class _Plan:
+    """One density to be fitted: its scale, and the functions that it takes of it and of the other."""
+
+    logs: bool
+    ends: tuple[float, float]
+    means: np.ndarray
+    other: np.ndarray
+    other_means: np.ndarray
+    size: int
+    other_size: int = 0
+
+    def functions(self) -> np.ndarray:
+        return np.concatenate([_polynomials(self.size), self.other[: self.other_size]])
+
+    def wanted(self) -> np.ndarray:
+        return np.concatenate([self.means[: self.size], self.other_means[: self.other_size]])
+
+
+@cache
+def _polynomials(k: int) -> np.ndarray:
+    return C.chebvander(grid()[0], k - 1).T
+
+
+def _plan(state: State, both: bool, logs: bool | None) -> _Plan:
     y, weights = grid()
-    log_first = choose(state) if logs is None else logs and state.positive
-    ends, sums = ((state.log_lo, state.log_hi), state.log_sums) if log_first else ((state.lo, state.hi), state.sums)
-    means = chebyshev_means(sums, *ends)
-    k = max(2, trusted(means))
-    functions = [C.chebval(y, [0] * i + [1]) for i in range(k)]
-    wanted = list(means[:k])
+    log_first = choose(state) if logs is None else bool(logs and state.positive)
+    scales = [((state.lo, state.hi), state.sums), ((state.log_lo, state.log_hi), state.log_sums)]
+    (ends, sums), (other_ends, other_sums) = scales[::-1] if log_first else scales
+    means = usable_means(sums, *ends)
+    if len(means) < 2:
+        means = chebyshev_means(sums, *ends)[:2]
+    plan = _Plan(log_first, ends, means, np.zeros((0, len(y))), np.zeros(0), len(means))
     if both and state.positive and state.log_hi > state.log_lo:
-        other_ends, other_sums = ((state.lo, state.hi), state.sums) if log_first else ((state.log_lo, state.log_hi), state.log_sums)
         x = y * (ends[1] - ends[0]) / 2 + (ends[0] + ends[1]) / 2
         moved = np.exp(x) if log_first else np.log(np.maximum(x, state.lo))
         z = np.clip((moved - sum(other_ends) / 2) / ((other_ends[1] - other_ends[0]) / 2), -1, 1)
-        other = chebyshev_means(other_sums, *other_ends)
-        for j in range(1, trusted(other)):
-            more = [*functions, C.chebval(z, [0] * j + [1])]
-            stack = np.array(more)
-            if np.linalg.cond((stack * weights) @ stack.T) > WELL_CONDITIONED:
-                break
-            functions, wanted = more, [*wanted, other[j]]
-    primary = k
-    while True:
-        stack = np.array(functions)
-        found, converged = newton(stack, np.array(wanted), weights)
-        if converged or len(functions) <= 2:
-            return _density(stack, found, *ends, log_first, converged)
-        drop = len(functions) - 1 if len(functions) > primary else primary - 1
-        primary = min(primary, drop) if len(functions) == primary else primary
-        functions.pop(drop)
-        wanted.pop(drop)
+        other = usable_means(other_sums, *other_ends)
+        plan.other, plan.other_means = C.chebvander(z, max(1, len(other) - 1)).T[1:], other[1:]
+        stack = np.concatenate([_polynomials(plan.size), plan.other])
+        gram = (stack * weights) @ stack.T
+        while plan.other_size < len(plan.other_means) and np.linalg.cond(gram[: (n := plan.size + plan.other_size + 1), :n]) <= WELL_CONDITIONED:
+            plan.other_size += 1
+    return plan
+
+
+def fit_all(states: list[State], both: bool = True, logs: bool | None = None) -> list[Density]:
+    """Maximum entropy densities, those of as many functions solved together.
+
+    both: take functions of the other scale too while they stay well conditioned. A density that does
+    not converge is solved again with a function less, down to two.
+    """
+    _, weights = grid()
+    found: dict[int, Density] = {}
+    open_plans = {i: _plan(s, both, logs) for i, s in enumerate(states)}
+    while open_plans:
+        shapes: dict[int, list[int]] = {}
+        for i, plan in open_plans.items():
+            shapes.setdefault(plan.size + plan.other_size, []).append(i)
+        for n, members in shapes.items():
+            plans = [open_plans[i] for i in members]
+            functions, wanted = np.stack([p.functions() for p in plans]), np.stack([p.wanted() for p in plans])
+            coefficients, converged = newton(functions, wanted, weights)
+            densities = _densities(functions, coefficients, [p.ends for p in plans], [p.logs for p in plans], converged)
+            for i, plan, density in zip(members, plans, densities, strict=True):
+                if density.converged or n <= 2:
+                    found[i] = density
+                    del open_plans[i]
+                elif plan.other_size:
+                    plan.other_size -= 1
+                else:
+                    plan.size -= 1
+    return [found[i] for i in range(len(states))]
+
+
+def fit(state: State, both: bool = True, logs: bool | None = None) -> Density:
+    return fit_all([state], both, logs)[0]
+
+
+def quantiles_all(states: list[State], ps, **how) -> list[tuple[list[float], bool]]:
+    """Each state's quantiles, and whether its density converged."""
+    out: list[tuple[list[float], bool]] = []
+    fitted = [i for i, s in enumerate(states) if s.n > 0 and np.isfinite([s.lo, s.hi]).all() and s.lo < s.hi]
+    densities = dict(zip(fitted, fit_all([states[i] for i in fitted], **how), strict=True))
+    for i, s in enumerate(states):
+        if i in densities:
+            out.append(([float(min(s.hi, max(s.lo, x))) for x in densities[i].quantile(list(ps))], densities[i].converged))
+        elif s.n > 0 and np.isfinite([s.lo, s.hi]).all():
+            out.append(([s.lo] * len(ps), True))
+        else:
+            out.append(([float("nan")] * len(ps), False))
+    return out
+
+
+def hybrid_all(states: list[State], ps) -> list[tuple[list[float], bool]]:
+    """Quantiles of each state in the one scale, plain or logarithmic, whose worst rank errors are smaller on average."""
+    plain, logs = quantiles_all(states, ps, both=False, logs=False), quantiles_all(states, ps, both=False, logs=True)
+
+    def worst(s: State, qs: list[float]) -> float:
+        return float(np.mean([rank_error_bound(s, q, p) for q, p in zip(qs, ps, strict=True)]))
+
+    return [b if s.positive and s.log_lo < s.log_hi and b[1] and worst(s, b[0]) < worst(s, a[0]) else a for s, a, b in zip(states, plain, logs, strict=True)]
 
 
 def quantiles(state: State, ps, **how) -> tuple[list[float], bool]:
-    if state.n <= 0 or not np.isfinite([state.lo, state.hi]).all():
-        return [float("nan")] * len(ps), False
-    if state.lo == state.hi:
-        return [state.lo] * len(ps), True
-    found = fit(state, **how)
-    return [float(min(state.hi, max(state.lo, x))) for x in found.quantile(list(ps))], found.converged
+    return quantiles_all([state], ps, **how)[0]
 
 
 class Canonical:
@@ -238,6 +338,14 @@ class Canonical:
     def width(self, x: float) -> float:
         return float(self._weight((x - (self.hi + self.lo) / 2) / ((self.hi - self.lo) / 2))[0])
 
+    def width_by_determinants(self, x: float) -> float:
+        """The weight at x as the ratio of the Hankel determinants of the moments, and of the moments about x less one order."""
+        y = (x - (self.hi + self.lo) / 2) / ((self.hi - self.lo) / 2)
+        hankel = np.linalg.inv(self.inverse)
+        shift = np.array([[comb(i, j) * (-y) ** (i - j) if j <= i else 0.0 for j in range(self.n + 1)] for i in range(self.n + 1)])
+        moved = shift @ hankel @ shift.T
+        return float(np.linalg.det(moved) / np.linalg.det(moved[1:, 1:]))
+
     def below(self, x: float) -> tuple[float, float]:
         """Least and greatest share of values at or below x."""
         at, weight = self.points(x)
@@ -294,12 +402,6 @@ def least_squares_quantiles(state: State, ps, cells: int = 1000) -> list[float]:
     return [float(np.interp(p, below / below[-1], y) * (state.hi - state.lo) / 2 + (state.hi + state.lo) / 2) for p in ps]
 
 
-def markov_error(mean: float, lo: float, x: float, p: float) -> float:
-    """Greatest rank error of x as the p-quantile by Markov's inequality on the mean alone."""
-    reach = (mean - lo) / (x - lo) if x > lo else 1.0
-    return max(p, min(1.0, reach) - (1 - p))
-
-
 def digest(values: np.ndarray, weights: np.ndarray, compression: float = 100.0) -> tuple[np.ndarray, np.ndarray]:
     """Centroids and weights of a merging t-digest: one pass over sorted values under the arcsine scale."""
     order = np.argsort(values, kind="stable")

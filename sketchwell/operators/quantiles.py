@@ -14,37 +14,44 @@ from ..functions import solver as S
 
 QS = (0.01, *[round(0.05 * i, 2) for i in range(1, 20)], 0.99)
 
-SOLVERS: dict[str, Callable[[S.State, tuple], tuple[list[float], bool]]] = {
-    "maxent": lambda s, ps: S.quantiles(s, ps),
-    "maxent_single": lambda s, ps: S.quantiles(s, ps, both=False),
-    "maxent_plain": lambda s, ps: S.quantiles(s, ps, both=False, logs=False),
-    "maxent_log": lambda s, ps: S.quantiles(s, ps, both=False, logs=True),
-    "gaussian": lambda s, ps: (S.gaussian_quantiles(s, ps), True),
-    "least_squares": lambda s, ps: (S.least_squares_quantiles(s, ps) if s.hi > s.lo else [s.lo] * len(ps), True),
+SOLVERS: dict[str, Callable[[list[S.State], tuple], list[tuple[list[float], bool]]]] = {
+    "maxent": lambda ss, ps: S.quantiles_all(ss, ps),
+    "maxent_single": lambda ss, ps: S.quantiles_all(ss, ps, both=False),
+    "maxent_plain": lambda ss, ps: S.quantiles_all(ss, ps, both=False, logs=False),
+    "maxent_log": lambda ss, ps: S.quantiles_all(ss, ps, both=False, logs=True),
+    "hybrid": S.hybrid_all,
+    "gaussian": lambda ss, ps: [(S.gaussian_quantiles(s, ps), True) for s in ss],
+    "least_squares": lambda ss, ps: [(S.least_squares_quantiles(s, ps) if s.hi > s.lo else [s.lo] * len(ps), True) for s in ss],
 }
+#: States that are solved together.
+TOGETHER = 256
 
 
-def state_of(row, order: int, log_order: int) -> S.State:
-    sums = (float(row.n), *[float(getattr(row, f"p{i}")) for i in range(1, order + 1)])
-    if not log_order or not row.ln_n:
-        return S.State(float(row.mn), float(row.mx), sums)
-    logs = (float(row.ln_n), *[float(getattr(row, f"l{i}")) for i in range(1, log_order + 1)])
-    return S.State(float(row.mn), float(row.mx), sums, float(row.ln_mn), float(row.ln_mx), logs)
+def states_of(pdf: pd.DataFrame, order: int, log_order: int) -> list[S.State]:
+    """The states of a frame's rows, taken column by column."""
+    plain = pdf[["n", *[f"p{i}" for i in range(1, order + 1)]]].to_numpy("float64")
+    lo, hi = pdf["mn"].to_numpy("float64"), pdf["mx"].to_numpy("float64")
+    if not log_order:
+        return [S.State(a, b, tuple(x)) for a, b, x in zip(lo, hi, plain.tolist(), strict=True)]
+    logs = pdf[["ln_n", *[f"l{i}" for i in range(1, log_order + 1)]]].to_numpy("float64")
+    ends = pdf[["ln_mn", "ln_mx"]].to_numpy("float64").tolist()
+    return [S.State(a, b, tuple(x), *e, tuple(y)) if y[0] > 0 else S.State(a, b, tuple(x)) for a, b, x, e, y in zip(lo, hi, plain.tolist(), ends, logs.tolist(), strict=True)]
 
 
-def per_state(states: DataFrame, fields: list[T.StructField], use: Callable[[S.State, object], dict]) -> DataFrame:
-    """states with fields from use(state, row), row by row of groups."""
+def per_state(states: DataFrame, fields: list[T.StructField], use: Callable[[list[S.State], pd.DataFrame], list[list]]) -> DataFrame:
+    """states with fields from use(states, frame), which gives a list for each field; groups come in batches."""
     order, log_order = M.order_of(states.columns), M.order_of(states.columns, "l")
     kept = [c for c in states.columns if c not in {f.name for f in fields}]
     states = states.select(*kept)
     schema = T.StructType([*states.schema.fields, *fields])
 
     def run(batches):
-        for pdf in batches:
-            found = [use(state_of(r, order, log_order), r) for r in pdf.itertuples(index=False)]
-            for f in fields:
-                pdf[f.name] = pd.Series([x[f.name] for x in found], index=pdf.index, dtype="object" if isinstance(f.dataType, (T.ArrayType, T.StructType)) else None)
-            yield pdf
+        for whole in batches:
+            for start in range(0, len(whole), TOGETHER):
+                pdf = whole.iloc[start : start + TOGETHER].reset_index(drop=True)
+                for f, values in zip(fields, use(states_of(pdf, order, log_order), pdf), strict=True):
+                    pdf[f.name] = pd.Series(values, index=pdf.index, dtype="object" if isinstance(f.dataType, (T.ArrayType, T.StructType)) else None)
+                yield pdf
 
     return states.mapInPandas(run, schema)
 
@@ -52,18 +59,15 @@ def per_state(states: DataFrame, fields: list[T.StructField], use: Callable[[S.S
 def quantiles(states: DataFrame, ps=QS, method: str = "maxent") -> DataFrame:
     """states with qs (array, in the order of ps) and converged."""
     solve, ps = SOLVERS[method], tuple(ps)
-
-    def use(state, _):
-        qs, converged = solve(state, ps)
-        return {"qs": qs, "converged": converged}
-
-    return per_state(states, [T.StructField("qs", T.ArrayType(T.DoubleType())), T.StructField("converged", T.BooleanType())], use)
+    fields = [T.StructField("qs", T.ArrayType(T.DoubleType())), T.StructField("converged", T.BooleanType())]
+    return per_state(states, fields, lambda ss, _: [list(x) for x in zip(*solve(ss, ps), strict=True)] or [[], []])
 
 
 def error_bounds(solved: DataFrame, ps=QS) -> DataFrame:
     """solved (with qs) with errors: the greatest rank error each quantile can have."""
     ps = tuple(ps)
-    return per_state(solved, [T.StructField("errors", T.ArrayType(T.DoubleType()))], lambda s, r: {"errors": [S.rank_error_bound(s, x, p) for x, p in zip(r.qs, ps, strict=True)]})
+    use = lambda ss, pdf: [[[S.rank_error_bound(s, x, p) for x, p in zip(qs, ps, strict=True)] for s, qs in zip(ss, pdf["qs"], strict=True)]]
+    return per_state(solved, [T.StructField("errors", T.ArrayType(T.DoubleType()))], use)
 
 
 def exploded(solved: DataFrame, keys: list[str], ps=QS) -> DataFrame:
@@ -76,12 +80,12 @@ def canonical_points(states: DataFrame, t: float) -> DataFrame:
     """states with points: the (pos, weight) of the distribution with most mass at t."""
     item = T.StructType([T.StructField("pos", T.DoubleType()), T.StructField("weight", T.DoubleType())])
 
-    def use(state, _):
+    def points(state):
         if not state.lo < t < state.hi:
-            return {"points": []}
-        return {"points": [{"pos": float(a), "weight": float(b)} for a, b in zip(*S.Canonical(state.sums, state.lo, state.hi).points(t), strict=True)]}
+            return []
+        return [{"pos": float(a), "weight": float(b)} for a, b in zip(*S.Canonical(state.sums, state.lo, state.hi).points(t), strict=True)]
 
-    return per_state(states, [T.StructField("points", T.ArrayType(item))], use)
+    return per_state(states, [T.StructField("points", T.ArrayType(item))], lambda ss, _: [[points(s) for s in ss]])
 
 
 def exact(df: DataFrame, keys: list[str], x: str, ps) -> DataFrame:
@@ -90,14 +94,21 @@ def exact(df: DataFrame, keys: list[str], x: str, ps) -> DataFrame:
     return df.groupBy(*keys).agg(*found)
 
 
-def rank_errors(df: DataFrame, keys: list[str], x: str, estimates: DataFrame) -> DataFrame:
-    """(keys, p, q, n, rank_error) of estimates (keys, p, q), against all rows of df.
+def rank_errors(df: DataFrame, keys: list[str], x: str, estimates: DataFrame, ps) -> DataFrame:
+    """(keys, p, q, n, rank_error) of estimates (keys, p, q) of the shares ps, against all rows of df.
 
-    The estimates are few; each row of df meets only those of its group.
+    A group's estimates are one row, which each row of df meets once; what it lies below is counted
+    in that row's place, so that counts combine on the map side.
     """
-    few = estimates.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "p", "q")
+    ps = sorted(float(p) for p in ps)
+    per_group = estimates.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"_q{i}") for i, p in enumerate(ps)])
+    qs = [f"_q{i}" for i in range(len(ps))]
+    few = per_group.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *qs)
     on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    joined = df.select(*keys, x).join(few, on) if keys else df.select(x).crossJoin(F.broadcast(few))
-    counted = joined.groupBy(*keys, "p", "q").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(x) < F.col("q")).cast("long")).alias("_li"), F.sum((F.col(x) <= F.col("q")).cast("long")).alias("_ri"))
-    at = F.floor(F.col("p") * F.col("n"))
-    return counted.withColumn("rank_error", F.greatest(F.lit(0), at - F.col("_ri"), F.col("_li") - at) / F.col("n")).drop("_li", "_ri")
+    joined = df.select(*keys, x).join(few, on) if keys else df.select(x).crossJoin(F.broadcast(few))  # one row without keys
+    below = lambda i: [F.sum((F.col(x) < F.col(f"_q{i}")).cast("long")).alias(f"_l{i}"), F.sum((F.col(x) <= F.col(f"_q{i}")).cast("long")).alias(f"_r{i}")]
+    counted = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.first(q).alias(q) for q in qs], *[c for i in range(len(ps)) for c in below(i)])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"_q{i}").alias("q"), F.col(f"_l{i}").alias("l"), F.col(f"_r{i}").alias("r")) for i, p in enumerate(ps)]))
+    rows = counted.select(*keys, "n", each.alias("e")).where(F.col("e.q").isNotNull())
+    at = F.floor(F.col("e.p") * F.col("n"))
+    return rows.select(*keys, "e.p", "e.q", "n", (F.greatest(F.lit(0), at - F.col("e.r"), F.col("e.l") - at) / F.col("n")).alias("rank_error"))

@@ -61,7 +61,12 @@ def slide(paned: DataFrame, keys: list[str], n: int) -> DataFrame:
     return paned.select("pane", *keys, *out)
 
 
-def reduced_precision(states: DataFrame) -> DataFrame:
-    """States with sums kept in single precision."""
+def reduced_precision(states: DataFrame, bits: int = 24) -> DataFrame:
+    """States whose sums keep so many significant bits."""
     sums = [c for c in states.columns if c[0] in "pl" and c[1:].isdigit()]
-    return states.withColumns({c: F.col(c).cast("float").cast("double") for c in sums})
+
+    def cut(c):
+        step = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(c))) + 1 - bits)
+        return F.when(c == 0, c).otherwise(F.rint(c / step) * step)
+
+    return states.withColumns({c: cut(F.col(c).cast("double")) for c in sums})

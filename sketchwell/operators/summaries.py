@@ -1,31 +1,38 @@
 """Other quantile summaries behind one interface: build, merge, quantiles, size.
 
-Histograms on power-of-two grids, KLL and Greenwald-Khanna use Spark's own aggregates; reservoirs are
-the rows of least hash; t-digests are built in Arrow batches and merged per group.
+Histograms on power-of-two grids and KLL use Spark's own aggregates; reservoirs are the rows of least
+hash. T-digests, streaming histograms that merge, Greenwald-Khanna tuples and random buffers are
+stored states: each task keeps one a group through all its batches, and states of a group merge in
+two levels, so that no task gets more than a share of them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import buffers as B
 from ..functions import moments as M
 from ..functions import solver as S
 from . import quantiles as Q
 from . import states
 
+#: Groups whose states a task holds before it hands them on; shares in which a group's states merge first.
+HELD, SHARES = 10_000, 64
+
 
 def grid_histogram(df: DataFrame, keys: list[str], x: str, bins: int) -> DataFrame:
     """(keys, width, origin, bin, n): bins on a grid whose width is a power of two, so that grids nest."""
     ends = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     width = F.when(F.col("_hi") > F.col("_lo"), F.pow(F.lit(2.0), F.ceil(F.log2((F.col("_hi") - F.col("_lo")) / (bins - 1))))).otherwise(F.lit(1.0))
     ends = ends.withColumn("width", width).withColumn("origin", F.floor(F.col("_lo") / F.col("width")) * F.col("width"))
-    joined = df.join(F.broadcast(ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "width", "origin")), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else df.crossJoin(F.broadcast(ends))
+    joined = df.join(ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "width", "origin"), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else df.crossJoin(F.broadcast(ends))
     spot = F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("origin")) / F.col("width"))).cast("int")
     return joined.groupBy(*keys, "width", "origin", spot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -70,58 +77,179 @@ def gk_quantiles(df: DataFrame, keys: list[str], x: str, ps, accuracy: int = 100
     return df.groupBy(*keys).agg(F.percentile_approx(x, [float(p) for p in ps], accuracy).alias("qs"))
 
 
-def streaming_histogram(df: DataFrame, keys: list[str], x: str, size: int) -> DataFrame:
-    """(keys, hist): at most size centroids with counts, the nearest merged."""
-    return df.groupBy(*keys).agg(F.histogram_numeric(F.col(x).cast("double"), F.lit(size)).alias("hist"), F.min(x).alias("mn"), F.max(x).alias("mx"))
+def built(df: DataFrame, keys: list[str], x: str, fields: str, add) -> DataFrame:
+    """(keys, fields, mn, mx): states of the finite values of x, one a group and task; add(state or None, values) gives a state as a tuple of arrays."""
+    rows = df.select(*keys, F.col(x).cast("double").alias("_x")).where(M.finite(F.col("_x")))
+    names = [f.split()[0] for f in fields.split(", ")]
+    schema = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], fields, "mn double", "mx double"])
 
+    def out(held):
+        found = [[*key, *state, lo, hi] for key, (state, lo, hi) in held.items()]
+        return pd.DataFrame(found, columns=[*keys, *names, "mn", "mx"])
 
-def streaming_histogram_quantile(hists: DataFrame, keys: list[str], p: float) -> DataFrame:
-    """(keys, q) between centroids' centers; the ends are exact."""
-    total = F.aggregate("hist", F.lit(0.0), lambda a, b: a + b["y"])
-    rows = hists.select(*keys, "mn", "mx", total.alias("_n"), F.posexplode("hist").alias("_i", "_b"))
-    along = W.partitionBy(*keys).orderBy("_i") if keys else W.partitionBy(F.lit(1)).orderBy("_i")
-    rows = rows.withColumn("_c", F.sum(F.col("_b.y")).over(along) - F.col("_b.y") / 2).withColumn("_x", F.col("_b.x"))
-    rows = rows.withColumn("_c0", F.coalesce(F.lag("_c").over(along), F.lit(0.0))).withColumn("_x0", F.coalesce(F.lag("_x").over(along), F.col("mn")))
-    want = F.lit(float(p)) * F.col("_n")
-    inside = F.col("_x0") + (F.col("_x") - F.col("_x0")) * (want - F.col("_c0")) / (F.col("_c") - F.col("_c0"))
-    found = rows.groupBy(*keys, "mx").agg(F.min_by(F.when(F.col("_c") >= want, inside), F.when(F.col("_c") >= want, F.col("_i"))).alias("q"))
-    return found.select(*keys, F.coalesce("q", "mx").alias("q"))
+    def run(batches):
+        held: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False)["_x"] if keys else [((), pdf["_x"])]:
+                key = tuple(None if k is pd.NaT or k != k else k for k in key)
+                values = part.to_numpy()
+                state, lo, hi = held.get(key, (None, np.inf, -np.inf))
+                held[key] = add(state, values), min(lo, values.min()), max(hi, values.max())
+            if len(held) > HELD:
+                yield out(held)
+                held = {}
+        if held:
+            yield out(held)
 
+    return rows.mapInPandas(run, schema)
 
-def tdigest(df: DataFrame, keys: list[str], x: str, compression: float = 100.0) -> DataFrame:
-    """(keys, means, weights, mn, mx): a digest per group, built in each task and merged once."""
-    rows = df.select(*keys, F.col(x).cast("double").alias("x")).where(M.finite(F.col("x")))
-    fields = "means array<double>, weights array<double>, mn double, mx double"
-    schema = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], fields])
 
-    def build(batches):
+def merged(parts: DataFrame, keys: list[str], names: list[str], merge) -> DataFrame:
+    """parts (keys, names, mn, mx) with one row a group; merge(lists of arrays, one for each name) gives a state."""
+    schema = parts.schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = merge(*[pdf[c].to_list() for c in names])
+        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], *state, pdf["mn"].min(), pdf["mx"].max()]], columns=schema.names)
+
+    share = F.spark_partition_id() % SHARES
+    first = parts.withColumn("_share", share).groupBy(*keys, "_share").applyInPandas(lambda pdf: run(pdf.drop(columns="_share")), schema)
+    return first.groupBy(*keys).applyInPandas(run, schema)
+
+
+def per_group(states: DataFrame, keys: list[str], field: str, use) -> DataFrame:
+    """(keys, field): use(row) of every state's row."""
+
+    def run(batches):
         for pdf in batches:
-            for key, part in (pdf.groupby(keys, dropna=False) if keys else [((), pdf)]):
-                means, weights = S.digest(part["x"].to_numpy(), np.ones(len(part)), compression)
-                yield pd.DataFrame([[*key, means, weights, part["x"].min(), part["x"].max()]], columns=[*keys, "means", "weights", "mn", "mx"])
+            yield pdf[keys].assign(**{field.split()[0]: pd.Series([use(r) for r in pdf.itertuples(index=False)], index=pdf.index, dtype="object" if "array" in field else None)})
 
-    return merge_tdigests(rows.mapInPandas(build, schema), keys, compression)
+    return states.mapInPandas(run, ", ".join([*[f"`{k}` {states.schema[k].dataType.simpleString()}" for k in keys], field]))
 
 
-def merge_tdigests(digests: DataFrame, keys: list[str], compression: float = 100.0) -> DataFrame:
-    columns = digests.columns
+def _joined(lists) -> np.ndarray:
+    return np.concatenate([np.asarray(x, float) for x in lists])
+
+
+def streaming_histogram(df: DataFrame, keys: list[str], x: str, size: int, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(keys, centers, counts, mn, mx): at most size centers with counts, the nearest merged; with limits, of values from low to high only."""
+    if low is not None or high is not None:
+        within = (F.col(x) >= F.lit(low)) if low is not None else F.lit(True)
+        df = df.where(within & (F.col(x) <= F.lit(high)) if high is not None else within)
+
+    def add(state, values):
+        distinct, n = np.unique(values, return_counts=True)
+        return B.nearest_merged(distinct, n, size) if state is None else B.nearest_merged(np.concatenate([state[0], distinct]), np.concatenate([state[1], n]), size)
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        means, weights = S.digest(np.concatenate(pdf["means"].to_list()), np.concatenate(pdf["weights"].to_list()), compression)
-        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], means, weights, pdf["mn"].min(), pdf["mx"].max()]], columns=columns)
+    return merge_streaming_histograms(built(df, keys, x, "centers array<double>, counts array<double>", add), keys, size)
 
-    return digests.groupBy(*keys).applyInPandas(merge, digests.schema)
+
+def merge_streaming_histograms(hists: DataFrame, keys: list[str], size: int) -> DataFrame:
+    return merged(hists.select(*keys, "centers", "counts", "mn", "mx"), keys, ["centers", "counts"], lambda c, n: B.nearest_merged(_joined(c), _joined(n), size))
+
+
+def streaming_histogram_quantiles(hists: DataFrame, keys: list[str], ps) -> DataFrame:
+    """(keys, qs) between centers; the ends are exact."""
+    ps = [float(p) for p in ps]
+    return per_group(hists, keys, "qs array<double>", lambda r: S.digest_quantile(np.array(r.centers), np.array(r.counts), r.mn, r.mx, ps).tolist())
+
+
+def streaming_histogram_below(hists: DataFrame, keys: list[str], x: float) -> DataFrame:
+    """(keys, n_below): how many values are at most x."""
+    return per_group(hists, keys, "n_below double", lambda r: B.share_below(np.array(r.centers), np.array(r.counts), r.mn, r.mx, x) * sum(r.counts))
+
+
+def tdigest(df: DataFrame, keys: list[str], x: str, compression: float = 100.0) -> DataFrame:
+    """(keys, means, weights, mn, mx): a digest per group."""
+
+    def add(state, values):
+        means, weights = state or (np.zeros(0), np.zeros(0))
+        return S.digest(np.concatenate([means, values]), np.concatenate([weights, np.ones(len(values))]), compression)
+
+    return merge_tdigests(built(df, keys, x, "means array<double>, weights array<double>", add), keys, compression)
+
+
+def merge_tdigests(digests: DataFrame, keys: list[str], compression: float = 100.0) -> DataFrame:
+    return merged(digests.select(*keys, "means", "weights", "mn", "mx"), keys, ["means", "weights"], lambda m, w: S.digest(_joined(m), _joined(w), compression))
 
 
 def tdigest_quantiles(digests: DataFrame, keys: list[str], ps) -> DataFrame:
     ps = [float(p) for p in ps]
+    return per_group(digests, keys, "qs array<double>", lambda r: S.digest_quantile(np.array(r.means), np.array(r.weights), r.mn, r.mx, ps).tolist())
 
-    def run(batches):
-        for pdf in batches:
-            qs = [list(S.digest_quantile(np.array(r.means), np.array(r.weights), r.mn, r.mx, ps)) for r in pdf.itertuples(index=False)]
-            yield pdf[keys].assign(qs=pd.Series(qs, index=pdf.index))
 
-    return digests.mapInPandas(run, ", ".join([*[f"`{k}` {digests.schema[k].dataType.simpleString()}" for k in keys], "qs array<double>"]))
+def tdigest_below(digests: DataFrame, keys: list[str], x: float) -> DataFrame:
+    """(keys, share): the share of values at most x."""
+    return per_group(digests, keys, "share double", lambda r: B.share_below(np.array(r.means), np.array(r.weights), r.mn, r.mx, x))
+
+
+def random_buffers(df: DataFrame, keys: list[str], x: str, size: int) -> DataFrame:
+    """(keys, held, weights, mn, mx): buffers of at most size values for each power of two, halved at random as they fill."""
+
+    def add(state, values):
+        held, weights = state or (np.zeros(0), np.zeros(0))
+        return B.collapsed(np.concatenate([held, values]), np.concatenate([weights, np.ones(len(values))]), size)
+
+    return merge_random_buffers(built(df, keys, x, "held array<double>, weights array<double>", add), keys, size)
+
+
+def merge_random_buffers(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
+    return merged(parts.select(*keys, "held", "weights", "mn", "mx"), keys, ["held", "weights"], lambda v, w: B.collapsed(_joined(v), _joined(w), size))
+
+
+def random_quantiles(parts: DataFrame, keys: list[str], ps) -> DataFrame:
+    ps = [float(p) for p in ps]
+    return per_group(parts, keys, "qs array<double>", lambda r: B.weighted_quantile(np.array(r.held), np.array(r.weights), ps))
+
+
+_TUPLES = ["tops", "gaps", "slacks"]
+
+
+def gk(df: DataFrame, keys: list[str], x: str, accuracy: int) -> DataFrame:
+    """(keys, tops, gaps, slacks, mn, mx): Greenwald-Khanna tuples whose ranks are within 1 / accuracy, as a stored state."""
+    error = 1 / (2 * accuracy)  # half for building, since merging adds
+
+    def add(state, values):
+        fresh = np.sort(values), np.ones(len(values)), np.zeros(len(values))
+        both = [fresh] if state is None else [state, fresh]
+        return B.tuples_merged(*zip(*both, strict=True), error)
+
+    return merge_gk(built(df, keys, x, "tops array<double>, gaps array<double>, slacks array<double>", add), keys, accuracy)
+
+
+def merge_gk(parts: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
+    error = 1 / (2 * accuracy)
+    arrays = lambda lists: [np.asarray(x, float) for x in lists]
+    return merged(parts.select(*keys, *_TUPLES, "mn", "mx"), keys, _TUPLES, lambda v, g, d: B.tuples_merged(arrays(v), arrays(g), arrays(d), error))
+
+
+def gk_state_quantiles(parts: DataFrame, keys: list[str], ps) -> DataFrame:
+    ps = [float(p) for p in ps]
+    return per_group(parts, keys, "qs array<double>", lambda r: B.tuple_quantile(np.array(r.tops), np.array(r.gaps), np.array(r.slacks), 0.0, ps))
+
+
+def kll_cdf(sketches: DataFrame, keys: list[str], splits) -> DataFrame:
+    """(keys, cdf): the shares of values at most each split."""
+    return sketches.select(*keys, F.array(*[F.call_function("kll_sketch_get_rank_double", F.col("sketch"), F.lit(float(x))) for x in splits]).alias("cdf"))
+
+
+def kll_pmf(sketches: DataFrame, keys: list[str], splits) -> DataFrame:
+    """(keys, pmf): the shares of values between splits; the first is of those up to the least split, the last of those above the greatest."""
+    cdf = kll_cdf(sketches, keys, splits)
+    ends = F.concat(F.array(F.lit(0.0)), F.col("cdf")), F.concat(F.col("cdf"), F.array(F.lit(1.0)))
+    return cdf.select(*keys, F.zip_with(*ends, lambda a, b: b - a).alias("pmf"))
+
+
+def kll_bounds(sketches: DataFrame, keys: list[str], p: float, k: int) -> DataFrame:
+    """(keys, lo, q, hi): a quantile and those a rank error lower and higher, between which the true one lies."""
+    at = lambda s: F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), F.lit(float(min(1.0, max(0.0, s)))))
+    error = kll_error(k, pmf=False)
+    return sketches.select(*keys, at(p - error).alias("lo"), at(p).alias("q"), at(p + error).alias("hi"))
+
+
+def even_quantiles(sketches: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, qs): n quantiles of evenly spaced shares from 0 to 1."""
+    return kll_quantiles(sketches, keys, [i / (n - 1) for i in range(n)])
 
 
 def reservoir(df: DataFrame, keys: list[str], row_id: str, x: str, k: int, seed: int = 42) -> DataFrame:
@@ -131,8 +259,10 @@ def reservoir(df: DataFrame, keys: list[str], row_id: str, x: str, k: int, seed:
 
 
 def merge_reservoirs(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    order = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("priority", "x")
-    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    """The k rows of least hash of each group: first within shares of a group, then of what these leave."""
+    least = lambda df, by: df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("priority", "x"))).where(F.col("_r") <= k).drop("_r")
+    shared = least(rows.withColumn("_share", F.pmod("priority", F.lit(SHARES))), [*keys, "_share"]).drop("_share")
+    return least(shared, keys or [F.lit(1)])
 
 
 def subset_sum(sample: DataFrame, keys: list[str], total: DataFrame, condition) -> DataFrame:
@@ -155,6 +285,28 @@ def ks_distance(df: DataFrame, side: str, x: str) -> DataFrame:
     return upto.crossJoin(F.broadcast(total)).agg(F.max(gap).alias("distance"))
 
 
+def ks_threshold(n, m, alpha: float = 0.05):
+    """The distance that two samples of n and m values of one distribution exceed with a chance of alpha; numbers or columns."""
+    reach = (-0.5 * log(alpha / 2)) ** 0.5
+    return reach * (F.sqrt((n + m) / (n * m)) if isinstance(n, Column) else ((n + m) / (n * m)) ** 0.5)
+
+
+def ks_test(df: DataFrame, side: str, x: str, alpha: float = 0.05) -> DataFrame:
+    """(distance, threshold, differ): whether x is told apart on the two values of a boolean column."""
+    counts = df.where(F.col(x).isNotNull()).agg(F.sum(F.col(side).cast("long")).alias("_n"), F.sum((~F.col(side)).cast("long")).alias("_m"))
+    joined = ks_distance(df, side, x).crossJoin(counts)  # one row each
+    found = joined.withColumn("threshold", ks_threshold(F.col("_n").cast("double"), F.col("_m").cast("double"), alpha))
+    return found.select("distance", "threshold", (F.col("distance") > F.col("threshold")).alias("differ"))
+
+
+def kll_ks(one: DataFrame, two: DataFrame, points: int = 200) -> DataFrame:
+    """(distance) between two sketches (a row each), at `points` quantiles of both; off by a point's share and the sketches' errors."""
+    at = lambda c: F.array(*[F.call_function("kll_sketch_get_quantile_double", F.col(c), F.lit(i / points)) for i in range(1, points)])
+    both = one.select(F.col("sketch").alias("_a")).crossJoin(two.select(F.col("sketch").alias("_b"))).select(at("_a").alias("_a"), at("_b").alias("_b"))
+    rank = lambda c: F.size(F.filter(c, lambda q: q <= F.col("_x"))) / points
+    return both.select("_a", "_b", F.explode(F.concat("_a", "_b")).alias("_x")).agg(F.max(F.abs(rank("_a") - rank("_b"))).alias("distance"))
+
+
 def running(df: DataFrame, order: str, values: list[str], ranges: int = 64) -> DataFrame:
     """df with upto_<v>: sums of v up to each row in the order of a distinct column, without one task that sees all rows."""
     edges = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("e")).first()["e"] or []
@@ -188,7 +340,7 @@ class Summary:
         return REGISTRY[self.name](df, keys, x, ps, self.size)
 
     def error(self) -> float | None:
-        return {"gk": lambda s: 1 / s, "kll": lambda s: kll_error(int(s)), "reservoir": lambda s: 2.5 * (0.25 / s) ** 0.5}.get(canonical(self.name), lambda s: None)(self.size)
+        return {"gk": lambda s: 1 / s, "gk_adaptive": lambda s: 1 / s, "kll": lambda s: kll_error(int(s)), "reservoir": lambda s: 2.5 * (0.25 / s) ** 0.5}.get(canonical(self.name), lambda s: None)(self.size)
 
 
 def _from_states(df, keys, x, ps, size, logs, method):
@@ -209,28 +361,22 @@ def _grid_quantiles(df, keys, x, ps, size):
     return out.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "q"))), lambda s: s["q"]).alias("qs"))
 
 
-def _stream_quantiles(df, keys, x, ps, size):
-    hist, out = streaming_histogram(df, keys, x, int(size)), None
-    for i, p in enumerate(ps):
-        one = streaming_histogram_quantile(hist, keys, p).withColumn("_p", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "q"))), lambda s: s["q"]).alias("qs"))
-
-
 REGISTRY = {
     "moments": lambda df, keys, x, ps, size: _from_states(df, keys, x, ps, size, False, "maxent_plain"),
     "log_moments": lambda df, keys, x, ps, size: _from_states(df, keys, x, ps, size, True, "maxent"),
-    "hybrid_moments": lambda df, keys, x, ps, size: _from_states(df, keys, x, ps, size, True, "maxent_single"),
+    "hybrid_moments": lambda df, keys, x, ps, size: _from_states(df, keys, x, ps, size, True, "hybrid"),
     "grid_histogram": _grid_quantiles,
-    "streaming_histogram": _stream_quantiles,
+    "streaming_histogram": lambda df, keys, x, ps, size: streaming_histogram_quantiles(streaming_histogram(df, keys, x, int(size)), keys, ps),
     "gk": lambda df, keys, x, ps, size: gk_quantiles(df, keys, x, ps, int(size)),
+    "gk_adaptive": lambda df, keys, x, ps, size: gk_state_quantiles(gk(df, keys, x, int(size)), keys, ps),
+    "random": lambda df, keys, x, ps, size: random_quantiles(random_buffers(df, keys, x, int(size)), keys, ps),
     "kll": lambda df, keys, x, ps, size: kll_quantiles(kll(df, keys, x, int(size)), keys, ps),
     "tdigest": lambda df, keys, x, ps, size: tdigest_quantiles(tdigest(df, keys, x, size), keys, ps),
     "reservoir": _reservoir_quantiles,
     "exact": lambda df, keys, x, ps, size: df.groupBy(*keys).agg(F.array(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})") for p in ps]).alias("qs")),
 }
 #: Names that configurations use for the same summaries.
-ALIASES = {"cmoments": "log_moments", "hybrid": "hybrid_moments", "histogram": "grid_histogram", "approx_histogram": "streaming_histogram", "spark_gk": "gk", "gk_adaptive": "gk", "yahoo": "kll", "random": "kll", "sampling": "reservoir", "reservoir_sampling": "reservoir"}
+ALIASES = {"cmoments": "log_moments", "hybrid": "hybrid_moments", "histogram": "grid_histogram", "approx_histogram": "streaming_histogram", "spark_gk": "gk", "yahoo": "kll", "sampling": "reservoir", "reservoir_sampling": "reservoir"}
 
 
 def canonical(name: str) -> str:

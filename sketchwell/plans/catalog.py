@@ -7,6 +7,7 @@ the count and the expected verdict, it does not repeat the estimate. Metrics are
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 from pyspark.sql import Window as W
@@ -203,7 +204,7 @@ def full_sort(spark, sf):
 
 def _verdict(df, keys, x, estimates, bound):
     """(keys, n, ok): whether every quantile's rank error is within the bound."""
-    errors = Q.rank_errors(df, keys, x, estimates)
+    errors = Q.rank_errors(df, keys, x, estimates, _PS)
     return errors.groupBy(*keys).agg(F.max("n").alias("n"), (F.max("rank_error") <= bound).alias("ok"))
 
 
@@ -240,8 +241,8 @@ def error_bounds_hold(spark, sf):
     df = _lineitem(spark, sf)
     solved = Q.error_bounds(Q.quantiles(A.build(df, ["l_returnflag"], F.col("l_extendedprice"), 8), _PS), _PS)
     bounds = solved.select("l_returnflag", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in _PS]).alias("p"), F.col("errors").alias("e"))).alias("x")).select(F.col("l_returnflag").alias("_k"), F.col("x.p").alias("_p"), F.col("x.e").alias("bound"))
-    errors = Q.rank_errors(df, ["l_returnflag"], "l_extendedprice", Q.exploded(solved, ["l_returnflag"], _PS))
-    joined = errors.join(F.broadcast(bounds), (F.col("l_returnflag") == F.col("_k")) & (F.col("p") == F.col("_p")))
+    errors = Q.rank_errors(df, ["l_returnflag"], "l_extendedprice", Q.exploded(solved, ["l_returnflag"], _PS), _PS)
+    joined = errors.join(bounds, (F.col("l_returnflag") == F.col("_k")) & (F.col("p") == F.col("_p")))
     return joined.groupBy("l_returnflag").agg(F.max("n").alias("n"), F.bool_and(F.col("rank_error") <= F.col("bound") + 1e-6).alias("ok"))
 
 
@@ -251,7 +252,7 @@ def bound_containment(spark, sf):
     df, t = _lineitem(spark, sf), 50_000.0
     bounds = H.tail_bounds(A.build(df, ["l_returnflag"], F.col("l_extendedprice"), 8, logs=True), t).select("l_returnflag", "lo", "hi")
     true = df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_extendedprice") > t).cast("double")).alias("share"))
-    return true.join(F.broadcast(bounds), "l_returnflag").select("l_returnflag", "n", ((F.col("lo") <= F.col("share") + 1e-9) & (F.col("share") <= F.col("hi") + 1e-9)).alias("contained"))
+    return true.join(bounds, "l_returnflag").select("l_returnflag", "n", ((F.col("lo") <= F.col("share") + 1e-9) & (F.col("share") <= F.col("hi") + 1e-9)).alias("contained"))
 
 
 def _cascade(spark, sf):
@@ -281,11 +282,33 @@ def cube_search(spark, sf):
     return H.cascade(large.withColumn("t", F.lit(45.0)), "t", 0.05).where("above").select(*_FLAGS, "level", "n")
 
 
+_CUTS = (20, 60, 120, 200)
+
+
+def _many(spark, sf):
+    events = table(spark, sf, "events")
+    states = A.build(events, ["user_id", "event_type"], F.col("value"), 6, logs=True)
+    decided = H.cascade(states.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in _CUTS]))), "t", 0.1)
+    return H.counted_where_open(decided, ["user_id", "event_type"], events, "value", 0.1)
+
+
+@query(f"""SELECT user_id, event_type, t, count(*) AS n, avg(CAST(value > t AS INT)) > 0.1 AS above
+FROM events, (SELECT unnest({[float(t) for t in _CUTS]})::DOUBLE AS t) WHERE isfinite(value) GROUP BY ALL""")
+def cascade_many(spark, sf):
+    """Thousands of groups: of which users and types do over a tenth of the values exceed each cut; exact, open groups are counted."""
+    return _many(spark, sf).select("user_id", "event_type", "t", "n", "above")
+
+
 @query()
-def sliding_threshold(spark, sf):
+def cascade_many_stages(spark, sf):
+    return H.stage_counts(_many(spark, sf))
+
+
+def sliding(spark, sf):
     """Panes' sliding windows in which over a tenth of the values exceed a bound, with the deciding stage.
 
-    A density fitted to under 20 values says little: where it would decide, such a window's values are counted (stage count).
+    Where only a fitted density would decide, the window's values are counted (stage count): panes'
+    counts slide as their states do.
     """
     events = table(spark, sf, "events").where(M.finite(F.col("value").cast("double")))  # as build has it
     paned = A.panes(events, "ts", "1 hour", ["event_type"], F.col("value"), 6, logs=True)
@@ -294,9 +317,29 @@ def sliding_threshold(spark, sf):
     frame = W.partitionBy("event_type").orderBy("pane").rowsBetween(-5, 0)  # as slide has it
     counted = over.select(F.col("pane").alias("_pane"), F.col("event_type").alias("_type"), F.sum("over").over(frame).alias("over"))
     joined = decided.join(counted, F.col("pane").eqNullSafe(F.col("_pane")) & F.col("event_type").eqNullSafe(F.col("_type")))
-    few = (F.col("n") < 20) & (F.col("stage") == "density")
-    above = F.when(few, F.col("over") / F.col("n") > 0.1).otherwise(F.col("above"))
-    return joined.select("pane", "event_type", "n", above.alias("above"), F.when(few, "count").otherwise(F.col("stage")).alias("stage"))
+    open_ = F.col("stage") == "density"
+    above = F.when(open_, F.col("over") / F.col("n") > 0.1).otherwise(F.col("above"))
+    return joined.select("pane", "event_type", "n", above.alias("above"), F.when(open_, "count").otherwise(F.col("stage")).alias("stage"))
+
+
+_OVER_SQL = "SELECT time_bucket(INTERVAL '1 hour', ts) AS pane, event_type, count(*) AS n, count(*) FILTER (value > 60) AS c FROM events WHERE isfinite(value) GROUP BY ALL"
+
+
+@query(f"SELECT epoch_us(pane) AS pane, event_type, CAST(sum(n) {_FRAME} AS BIGINT) AS n, sum(c) {_FRAME} / sum(n) {_FRAME} > 0.1 AS above FROM ({_OVER_SQL})")
+def sliding_threshold(spark, sf):
+    return sliding(spark, sf).select(F.unix_micros("pane").alias("pane"), "event_type", "n", "above")
+
+
+@query()
+def sliding_stages(spark, sf):
+    return H.stage_counts(sliding(spark, sf))
+
+
+@query("SELECT l_returnflag, " + ", ".join(f"round(greatest({p}, least(1.0, CASE WHEN {q} > mn THEN (p1 / n - mn) / ({q} - mn) ELSE 1.0 END) - (1 - {p})), 6) AS e{round(100 * p)}" for p, q in ((0.5, 26.0), (0.9, 46.0))) + f" FROM {_STATE5}")
+def markov_quantile_error(spark, sf):
+    """What the mean alone says of two quantile estimates."""
+    found = A.build(_lineitem(spark, sf), ["l_returnflag"], QTY, 5)
+    return found.select("l_returnflag", *[F.round(M.markov_quantile_error(F.lit(q), p), 6).alias(f"e{round(100 * p)}") for p, q in ((0.5, 26.0), (0.9, 46.0))])
 
 
 _HIST_SQL = """WITH e AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
@@ -338,7 +381,7 @@ def _summary_ok(name: str, size: float, bound: float):
     _QUERIES[key], _SQL[key] = run, sql
 
 
-for _name, _size, _bound in [("gk", 200, 0.01), ("gk_adaptive", 200, 0.01), ("kll", 400, 0.02), ("random", 400, 0.02), ("tdigest", 200, 0.01), ("reservoir", 1500, 0.06), ("streaming_histogram", 100, 0.02), ("grid_histogram", 100, 0.03), ("moments", 11, 0.02), ("log_moments", 11, 0.02), ("hybrid_moments", 11, 0.02)]:
+for _name, _size, _bound in [("gk", 200, 0.01), ("gk_adaptive", 100, 0.01), ("kll", 400, 0.02), ("random", 500, 0.02), ("tdigest", 200, 0.01), ("reservoir", 1500, 0.06), ("streaming_histogram", 100, 0.02), ("grid_histogram", 100, 0.03), ("moments", 11, 0.02), ("log_moments", 11, 0.02), ("hybrid_moments", 11, 0.02)]:
     _summary_ok(_name, _size, _bound)
 
 
@@ -346,7 +389,7 @@ for _name, _size, _bound in [("gk", 200, 0.01), ("gk_adaptive", 200, 0.01), ("kl
 def rank_error_of_builtin(spark, sf):
     df = table(spark, sf, "orders")
     solved = Y.gk_quantiles(df, [], "o_totalprice", _PS, 1000)
-    errors = Q.rank_errors(df, [], "o_totalprice", Q.exploded(solved, [], _PS))
+    errors = Q.rank_errors(df, [], "o_totalprice", Q.exploded(solved, [], _PS), _PS)
     return errors.agg(F.max("n").alias("n"), (F.max("rank_error") <= 0.002).alias("ok"))
 
 
@@ -360,6 +403,81 @@ def kll_merge_rank_ok(spark, sf):
     return true.crossJoin(F.broadcast(rank)).select("n", (F.abs(F.col("share") - F.col("rank")) <= 0.02).alias("ok"))
 
 
+def _merged_ok(name: str, build, merge, quantiles, bound: float):
+    """Registers a query that builds cells' states, merges them, and holds the merged ones against all rows."""
+
+    @query(_ok_sql("event_type", "events"))
+    def run(spark, sf):
+        df = table(spark, sf, "events")
+        cells = build(A.cells(df, "event_id", 2_000), ["event_type", "cell_id"])
+        solved = quantiles(merge(cells.drop("cell_id"), ["event_type"]), ["event_type"])
+        return _verdict(df, ["event_type"], "value", Q.exploded(solved, ["event_type"], _PS), bound)
+
+    _QUERIES[f"{name}_merge_ok"], _SQL[f"{name}_merge_ok"] = _QUERIES.pop("run"), _SQL.pop("run")
+
+
+_merged_ok("streaming_histogram", lambda df, keys: Y.streaming_histogram(df, keys, "value", 100), lambda s, keys: Y.merge_streaming_histograms(s, keys, 100), lambda s, keys: Y.streaming_histogram_quantiles(s, keys, _PS), 0.03)
+_merged_ok("tdigest", lambda df, keys: Y.tdigest(df, keys, "value", 200), lambda s, keys: Y.merge_tdigests(s, keys, 200), lambda s, keys: Y.tdigest_quantiles(s, keys, _PS), 0.02)
+_merged_ok("gk", lambda df, keys: Y.gk(df, keys, "value", 100), lambda s, keys: Y.merge_gk(s, keys, 100), lambda s, keys: Y.gk_state_quantiles(s, keys, _PS), 0.01)
+_merged_ok("random", lambda df, keys: Y.random_buffers(df, keys, "value", 500), lambda s, keys: Y.merge_random_buffers(s, keys, 500), lambda s, keys: Y.random_quantiles(s, keys, _PS), 0.02)
+
+
+def _share_ok(df, found, bound: float):
+    """(event_type, n, ok): whether found (event_type, share) is within bound of the share of values up to 10."""
+    true = df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") <= 10).cast("double")).alias("_true"))
+    return true.join(found, "event_type").select("event_type", "n", (F.abs(F.col("share") - F.col("_true")) <= bound).alias("ok"))
+
+
+@query(_ok_sql("event_type", "events"))
+def tdigest_below_ok(spark, sf):
+    df = table(spark, sf, "events")
+    return _share_ok(df, Y.tdigest_below(Y.tdigest(df, ["event_type"], "value", 200), ["event_type"], 10.0), 0.01)
+
+
+@query(_ok_sql("event_type", "events"))
+def streaming_histogram_below_ok(spark, sf):
+    df = table(spark, sf, "events")
+    hists = Y.streaming_histogram(df, ["event_type"], "value", 100)
+    n = df.groupBy("event_type").agg(F.count(F.lit(1)).alias("_n"))
+    found = Y.streaming_histogram_below(hists, ["event_type"], 10.0).join(n, "event_type")
+    return _share_ok(df, found.select("event_type", (F.col("n_below") / F.col("_n")).alias("share")), 0.02)
+
+
+_SPLITS = (5.0, 10.0, 40.0)
+
+
+@query(_ok_sql("event_type", "events"))
+def kll_pmf_ok(spark, sf):
+    """Whether the shares of values between splits are within the sketch's error of the true ones."""
+    df = table(spark, sf, "events")
+    found = Y.kll_pmf(Y.kll(df, ["event_type"], "value", 400), ["event_type"], _SPLITS)
+    bucket = sum(((F.col("value") > s).cast("int") for s in _SPLITS), F.lit(0))
+    true = df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg((bucket == i).cast("double")) for i in range(len(_SPLITS) + 1)]).alias("_true"))
+    return true.join(found, "event_type").select("event_type", "n", F.forall(F.zip_with("pmf", "_true", lambda a, b: F.abs(a - b)), lambda d: d <= 0.02).alias("ok"))
+
+
+@query(_ok_sql("l_returnflag", "lineitem"))
+def kll_bounds_ok(spark, sf):
+    """Whether the true median lies between the sketch's bounds, and evenly spaced quantiles rise from end to end."""
+    df, keys = _lineitem(spark, sf), ["l_returnflag"]
+    sketches = Y.kll(df, keys, "l_extendedprice", 400)
+    even = Y.even_quantiles(sketches, keys, 11).select("l_returnflag", "qs")
+    found = Y.kll_bounds(sketches, keys, 0.5, 400).join(even, "l_returnflag")
+    true = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("_true"))
+    within = (F.col("lo") <= F.col("_true")) & (F.col("_true") <= F.col("hi")) & (F.array_sort("qs") == F.col("qs"))
+    return true.join(found, "l_returnflag").select("l_returnflag", "n", within.alias("ok"))
+
+
+@query("SELECT count(*) FILTER (event_type = 'click') AS n, true AS ok FROM events")
+def kll_ks_ok(spark, sf):
+    """Whether the distance of two sketches is within their errors of the exact one."""
+    df = table(spark, sf, "events").withColumn("side", F.col("event_type") == "click")
+    sketch = lambda side: Y.kll(df.where(F.col("side") == side), [], "value", 400)
+    n = df.agg(F.sum(F.col("side").cast("long")).alias("n"))
+    both = Y.kll_ks(sketch(True), sketch(False)).crossJoin(Y.ks_distance(df, "side", "value").withColumnRenamed("distance", "_true")).crossJoin(n)  # one row each
+    return both.select("n", (F.abs(F.col("distance") - F.col("_true")) <= 0.02).alias("ok"))
+
+
 @query("""WITH v AS (SELECT l_quantity AS x, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'A') AS b FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1),
 c AS (SELECT sum(a) OVER (ORDER BY x) / (SELECT sum(a) FROM v) AS fa, sum(b) OVER (ORDER BY x) / (SELECT sum(b) FROM v) AS fb FROM v) SELECT round(max(abs(fa - fb)), 9) AS distance FROM c""")
 def ks_distance(spark, sf):
@@ -367,6 +485,14 @@ def ks_distance(spark, sf):
     return Y.ks_distance(rows, "side", "l_quantity").select(F.round("distance", 9).alias("distance"))
 
 
+@query("""WITH v AS (SELECT l_quantity AS x, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'A') AS b FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1),
+t AS (SELECT sum(a) AS n, sum(b) AS m FROM v), c AS (SELECT sum(a) OVER (ORDER BY x) / n AS fa, sum(b) OVER (ORDER BY x) / m AS fb, n, m FROM v, t)
+SELECT round(max(abs(fa - fb)), 9) AS distance, round(sqrt(-0.5 * ln(0.025)) * sqrt((n + m)::DOUBLE / (n::DOUBLE * m)), 9) AS threshold, max(abs(fa - fb)) > sqrt(-0.5 * ln(0.025)) * sqrt((n + m)::DOUBLE / (n::DOUBLE * m)) AS differ FROM c GROUP BY n, m""")
+def ks_test(spark, sf):
+    rows = _lineitem(spark, sf).where(F.col("l_returnflag").isin("R", "A")).withColumn("side", F.col("l_returnflag") == "R")
+    return Y.ks_test(rows, "side", "l_quantity").select(F.round("distance", 9).alias("distance"), F.round("threshold", 9).alias("threshold"), "differ")
+
+
 @query("SELECT l_returnflag, count(*) AS n, true AS ok FROM lineitem GROUP BY l_returnflag")
 def subset_sum_ok(spark, sf):
     """Whether the number of lines above a quantity is inside its sample's interval, widened by half."""
@@ -408,16 +534,17 @@ def gaussian_source(spark, sf):
     return synthetic.gaussian(spark, 10_000)
 
 
-@query("SELECT cardinality_, 20000 AS n, true AS ok FROM (SELECT unnest([30, 100, 300]) AS cardinality_)".replace("cardinality_", "cardinality").replace("20000 AS n", "20000::BIGINT AS n"))
+_CARDINALITIES = (6, 10, 30, 100, 300, 1000)
+
+
+@query(f"SELECT c::INT AS cardinality, 20000::BIGINT AS n, true AS ok FROM (SELECT unnest({list(_CARDINALITIES)}) AS c)")
 def discrete_bench_ok(spark, sf):
-    """Maximum entropy on few distinct values: rank errors of the order of a value's share."""
-    out = None
-    for c in (30, 100, 300):
-        df = synthetic.discrete(spark, 20_000, c).withColumn("cardinality", F.lit(c))
-        one = Q.exploded(Q.quantiles(A.build(df, ["cardinality"], F.col("x"), 10), _PS), ["cardinality"], _PS)
-        verdict = _verdict(df, ["cardinality"], "x", one, 0.04)
-        out = verdict if out is None else out.unionByName(verdict)
-    return out
+    """Maximum entropy on few distinct values: rank errors of the order of a value's share; all cardinalities in one pass."""
+    rows = spark.range(20_000).withColumn("cardinality", F.explode(F.array(*[F.lit(c) for c in _CARDINALITIES])))
+    df = rows.select("cardinality", ((F.col("id") % F.col("cardinality")) / (F.col("cardinality") - 1)).alias("x"))
+    solved = Q.exploded(Q.quantiles(A.build(df, ["cardinality"], F.col("x"), 10), _PS), ["cardinality"], _PS)
+    errors = Q.rank_errors(df, ["cardinality"], "x", solved, _PS)
+    return errors.groupBy("cardinality").agg(F.max("n").alias("n"), F.bool_and(F.col("rank_error") <= F.greatest(F.lit(0.04), 1 / F.col("cardinality"))).alias("ok"))
 
 
 @query(_ok_sql("event_type", "events"))
@@ -429,26 +556,34 @@ def outlier_bench_ok(spark, sf):
     return found.drop("n").join(n, "event_type").select("event_type", "n", "ok")
 
 
+def _worst(df, x: str, estimates, key: str, keys: list):
+    """(key, rank_error): the greatest of each key's estimates (key, p, q), in one pass over df."""
+    rows = df.select(x, F.explode(F.array(*[F.lit(k) for k in keys])).alias(key))
+    return Q.rank_errors(rows, [key], x, estimates, _PS).groupBy(key).agg(F.max("rank_error").alias("rank_error"))
+
+
 @query()
 def solver_comparison(spark, sf):
     """Greatest rank error of each estimator on the same states."""
-    df, out = table(spark, sf, "events"), None
+    df = table(spark, sf, "events")
     states = A.build(df, [], F.col("value"), 8, logs=True)
-    for method in Q.SOLVERS:
-        errors = Q.rank_errors(df, [], "value", Q.exploded(Q.quantiles(states, _PS, method), [], _PS))
-        one = errors.agg(F.max("rank_error").alias("rank_error")).withColumn("method", F.lit(method))
-        out = one if out is None else out.unionByName(one)
-    return out.select("method", "rank_error")
+    closed = states.select(F.array(*[M.inversion_quantile(p, 8) for p in _PS]).alias("qs"))
+    solved = [Q.quantiles(states, _PS, m).select("qs").withColumn("method", F.lit(m)) for m in Q.SOLVERS] + [closed.withColumn("method", F.lit("inversion"))]
+    estimates = Q.exploded(reduce(lambda a, b: a.unionByName(b), solved), ["method"], _PS)
+    return _worst(df, "value", estimates, "method", [*Q.SOLVERS, "inversion"])
+
+
+#: Significant bits that stored sums keep.
+_BITS = (53, 40, 32, 24, 16, 12, 8)
 
 
 @query()
 def precision_study(spark, sf):
-    """Quantiles from states in double and in single precision."""
-    states, out = A.build(table(spark, sf, "events"), [], F.col("value"), 8, logs=True), None
-    for name, kept in (("double", states), ("single", A.reduced_precision(states))):
-        one = Q.quantiles(kept, _PS).select(F.lit(name).alias("precision"), "qs", "converged")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Greatest rank error of quantiles from states whose sums keep fewer and fewer bits."""
+    df = table(spark, sf, "events")
+    states = A.build(df, [], F.col("value"), 8, logs=True)
+    kept = reduce(lambda a, b: a.unionByName(b), [A.reduced_precision(states, b).withColumn("bits", F.lit(b)) for b in _BITS])
+    return _worst(df, "value", Q.exploded(Q.quantiles(kept, _PS), ["bits"], _PS), "bits", list(_BITS))
 
 
 @query("SELECT event_id, value, event_type FROM events WHERE isfinite(value) AND event_type IS NOT NULL")

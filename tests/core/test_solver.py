@@ -89,3 +89,34 @@ def test_other_estimators_and_digests():
         q = S.digest_quantile(means, weights, x.min(), x.max(), p)
         assert abs((x <= q).mean() - p) < 0.005
         assert abs(S.digest_share_below(means, weights, x.min(), x.max(), q) - p) < 1e-6
+
+
+def test_densities_solved_together_equal_those_solved_apart():
+    rng = np.random.default_rng(5)
+    states = [state(rng.exponential(1 + i, 3000)) for i in range(6)] + [state(rng.normal(i, 1, 2000), 8) for i in range(4)] + [state(rng.integers(0, 3, 500), 10), state([1.0, 2.0], 6)]
+    ps = (0.1, 0.5, 0.9)
+    together, apart = S.quantiles_all(states, ps), [S.quantiles(s, ps) for s in states]
+    for (a, ok), (b, ok2) in zip(together, apart, strict=True):
+        assert ok == ok2 and np.allclose(a, b, rtol=1e-6, atol=1e-6)
+    assert S.fit_all([]) == []
+
+
+def test_hybrid_takes_the_scale_with_the_smaller_errors():
+    rng = np.random.default_rng(6)
+    skewed, even = state(rng.lognormal(0, 2, 5000)), state(rng.uniform(1, 2, 5000))
+    ps = (0.25, 0.5, 0.75)
+    for s in (skewed, even):
+        (got, _), = S.hybrid_all([s], ps)
+        each = [S.quantiles(s, ps, both=False, logs=x)[0] for x in (False, True)]
+        error = [np.mean([S.rank_error_bound(s, q, p) for q, p in zip(qs, ps, strict=True)]) for qs in each]
+        assert np.allclose(got, each[int(error[1] < error[0])])
+
+
+def test_widths_agree_and_orders_are_guarded():
+    canonical = S.Canonical(SHUTTLE.sums[:9], 27, 126)
+    for x in (30.0, 45.0, 100.0):
+        assert abs(canonical.width(x) - canonical.width_by_determinants(x)) < 1e-4
+    assert S.usable_order(0, 10) == 12 and S.usable_order(1000, 1001) < 4
+    far = state(1e6 + np.linspace(0, 1, 500), 10, logs=False)
+    qs, _ = S.quantiles(far, [0.5])
+    assert abs(qs[0] - 1e6 - 0.5) < 0.05
