@@ -2,16 +2,23 @@
 
 Each document gives a few whole-number metrics. A quantile sketch of a group is the count of each
 of its metric's buckets (values under 64 are their own bucket, larger ones keep six leading bits, so
-a bucket is within 1/32 of its values). Sketches merge by adding counts. A threshold is the median
-plus REACH times its distance from the lower quartile plus a slack, so up to half of a group can be
-junk. A group of under MIN_GROUP documents takes the sketch merged over all groups.
+a bucket is within 1/32 of its values). Sketches merge by adding counts. A group's limit is the
+quantile of its sketch that leaves the metric's TAIL above it, plus REACH times the distance of that
+quantile from the median: no limit is a fixed number. A group of under MIN_GROUP documents takes the
+sketch of its language, and if that is as small, the one merged over all groups. No limit exceeds
+PEERS times the median of the groups' limits, each group counted once, so that a group that is
+mostly junk cannot raise its own bar, however large it is.
 
 Null text has no words. Null languages and sources are a group of their own. A document without
-words has no metrics and fails the base rule. Repeated rows count as often as they occur.
+words has no metrics and fails the base rule. A value whose bucket is the limit's passes. Repeated rows
+count as often as they occur. A very long text counts as one document, whole. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,13 +27,15 @@ from pyspark.sql import Window as W
 from .common import append_columns, checkpointed, documents
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_GROUP, REACH = 30, 6
+MIN_GROUP, REACH, PEERS = 30, 3, 2
+#: Per cent of a group's documents that may lie above the quantile a metric's limit starts from: more where junk is told apart by nothing else.
+TAIL = {"marks": 10, "capitals": 10, "long_words": 10, "dup_lines": 2, "repeats": 2}
 #: Groups up to which the thresholds are broadcast: some 200 bytes each.
 BROADCAST_GROUPS = 50_000
-#: Each metric's slack: what a document may exceed the median by where the group hardly varies.
-SLACK = {"symbols": 30, "marks": 30, "capitals": 150, "dup_lines": 400, "repeats": 450, "long_words": 300}
 
-_SPACE, _SYMBOLS, _MARKS, _CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"!?", bytes(range(65, 91))
+_SPACE, _SYMBOLS, _CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
+#: ASCII punctuation.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 _LONG = T.LongType()
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -75,7 +84,6 @@ def _metrics() -> dict[str, Column]:
     """Whole numbers; null where a text has no word."""
     share = lambda part, whole: F.when(F.col("n_words") > 0, F.floor(1000 * F.col(part) / F.col(whole)))
     return {
-        "symbols": share("n_symbols", "word_chars"),
         "marks": share("n_marks", "word_chars"),
         "capitals": share("n_capitals", "word_chars"),
         "dup_lines": share("n_dup_lines", "n_lines"),
@@ -98,36 +106,46 @@ def sketch(counted: DataFrame) -> DataFrame:
 
 
 def thresholds(sketched: DataFrame) -> DataFrame:
-    """(whole, lang, source, n_docs, <metric> limits ...): a row per group and one, whole, for all groups."""
-    every = sketched.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
-    every = every.select(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "metric", "bucket", "n")
-    rows = sketched.select(F.lit(False).alias("whole"), "lang", "source", "metric", "bucket", "n").unionByName(every)
-    group = W.partitionBy("whole", "lang", "source", "metric")
+    """(lang, source, n_docs, limit_<metric> ...): a row per group of documents that pass the base rule."""
+    none = F.lit(None).cast("string")
+    level = lambda k, lang, source: sketched.select(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"), "metric", "bucket", "n")
+    rows = level(0, F.col("lang"), F.col("source")).unionByName(level(1, F.col("lang"), none)).unionByName(level(2, none, none))
+    rows = rows.groupBy("level", "lang", "source", "metric", "bucket").agg(F.sum("n").alias("n"))
+    group = W.partitionBy("level", "lang", "source", "metric")
     rows = rows.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("n_docs", F.sum("n").over(group))
     at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("n_docs"), F.col("bucket")))
-    limits = rows.groupBy("whole", "lang", "source", "metric").agg(F.max("n_docs").alias("n_docs"), at(25).alias("low"), at(50).alias("mid"))
-    limit = F.col("mid") + REACH * (F.col("mid") - F.col("low"))
-    return limits.groupBy("whole", "lang", "source").agg(F.max("n_docs").alias("n_docs"), *[F.max(F.when(F.col("metric") == k, limit + s)).alias(f"limit_{k}") for k, s in SLACK.items()])
+    tail = F.coalesce(*[F.when(F.col("metric") == k, F.lit(100 - t)) for k, t in TAIL.items()])
+    found = rows.groupBy("level", "lang", "source", "metric").agg(F.max("n_docs").alias("n_docs"), at(50).alias("mid"), at(tail).alias("high"))
+    limits = found.groupBy("level", "lang", "source").agg(F.max("n_docs").alias("n_docs"), *[F.max(F.when(F.col("metric") == k, F.col("high") + REACH * (F.col("high") - F.col("mid")))).alias(k) for k in TAIL])
+    limits = checkpointed(limits)
+    large = F.when(F.col("n_docs") >= MIN_GROUP, F.struct(*TAIL))
+    own = limits.where("level = 0").select("lang", "source", "n_docs", large.alias("_own"))
+    spoken = limits.where("level = 1").select(F.col("lang").alias("_lang"), large.alias("_spoken"))
+    every = limits.where("level = 2").select(F.struct(*TAIL).alias("_every"))
+    peers = limits.where((F.col("level") == 0) & (F.col("n_docs") >= MIN_GROUP)).agg(*[F.expr(f"percentile_disc(0.5) within group (order by {k})").alias(f"_peers_{k}") for k in TAIL])  # one row
+    joined = own.join(spoken, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(every), how="left").join(F.broadcast(peers), how="left")
+    chosen = joined.select("lang", "source", "n_docs", F.coalesce("_own", "_spoken", "_every").alias("_limit"), *[f"_peers_{k}" for k in TAIL])
+    return chosen.select("lang", "source", "n_docs", *[F.least(F.col("_limit")[k], (PEERS * F.col(f"_peers_{k}")).cast("long")).alias(f"limit_{k}") for k in TAIL])
 
 
 def judge(counted: DataFrame) -> DataFrame:
     """counted with kept; it is cut from its lineage, since thresholds need all of it first."""
     counted = checkpointed(counted)
     found = checkpointed(thresholds(sketch(counted)))
-    groups = found.where(~F.col("whole") & (F.col("n_docs") >= MIN_GROUP)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(f"limit_{k}").alias(f"_own_{k}") for k in SLACK])
-    whole = found.where("whole").agg(*[F.max(f"limit_{k}").alias(f"_all_{k}") for k in SLACK])
+    names = [f"limit_{k}" for k in TAIL]
+    groups = found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in names])
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     if groups.count() <= BROADCAST_GROUPS:
-        joined = counted.join(F.broadcast(groups), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+        joined = counted.join(F.broadcast(groups), same, "left")
     else:  # salted, since one group may hold a third of all rows
         salts = 64
         salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        dealt = counted.withColumn("_row_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        joined = dealt.join(salted, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_row_salt") == F.col("_salt")), "left").drop("_row_salt", "_salt")
-    joined = joined.join(F.broadcast(whole), how="left")
+        dealt = counted.withColumn("_row_salt", F.pmod(F.xxhash64(*[c for c in counted.columns if c in ("doc_id", *COUNTS)]), F.lit(salts)).cast("int"))
+        joined = dealt.join(salted, same & (F.col("_row_salt") == F.col("_salt")), "left").drop("_row_salt", "_salt")
     passes = ~F.col("base_failed")
     for k, v in _metrics().items():
-        passes = passes & F.coalesce(v <= F.coalesce(F.col(f"_own_{k}"), F.col(f"_all_{k}")), F.lit(False))
-    return joined.withColumn("kept", passes).drop("_lang", "_source", *[f"_{x}_{k}" for x in ("own", "all") for k in SLACK])
+        passes = passes & F.coalesce(bucket(v) <= F.col(f"_limit_{k}"), F.lit(False))
+    return joined.withColumn("kept", passes).drop("_lang", "_source", *[f"_{c}" for c in names])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +156,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _METRICS_SQL = """
     SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
            n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-           CASE WHEN n_words > 0 THEN [1000 * n_symbols // word_chars, 1000 * n_marks // word_chars, 1000 * n_capitals // word_chars,
+           CASE WHEN n_words > 0 THEN [1000 * n_marks // word_chars, 1000 * n_capitals // word_chars,
                1000 * n_dup_lines // n_lines, 1000 * n_repeat_words // n_words, 100 * word_chars // n_words] END AS m
     FROM counts
 """
+#: The tails in the order of the metrics above, and their number.
+_TAILS = [TAIL[k] for k in ("marks", "capitals", "dup_lines", "repeats", "long_words")]
+_N = len(_TAILS)
+_BUCKET_SQL = re.compile(r"bucket_of\(([^()]+)\)")
 
 ORACLE_SQL = rf"""
 WITH texts AS (
@@ -158,26 +180,35 @@ counts AS (
     SELECT texts.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
            length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
            coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
-           length(regexp_replace(t, '[^!?]', '', 'g'))::BIGINT AS n_marks, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
+           length(regexp_replace(t, '[^!-/:-@\[-`\{{-~]', '', 'g'))::BIGINT AS n_marks, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
     FROM texts LEFT JOIN repeats USING (doc_id)),
 measured AS ({_METRICS_SQL}),
 values_ AS (
-    SELECT lang, source, unnest(m) AS v, unnest(range(1, 7)) AS metric FROM measured WHERE NOT base_failed),
+    SELECT lang, source, unnest(m) AS v, unnest(range(1, {_N + 1})) AS metric FROM measured WHERE NOT base_failed),
 buckets AS (
-    SELECT lang, source, metric, CASE WHEN v < 64 THEN v ELSE v - v % (1 << (length(bin(v)) - 6)) END AS bucket FROM values_),
+    SELECT lang, source, metric, bucket_of(v) AS bucket FROM values_),
 sketch AS (
-    SELECT false AS whole, lang, source, metric, bucket, count(*) AS n FROM buckets GROUP BY ALL
-    UNION ALL SELECT true, NULL, NULL, metric, bucket, count(*) FROM buckets GROUP BY metric, bucket),
+    SELECT 0 AS level, lang, source, metric, bucket, count(*) AS n FROM buckets GROUP BY ALL
+    UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM buckets GROUP BY lang, metric, bucket
+    UNION ALL SELECT 2, NULL, NULL, metric, bucket, count(*) FROM buckets GROUP BY metric, bucket),
 run AS (
-    SELECT *, sum(n) OVER (PARTITION BY whole, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY whole, lang, source, metric) AS n_docs FROM sketch),
-quartiles AS (
-    SELECT whole, lang, source, metric, max(n_docs) AS n_docs, min(bucket) FILTER (100 * upto >= 25 * n_docs) AS low, min(bucket) FILTER (100 * upto >= 50 * n_docs) AS mid
-    FROM run GROUP BY whole, lang, source, metric),
+    SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS n_docs FROM sketch),
+quantiles AS (
+    SELECT level, lang, source, metric, max(n_docs) AS n_docs, min(bucket) FILTER (100 * upto >= 50 * n_docs) AS mid, min(bucket) FILTER (100 * upto >= (100 - {_TAILS}[metric]) * n_docs) AS high
+    FROM run GROUP BY level, lang, source, metric),
 limits AS (
-    SELECT whole, lang, source, max(n_docs) AS n_docs, list(mid + {REACH} * (mid - low) + {list(SLACK.values())}[metric] ORDER BY metric) AS lim FROM quartiles GROUP BY whole, lang, source)
+    SELECT level, lang, source, max(n_docs) AS n_docs, list(high + {REACH} * (high - mid) ORDER BY metric) AS lim FROM quantiles GROUP BY level, lang, source),
+peers AS (
+    SELECT {", ".join(f"quantile_disc(lim[{i}], 0.5)" for i in range(1, _N + 1)).join(("[", "]"))} AS lim FROM limits WHERE level = 0 AND n_docs >= {MIN_GROUP}),
+chosen AS (
+    SELECT own.lang, own.source, CASE WHEN own.n_docs >= {MIN_GROUP} THEN own.lim WHEN spoken.n_docs >= {MIN_GROUP} THEN spoken.lim ELSE every.lim END AS lim
+    FROM (SELECT * FROM limits WHERE level = 0) own
+    LEFT JOIN (SELECT * FROM limits WHERE level = 1) spoken ON own.lang IS NOT DISTINCT FROM spoken.lang
+    LEFT JOIN (SELECT * FROM limits WHERE level = 2) every ON true)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(list_bool_and(list_transform(range(1, 7), lambda i: m.m[i] <= coalesce(own.lim, every.lim)[i])), false) AS kept
+       NOT base_failed AND coalesce(list_bool_and(list_transform(range(1, {_N + 1}), lambda i: bucket_of(m.m[i]) <= least(c.lim[i], {PEERS} * p.lim[i]))), false) AS kept
 FROM measured m
-LEFT JOIN (SELECT * FROM limits WHERE NOT whole AND n_docs >= {MIN_GROUP}) own ON m.lang IS NOT DISTINCT FROM own.lang AND m.source IS NOT DISTINCT FROM own.source
-LEFT JOIN (SELECT * FROM limits WHERE whole) every ON true
+LEFT JOIN chosen c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source
+LEFT JOIN peers p ON true
 """
+ORACLE_SQL = _BUCKET_SQL.sub(r"(CASE WHEN \1 < 64 THEN \1 ELSE \1 - \1 % (1 << (length(bin(\1)) - 6)) END)", ORACLE_SQL)
