@@ -1,18 +1,22 @@
-"""SimHash near-duplicates by block keys and cleared bits, with a table of pivot distances as a filter.
+"""SimHash near-duplicates by tables of pivot distances.
 
-A fingerprint has 64 bits; two link at MAX_BITS or fewer differing bits. With BLOCKS blocks two
-fingerprints that link agree on at least BLOCKS - MAX_BITS of them: candidates are those with equal
-bits in one such choice of blocks. They are dropped if any distance to the pivots (random, fixed)
-differs by more than MAX_BITS, since distances obey the triangle inequality, and verified by their
-differing bits otherwise.
+A fingerprint has 64 bits; two link at MAX_BITS or fewer differing bits. PIVOTS are random, fixed
+fingerprints. The table of a fingerprint holds its Hamming distances to every pivot, block by block:
+a distance within one of BLOCKS blocks of bits. By the triangle inequality two fingerprints' distances
+to a pivot differ by no more, in sum over the blocks, than they themselves do; and as MAX_BITS
+differing bits leave BLOCKS - MAX_BITS blocks alone, there is a choice of so many blocks in which all
+their distances are equal. So candidates are those with equal coordinates in one choice of blocks,
+found by a shuffle on those coordinates' hash. Of these, pairs with a coordinate that differs by more
+than MAX_BITS are discarded, and the rest verified by their differing bits. Nothing is lost.
 
 A choice that many fingerprints share is not paired: each of its members is written with every way
 of clearing up to MAX_BITS of the bits outside the choice, and members that agree then are within
 MAX_BITS of each other, so one link from each to the least of them keeps all links' components. If
 two differ in exactly those bits they meet there, so none is lost.
 
-Text is lower-cased in A-Z. Null and empty text, and text without a word, has fingerprint zero.
-Repeated rows each give their own row; a null id takes part, and is never the smallest unless alone.
+Text is lower-cased in A-Z. Null and empty text, and text without a word, has fingerprint zero. A
+very long text counts whole, all its shingles. A bit that ties is 0. Repeated rows each give their
+own row; a null id takes part, and is never the smallest unless alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +34,8 @@ MAX_BITS, BLOCKS, SHINGLE = 2, 4, 3
 WIDTH = 64 // BLOCKS
 #: Members of one choice up to which they are paired with each other.
 PAIRED = 24
+#: Keys with more than one row in so many are looked up apart from others, once there are LEAST_HEAVY.
+SHARES, LEAST_HEAVY = 1000, 500
 #: Random pivots: fixed values from a seed.
 PIVOTS = [int(x) for x in np.random.default_rng(11).integers(-(2**63), 2**63 - 1, 16)]
 
@@ -63,35 +69,47 @@ def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
     return append_columns(df, [text], [T.StructField("fp", T.LongType())], lambda: lambda texts: [[fingerprint(t) for t in texts]])
 
 
-def differing(a, b):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def _mask(blocks) -> int:
     bits = sum((2**WIDTH - 1) << (WIDTH * b) for b in blocks)
     return bits - 2**64 if bits >= 2**63 else bits
 
 
-CHOICES = [_mask(c) for c in combinations(range(BLOCKS), BLOCKS - MAX_BITS)]
+CHOICES = list(combinations(range(BLOCKS), BLOCKS - MAX_BITS))
 
 
-def _cleared(choice: int) -> list[int]:
-    """Masks that clear up to MAX_BITS bits outside the choice; with exactly MAX_BITS the fewer are covered."""
-    free = [i for i in range(64) if not choice >> i & 1]
+def _cleared(choice: tuple[int, ...]) -> list[int]:
+    """Masks that clear up to MAX_BITS bits outside the choice of blocks; with exactly MAX_BITS the fewer are covered."""
+    free = [i for i in range(64) if i // WIDTH not in choice]
     signed = lambda m: m - 2**64 if m >= 2**63 else m
     return [signed((2**64 - 1) & ~sum(1 << i for i in c)) for c in combinations(free, MAX_BITS)]
 
 
+def distances(fp: Column) -> Column:
+    """The table's row of a fingerprint: by block, its distances to the pivots within the block."""
+    of = lambda p, b: F.bit_count(fp.bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(_mask([b])))).cast("byte")
+    return F.array(*[F.array(*[of(p, b) for p in PIVOTS]) for b in range(BLOCKS)])
+
+
+def may_link(s: Column, t: Column) -> Column:
+    """Whether no distance to a pivot differs by more than MAX_BITS between two rows of the table."""
+    apart = lambda u, v: F.zip_with(u, v, lambda p, q: p - q)
+    blocks = [apart(s[b], t[b]) for b in range(BLOCKS)]
+    whole = blocks[0]
+    for more in blocks[1:]:
+        whole = F.zip_with(whole, more, lambda p, q: p + q)
+    return F.forall(whole, lambda d: F.abs(d) <= MAX_BITS)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between the distinct fingerprints fp of fps that keep the components of all links."""
-    table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in PIVOTS])
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(CHOICES)]))
-    keyed = fps.select("fp", keys.alias("k")).select("fp", "k.choice", "k.key")
+    table = fps.select("fp", distances(F.col("fp")).alias("t"))
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(*[F.col("t")[b] for b in blocks]).alias("key")) for i, blocks in enumerate(CHOICES)]))
+    keyed = table.select("fp", keys.alias("k")).select("fp", "k.choice", "k.key")
     shared = checkpointed(keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = checkpointed(keyed.join(shared, ["choice", "key"]))
-    few = members.where(F.col("n") <= PAIRED).groupBy("choice", "key").agg(F.sort_array(F.collect_list(F.struct("fp", table.alias("t")))).alias("m"))
+    few = members.where(F.col("n") <= PAIRED).groupBy("choice", "key").agg(F.sort_array(F.collect_list(F.struct("fp", distances(F.col("fp")).alias("t")))).alias("m"))
     left = few.select(F.posexplode("m").alias("i", "x"), "m")
-    near = lambda y: F.forall(F.zip_with(F.col("x.t"), y["t"], lambda p, q: F.abs(p - q)), lambda d: d <= MAX_BITS) & (F.bit_count(F.col("x.fp").bitwiseXOR(y["fp"])) <= MAX_BITS)
+    near = lambda y: may_link(F.col("x.t"), y["t"]) & (F.bit_count(F.col("x.fp").bitwiseXOR(y["fp"])) <= MAX_BITS)
     pairs = left.select(F.col("x.fp").alias("a"), F.explode(F.filter(F.slice("m", F.col("i") + 2, PAIRED), near)).alias("y")).select("a", F.col("y.fp").alias("b"))
     masks = fps.sparkSession.createDataFrame([(i, m) for i, c in enumerate(CHOICES) for m in _cleared(c)], "choice int, mask long")
     masks = masks.groupBy("choice").agg(F.collect_list("mask").alias("masks"))
@@ -102,26 +120,37 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(starred).distinct()
 
 
+def looked_up(left: DataFrame, key: Column, right: DataFrame, name: str, value: str) -> DataFrame:
+    """left with _found: `value` of right's row whose `name`, which is unique, equals key; null where there is none.
+
+    left must be cheap to read again. A key that more than one in SHARES of its rows have is looked
+    up in a broadcast table of such keys (fewer than SHARES rows); all others by a shuffle.
+    """
+    least = max(LEAST_HEAVY, left.count() // SHARES)
+    heavy = [r["k"] for r in left.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > least) & F.col("k").isNotNull()).select("k").collect()]
+    table = right.select(F.col(name).alias("_name"), F.col(value).alias("_found"))
+    if not heavy:
+        return left.join(table, key == F.col("_name"), "left").drop("_name")
+    crowded = F.coalesce(key.isin(heavy), F.lit(False))
+    few = F.broadcast(table.where(F.col("_name").isin(heavy)))
+    return left.where(~crowded).join(table, key == F.col("_name"), "left").unionByName(left.where(crowded).join(few, key == F.col("_name"), "left")).drop("_name")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, rank) with the least rank of every component; nodes are (fp, rank), edges (a, b) between them.
 
     A rank is (missing, id, fp) and names the node whose own it is. Ranks spread over the links and
     jump to the rank of the node they name, until none changes; each round is cut from its lineage.
     """
-    edges = checkpointed(edges)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     linked = both.select(F.col("a").alias("fp")).distinct()
     state = checkpointed(nodes.join(linked, "fp").select("fp", "rank"))
     while True:
-        offers = both.join(state.select(F.col("fp").alias("b"), "rank"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("rank").alias("offer"))
-        stepped = state.join(offers, "fp", "left").select("fp", F.col("rank").alias("before"), F.least("rank", "offer").alias("rank"))
-        far = stepped.select(F.col("fp").alias("_named"), F.col("rank").alias("far"))
-        moved = stepped.join(far, F.col("rank.fp") == F.col("_named"), "left").select("fp", "before", F.least("rank", "far").alias("rank"))
-        moved = checkpointed(moved)
-        changed = moved.where(F.col("rank") != F.col("before")).limit(1).count()
-        state = moved.select("fp", "rank")
-        if not changed:
+        offers = looked_up(both, F.col("b"), state, "fp", "rank").groupBy(F.col("a").alias("fp")).agg(F.min("_found").alias("offer"))
+        stepped = checkpointed(state.join(offers, "fp").select("fp", F.col("rank").alias("before"), F.least("rank", "offer").alias("rank")))
+        if not stepped.where(F.col("rank") != F.col("before")).limit(1).count():
             return state.unionByName(nodes.join(linked, "fp", "left_anti").select("fp", "rank"))
+        state = checkpointed(looked_up(stepped, F.col("rank.fp"), stepped, "fp", "rank").select("fp", F.least("rank", "_found").alias("rank")))
 
 
 def _ranked(hashed: DataFrame) -> DataFrame:
@@ -129,7 +158,8 @@ def _ranked(hashed: DataFrame) -> DataFrame:
     hashed = checkpointed(hashed.drop("component_id"))
     nodes = hashed.groupBy("fp").agg(F.min("doc_id").alias("id"))
     nodes = checkpointed(nodes.select("fp", F.struct(F.col("id").isNull().alias("missing"), "id", "fp").alias("rank")))
-    return hashed.join(components(nodes, links(nodes.select("fp"))).withColumnRenamed("rank", "_rank"), "fp")
+    named = checkpointed(components(nodes, links(nodes.select("fp"))))
+    return looked_up(hashed, F.col("fp"), named, "fp", "rank").withColumnRenamed("_found", "_rank")
 
 
 def group(hashed: DataFrame) -> DataFrame:

@@ -65,6 +65,46 @@ def test_crowded_fingerprints_lose_no_link(spark, monkeypatch):
         assert got == want
 
 
+def test_pivot_distances_keep_every_link(spark):
+    rng = np.random.default_rng(9)
+    pairs = []
+    for _ in range(300):
+        a = int(rng.integers(-(2**63), 2**63 - 1))
+        b = a
+        for bit in rng.choice(64, rng.integers(0, 9), replace=False):
+            b = int(np.int64(b) ^ np.int64(np.uint64(1) << np.uint64(bit)))
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a long, b long").withColumn("s", simhash.distances(F.col("a"))).withColumn("t", simhash.distances(F.col("b")))
+    count = lambda x: bin(x & (2**64 - 1)).count("1")
+    far = 0
+    for r in df.withColumn("may", simhash.may_link(F.col("s"), F.col("t"))).collect():
+        block = lambda x, i: (x >> 16 * i) & 0xFFFF
+        assert [list(x) for x in r["s"]] == [[count(block(r["a"] ^ p, i)) for p in simhash.PIVOTS] for i in range(4)]
+        want = max(abs(count(r["a"] ^ p) - count(r["b"] ^ p)) for p in simhash.PIVOTS) <= 2
+        assert r["may"] == want and (want or count(r["a"] ^ r["b"]) > 2)
+        far += not want
+    assert far > 100
+
+
+def test_pivot_distances_tell_blocks_apart():
+    table = np.array([[bin(x ^ (p & 0xFFFF)).count("1") for p in simhash.PIVOTS] for x in range(1 << 16)], "i1")
+    assert len(np.unique(table, axis=0)) > 0.7 * 2**16
+
+
+def test_crowded_keys_are_looked_up_all_the_same(spark, monkeypatch):
+    left = spark.createDataFrame([(i, 7 if i % 3 else i if i % 2 else None) for i in range(200)], "i long, k long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 200, 7)], "k long, v string")
+    one = sorted(map(tuple, simhash.looked_up(left, F.col("k"), right, "k", "v").collect()), key=str)
+    monkeypatch.setattr(simhash, "LEAST_HEAVY", 5)
+    two = sorted(map(tuple, simhash.looked_up(left, F.col("k"), right, "k", "v").collect()), key=str)
+    assert one == two and len(one) == 200 and sum(r[2] == "v7" for r in one) == 133
+
+
+def test_very_long_text():
+    words = [f"w{i * 7919 % 50_000}" for i in range(40_000)]
+    assert simhash.fingerprint(" ".join(words)) & (2**64 - 1) == slow(" ".join(words)) != slow(" ".join(words[:20_000]))
+
+
 def test_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, fp string, component_id int"
     long = "a long text of some words that stays the same here "
