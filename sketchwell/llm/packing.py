@@ -3,7 +3,8 @@
 Documents of one length are alike to a packer, so the packing is made on the histogram of lengths,
 which has at most CAPACITY entries however many documents there are. It gives bin patterns (lists of
 lengths with a count). Documents then take the places of their length in the order of a hash: each
-finds its rank among its length from counts per (length, bucket), so that no task holds a length.
+finds its rank among its length from counts per (length, bucket), so that no task holds a length: a
+length has a bucket for each BUCKET_ROWS of its rows, and rows that are alike are dealt over them too.
 
 Only documents of over CAPACITY tokens are cut: their first piece takes the remainder, the others
 are full. Of the items, those above a third of the capacity come at most two to a bin: descending,
@@ -11,7 +12,8 @@ each is matched with the largest other that fits beside it, unless a full bin of
 hand; items of a third or less best-fit the gaps left, then new bins.
 
 Null text counts as empty: its only id is the end id. Repeated rows are packed as often as they
-occur. An empty table gives no rows.
+occur. Documents of one length are interchangeable, so ties may fall either way. A very long text is
+encoded and cut whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ CAPACITY, END = 1024, 2
 CACHED_WORDS, KEPT_CHARS = 600_000, 64
 #: What a text that is encoded word by word does not hold, besides white space other than space and line feed.
 PAIRS = ("  ", "\n\n", " \n", "\n ", "<|endoftext|>")
-#: Ranks of one length are dealt over so many buckets.
-BUCKETS = 128
+#: Ranks of one length are dealt over buckets of about so many rows.
+BUCKET_ROWS = 200_000
 
 
 class Encoder:
@@ -214,18 +216,18 @@ def places(bins: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, ...
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (doc_id, piece, start, length, ...) with sequence_id and offset; lineage is cut before ranks are dealt."""
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
-    cut = checkpointed(cut.withColumn("_bucket", key))
-    counts = cut.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity x BUCKETS small rows
-    histogram: dict[int, int] = {}
+    cut = checkpointed(cut.withColumn("_row", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())))
+    histogram = dict(map(tuple, cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()))  # at most capacity rows
+    buckets = F.element_at(F.array(*[F.lit(histogram.get(n, 0) // BUCKET_ROWS + 1) for n in range(1, capacity + 1)]), F.col("length").cast("int"))
+    cut = cut.withColumn("_bucket", F.pmod("_row", buckets).cast("int"))
+    counts = cut.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each BUCKET_ROWS rows, and each length
     before: dict[int, np.ndarray] = {}
     for length, b, n in counts:
-        histogram[length] = histogram.get(length, 0) + n
-        before.setdefault(length, np.zeros(BUCKETS + 1, "int64"))[b + 1] = n
+        before.setdefault(length, np.zeros(histogram[length] // BUCKET_ROWS + 2, "int64"))[b + 1] = n
     before = {n: np.cumsum(x) for n, x in before.items()}
     slots = places(patterns(histogram, capacity))
     shared = cut.sparkSession.sparkContext.broadcast((before, slots))
-    order = W.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = W.partitionBy("length", "_bucket").orderBy("_row", "doc_id", "piece", "start", "ids_crc32")
     ranked = cut.withColumn("_rank", F.row_number().over(order) - 1)
 
     def make():
@@ -245,7 +247,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return compute
 
     fields = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return append_columns(ranked, ["length", "_bucket", "_rank"], fields, make).drop("_bucket", "_rank")
+    return append_columns(ranked, ["length", "_bucket", "_rank"], fields, make).drop("_bucket", "_rank", "_row")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,10 @@ def test_odd_rows(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     check(packing.op10_packing(spark, f"{tmp_path}/full").collect(), [r[:2] for r in rows])
     assert packing.op10_packing(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_small_buckets_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 20)
+    rows = [(None, "")] * 150 + [(i, "word " * (i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(packing.pack(packing.pieces(df).drop("ids")).collect(), rows)
