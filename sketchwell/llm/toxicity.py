@@ -9,7 +9,10 @@ bytes with the toxic words has distance 0 without being compressed. A logistic c
 labelled sample, turns a text's largest distances into a score.
 
 Null text counts as empty; its features are zero. Without labels of both kinds every score is the
-share of label 1 (0 without labels). Labels of several rows of one document all count.
+share of label 1 (0 without labels). Labels of several rows of one document: 1 if any is. A very long
+text is scored whole, at the cost of its words. Texts with equal features have equal scores, and
+words that tell as much are ordered by their bytes. Repeated rows each give their own result. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from .common import append_columns, checkpointed, documents, remainder
 LABELLED = 20_000
 #: ... and the ordinary dictionary on the texts of about so many of those labelled 0.
 ORDINARY_TEXTS, ORDINARY_BYTES = 1_500, 32_768
-#: A toxic word: texts of label 1 it is in, standard errors above chance, times as frequent, distinct words before it for each text.
-MIN_TEXTS, MIN_ERRORS, MIN_TIMES, MIN_CONTEXTS = 5, 8.0, 8.0, 0.5
+#: A toxic word: texts of label 1 it is in, standard errors above chance, times as frequent, distinct words that it stands behind (fewer: a copied passage).
+MIN_TEXTS, MIN_ERRORS, MIN_TIMES, MIN_CONTEXTS = 5, 8.0, 8.0, 5
 MAX_WORDS = 400
 CACHED_WORDS = 300_000
 GRAM = 4
@@ -116,8 +119,8 @@ def toxic_words(sample: DataFrame) -> list[bytes]:
     share = (F.col("a") + F.col("b")) / (n_toxic + n_other)
     errors = (F.col("a") / n_toxic - share) / F.sqrt(share * (1 - share) / n_toxic + 1e-12)
     telling = by_word.where((F.col("a") >= MIN_TEXTS) & (errors > MIN_ERRORS) & (F.col("a") / n_toxic > MIN_TIMES * (F.col("b") + 0.5) / n_other))
-    rows = telling.select("w", "a", errors.alias("errors")).orderBy(F.desc("errors"), "w").limit(4 * MAX_WORDS).collect()  # the top words, not rows
-    asked = {bytes(r["w"]): (r["errors"], r["a"]) for r in rows}
+    rows = telling.select("w", errors.alias("errors")).orderBy(F.desc("errors"), "w").limit(4 * MAX_WORDS).collect()  # the top words, not rows
+    asked = {bytes(r["w"]): r["errors"] for r in rows}
     if not asked:
         return []
 
@@ -130,7 +133,7 @@ def toxic_words(sample: DataFrame) -> list[bytes]:
             yield pd.DataFrame(list(found), columns=["w", "p"])
 
     contexts = texts.where("toxic = 1").mapInPandas(before, "w binary, p binary").groupBy("w").agg(F.countDistinct("p").alias("n")).collect()
-    kept = sorted((asked[bytes(r["w"])][0], bytes(r["w"])) for r in contexts if r["n"] >= MIN_CONTEXTS * asked[bytes(r["w"])][1])
+    kept = sorted((asked[bytes(r["w"])], bytes(r["w"])) for r in contexts if r["n"] >= MIN_CONTEXTS)
     return [w for _, x in kept[-MAX_WORDS:] if len(w := x.strip(b".,;:!?|")) >= GRAM]
 
 
