@@ -7,7 +7,8 @@ text to the same length. The language with the largest cosine wins.
 
 Text is lower-cased; runs of other characters count as one separator. Null text, and text without a
 letter, gives `und` with score 0. Where nothing was learned every text is `und`. Ties go to the
-language that sorts first. Repeated rows each give their own result.
+language that sorts first. A very long text is bundled whole, n-gram by n-gram, at the cost of its
+length. Repeated rows each give their own result. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import append_columns, documents, remainder
 DIMENSIONS, N = 1024, 3
 #: Prototypes are fitted on about so many texts of each language, taken by a hash of the id.
 TEXTS_PER_LANGUAGE = 1_000
+#: Distinct values of the language column up to which it can be one: all named languages are fewer.
+MAX_LANGUAGES = 10_000
 #: n-grams whose vectors a task keeps.
 CACHED_GRAMS = 32_768
 UNKNOWN = "und"
@@ -105,13 +108,18 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def train(df: DataFrame, lang: str = "lang", text: str = "text", per_language: int = TEXTS_PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Prototypes by language, from rows of df whose lang and text are not null; the caller chooses the rows."""
+    """Prototypes by language, from rows of df whose lang and text are not null; the caller chooses the rows.
+
+    More values of lang than MAX_LANGUAGES are an error, so that prototypes stay small enough to send.
+    """
     known = df.select(F.col("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(n) > MAX_LANGUAGES:
+        raise ValueError(f"{lang} has over {MAX_LANGUAGES} values: it names no language")
     if not n:
         return {}
-    rates = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, per_language / v))))])
-    taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(rates, F.col("lang")))
+    rates = known.sparkSession.createDataFrame([(k, int(1_000_000 * min(1.0, per_language / v))) for k, v in n.items()], "lang string, rate int")
+    taken = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate"))  # MAX_LANGUAGES rows
 
     def sums(batches):
         grams, totals = Grams(), {}
