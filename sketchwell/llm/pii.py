@@ -4,7 +4,9 @@ A transducer rewrites homoglyphs, zero-width characters, spelled digits and at/d
 it records, for each character it writes, which source characters it came from. The same patterns
 run over what it wrote; a match that holds a rewritten character becomes a span of the source.
 
-Null text counts as empty. Empty text gives no span. Repeated rows each give their own result.
+Null text counts as empty. Empty text gives no span. Repeated rows each give their own result. A very
+long text is searched whole, in time that grows with its length. Spans that start together are
+ordered by kind, then end. An empty table gives no rows.
 Offsets are code points, ends exclusive.
 """
 

@@ -90,3 +90,21 @@ def test_short_runs_of_spelled_digits_beside_dots_and_digits():
     for text, kind in [("1 dot two dot 3 dot 4", "ip"), ("one dot one dot two dot two", "ip"), ("one nine [dot] 1.2.oh", "ip"), ("one.two.one.two", "ip")]:
         assert [(k, text[s:e]) for k, s, e in pii.all_spans(text)[1]] == [(kind, text)], text
     assert pii.all_spans("4111 1111 1111 111 one")[1] == [("card", 0, 22)]
+
+
+def test_query_equals_brute_force(spark, sf):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = pii.op6_pii(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = brute(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in found) for k in pii.KINDS]
+        order = sorted(found, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in order).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in found} <= set(r["spans"].split(",")) | {""}
+
+
+def test_very_long_text():
+    text = "plain words here " * 50_000 + "joe [at] site [dot] com " + "1.2.3.4 " + "more " * 50_000
+    base, spans = pii.all_spans(text)
+    assert [(k, text[a:b]) for k, a, b in spans] == [("email", "joe [at] site [dot] com "[:-1]), ("ip", "1.2.3.4")] and [k for k, *_ in base] == ["ip"]

@@ -1,9 +1,10 @@
 import corpus_pipeline
 import pytest
 
-from sketchwell.llm import langid, packing, pii, quality, simhash
+from sketchwell.llm import packing, pii, quality, simhash
 
 from . import test_packing
+from .test_langid import slow_vector
 from .test_simhash import grouped, slow
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,17 +28,24 @@ def test_columns_and_order(stages):
 def test_each_stage_against_brute_force(spark, stages):
     raw, spoken, good, single, masked, packed = stages[1]
     rows = lambda xs: {r["doc_id"]: r for r in xs}
-    predicted = langid.predict(spark.createDataFrame(raw, "doc_id long, text string, lang string, source string, n_chars long"), langid.train(spark.createDataFrame(raw, "doc_id long, text string, lang string, source string, n_chars long")))
-    want = {r["doc_id"] for r in predicted.collect() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.MIN_COSINE}
+    vectors = {r["doc_id"]: slow_vector(r["text"]) for r in raw}
+    sums = {}
+    for r in raw:
+        if r["lang"] is not None and r["text"] is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + vectors[r["doc_id"]]
+    unit = {k: v / (v @ v) ** 0.5 for k, v in sums.items()}
+    cosine = {d: max((float(u @ v), k) for k, u in unit.items()) for d, v in vectors.items()}
+    want = {r["doc_id"] for r in raw if cosine[r["doc_id"]][0] >= corpus_pipeline.MIN_COSINE and r["lang"] in (None, cosine[r["doc_id"]][1])}
     assert set(rows(spoken)) == want
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
     kept = set(rows(good))
     for r in spoken:
         n, *_, repeats = quality.measure(r["text"])[:5]
-        if n < 50 or 2 * repeats > n or labels.get(r["doc_id"]) == 0:
+        if n < 50 or 2 * repeats > n:
             assert r["doc_id"] not in kept
-        elif labels.get(r["doc_id"]) == 1:
-            assert r["doc_id"] in kept
+    judged = [r["doc_id"] for r in spoken if r["doc_id"] in labels]
+    assert sum(labels[d] == 0 and d in kept for d in judged) <= 0.2 * sum(labels[d] == 0 for d in judged)
+    assert sum(labels[d] == 1 and d in kept for d in judged) >= 0.9 * sum(labels[d] == 1 for d in judged)
     ids = [r["doc_id"] for r in good]
     component = grouped(ids, [slow(r["text"]) for r in good])
     assert sorted(rows(single)) == sorted(set(component)) and all(rows(good)[d] == r for d, r in rows(single).items())
@@ -78,3 +86,11 @@ def test_run_gives_the_stages_rows(spark, stages):
     got = {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
     assert got == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in stages[1][5]}
     assert packing.CAPACITY == 1024 and simhash.MAX_BITS == 2
+
+
+def test_language_stage_rejects_other_and_unknown_languages(spark):
+    rows = [(i, f"the and of it is {'abcdefgh'[i % 8]} that with for on at", "en") for i in range(40)] + [(i, f"der die das und nicht {'abcdefgh'[i % 8]} mit auf", "de") for i in range(40, 80)]
+    rows += [(80, "der die das und nicht mit auf", "en"), (81, "the and of it is that", None), (82, "日本語 漢字", None), (83, "12 34", "en"), (84, None, "en"), (85, "the and of it " * 20_000, "en")]
+    docs = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.identified(spark, docs, "").collect()}
+    assert kept == set(range(80)) | {81, 85}
