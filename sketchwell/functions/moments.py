@@ -100,28 +100,37 @@ def inversion_quantile(p: float, order: int) -> Column:
     return step / F.lit(float(order)) * (F.col("mx") - F.col("mn")) + F.col("mn")
 
 
+def _markov(sums: list[Column], lo: Column, hi: Column, t: Column) -> tuple[Column, Column]:
+    """Markov's least and greatest share above t, lo < t < hi, over all orders; higher-order functions keep the generated code small."""
+    order = len(sums) - 1
+    held, binomials = F.array(*sums), F.array(*[F.array(*[F.lit(float(comb(m, j))) for j in range(m + 1)]) for m in range(order + 1)])
+    term = lambda m, j, center: F.get(F.get(binomials, m), j) * F.pow(-center, m - j) * F.get(held, j)
+    about = lambda m, center: F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda total, j: total + term(m, j, center)) / sums[0]
+    orders = F.sequence(F.lit(1), F.lit(order))
+    upper = F.array_min(F.transform(orders, lambda m: about(m, lo) / F.pow(t - lo, m)))
+    lower = F.array_max(F.transform(orders, lambda m: 1 - F.when(m % 2 == 0, 1).otherwise(-1) * about(m, hi) / F.pow(hi - t, m)))
+    return lower, upper
+
+
 def markov_bounds(t: Column, order: int, logs: bool = False) -> tuple[Column, Column]:
     """Least and greatest possible share above t, by Markov's inequality on every moment; 0 or 1 outside the range.
 
     Values of at most zero are never above a positive t, so bounds from logarithms cover the positive
     share only.
     """
-    sums = _sums("p", order)
-    upper, lower = [F.lit(1.0)], [F.lit(0.0)]
-    for i in range(1, order + 1):
-        upper.append(shifted(sums, i, F.col("mn")) / sums[0] / power(t - F.col("mn"), i))
-        lower.append(1 - (-1) ** i * shifted(sums, i, F.col("mx")) / sums[0] / power(F.col("mx") - t, i))
+    lo, hi = _markov(_sums("p", order), F.col("mn"), F.col("mx"), t)
+    lower, upper = [F.lit(0.0), lo], [F.lit(1.0), hi]
     if logs:
         n, y = _sums("l", order), F.log(t)
-        share = n[0] / sums[0]
+        share = F.col("ln_n") / F.col("n")
         usable = (t > 0) & (F.col("ln_mn") < y) & (y < F.col("ln_mx"))
-        for i in range(1, order + 1):
-            upper.append(F.when(usable, share * shifted(n, i, F.col("ln_mn")) / n[0] / power(y - F.col("ln_mn"), i)))
-            lower.append(F.when(usable, share * (1 - (-1) ** i * shifted(n, i, F.col("ln_mx")) / n[0] / power(F.col("ln_mx") - y, i))))
+        lo, hi = _markov(n, F.col("ln_mn"), F.col("ln_mx"), y)
+        lower.append(F.when(usable, share * lo))
+        upper.append(F.when(usable, share * hi))
     inside = (F.col("mn") < t) & (t < F.col("mx"))
     edge = F.when(t < F.col("mn"), F.lit(1.0)).when(t >= F.col("mx"), F.lit(0.0))
-    lo = F.when(inside, F.greatest(F.lit(0.0), F.greatest(*lower))).otherwise(F.coalesce(edge, F.lit(0.0)))
-    hi = F.when(inside, F.least(F.lit(1.0), F.least(*upper))).otherwise(F.coalesce(edge, F.lit(1.0)))
+    lo = F.when(inside, F.greatest(*lower)).otherwise(F.coalesce(edge, F.lit(0.0)))
+    hi = F.when(inside, F.least(*upper)).otherwise(F.coalesce(edge, F.lit(1.0)))
     return lo, hi
 
 

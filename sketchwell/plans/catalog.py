@@ -567,7 +567,7 @@ def solver_comparison(spark, sf):
     """Greatest rank error of each estimator on the same states."""
     df = table(spark, sf, "events")
     states = A.build(df, [], F.col("value"), 8, logs=True)
-    closed = states.select(F.array(*[M.inversion_quantile(p, 8) for p in _PS]).alias("qs"))
+    closed = states.select(F.array(*[M.inversion_quantile(p, 5) for p in _PS]).alias("qs"))
     solved = [Q.quantiles(states, _PS, m).select("qs").withColumn("method", F.lit(m)) for m in Q.SOLVERS] + [closed.withColumn("method", F.lit("inversion"))]
     estimates = Q.exploded(reduce(lambda a, b: a.unionByName(b), solved), ["method"], _PS)
     return _worst(df, "value", estimates, "method", [*Q.SOLVERS, "inversion"])
