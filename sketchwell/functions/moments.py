@@ -100,6 +100,17 @@ def inversion_quantile(p: float, order: int) -> Column:
     return step / F.lit(float(order)) * (F.col("mx") - F.col("mn")) + F.col("mn")
 
 
+def inversion_quantiles(ps, order: int) -> Column:
+    """inversion_quantile of every p, as an array; the moments are worked out once."""
+    weights = [[float(sum((-1) ** (j - i) * comb(order, j) * comb(j, i) for i in range(min(j, k) + 1))) for j in range(order + 1)] for k in range(order + 1)]
+    table = F.array(*[F.array(*[F.lit(w) for w in row]) for row in weights])
+    product = lambda row, u: F.aggregate(F.zip_with(row, u, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    below = F.flatten(F.transform(F.array(F.array(*unit_moments(order))), lambda u: F.transform(table, lambda row: product(row, u))))
+    step = lambda b, p: F.when(F.exists(b, lambda x: x >= p), F.array_position(F.transform(b, lambda x: x >= p), True) - 1).otherwise(F.lit(order))
+    steps = F.flatten(F.transform(F.array(below), lambda b: F.transform(F.array(*[F.lit(float(p)) for p in ps]), lambda p: step(b, p))))
+    return F.transform(steps, lambda k: k / F.lit(float(order)) * (F.col("mx") - F.col("mn")) + F.col("mn"))
+
+
 def _markov(sums: list[Column], lo: Column, hi: Column, t: Column) -> tuple[Column, Column]:
     """Markov's least and greatest share above t, lo < t < hi, over all orders; higher-order functions keep the generated code small."""
     order = len(sums) - 1

@@ -98,6 +98,15 @@ def cell_fraction_merge(spark, sf):
     return A.merge(A.build(rows, ["cell_id"], F.col("cents"), 3), [])
 
 
+@query(f"""WITH x AS (SELECT event_type, event_id // 200 AS cell, round(value * 100) AS c FROM events WHERE isfinite(value))
+SELECT event_type, count(*) FILTER (c > 0) AS ln_n, round(min(ln(c)) FILTER (c > 0), 6) AS ln_mn, round(max(ln(c)) FILTER (c > 0), 6) AS ln_mx, round(sum(ln(c)) FILTER (c > 0) / count(*), 6) AS l1_mean, round(sum(ln(c) * ln(c)) FILTER (c > 0) / count(*), 6) AS l2_mean FROM x GROUP BY event_type""")
+def log_state_merge(spark, sf):
+    """Sums of logarithms of cells, merged."""
+    cells = A.build(A.cells(_events(spark, sf), "event_id", 200), ["event_type", "cell_id"], F.col("cents"), 2, logs=True)
+    mean = lambda c: F.round(F.col(c) / F.col("n"), 6).alias(f"{c}_mean")
+    return A.merge(cells, ["event_type"]).select("event_type", "ln_n", F.round("ln_mn", 6).alias("ln_mn"), F.round("ln_mx", 6).alias("ln_mx"), mean("l1"), mean("l2"))
+
+
 _FLAGS = ["l_returnflag", "l_linestatus"]
 
 
@@ -567,7 +576,7 @@ def solver_comparison(spark, sf):
     """Greatest rank error of each estimator on the same states."""
     df = table(spark, sf, "events")
     states = A.build(df, [], F.col("value"), 8, logs=True)
-    closed = states.select(F.array(*[M.inversion_quantile(p, 5) for p in _PS]).alias("qs"))
+    closed = states.select(M.inversion_quantiles(_PS, 8).alias("qs"))
     solved = [Q.quantiles(states, _PS, m).select("qs").withColumn("method", F.lit(m)) for m in Q.SOLVERS] + [closed.withColumn("method", F.lit("inversion"))]
     estimates = Q.exploded(reduce(lambda a, b: a.unionByName(b), solved), ["method"], _PS)
     return _worst(df, "value", estimates, "method", [*Q.SOLVERS, "inversion"])
@@ -658,6 +667,42 @@ def ideal_scaling(spark, sf):
     return found.select("sketch", "threads", F.round("ideal", 3).alias("ideal")).distinct()
 
 
+@query("SELECT event_id, event_type, value FROM events WHERE (event_type = 'click' AND value > 100) OR event_id % 997 = 0")
+def modulo_or_filter(spark, sf):
+    return table(spark, sf, "events").where(((F.col("event_type") == "click") & (F.col("value") > 100)) | (F.col("event_id") % 997 == 0)).select("event_id", "event_type", "value")
+
+
+@query("WITH m AS (SELECT l_returnflag, avg(l_quantity) AS mean FROM lineitem GROUP BY 1) SELECT l_linestatus, count(*) AS n FROM lineitem WHERE l_quantity > (SELECT mean FROM m WHERE l_returnflag = 'R') GROUP BY 1")
+def point_lookup(spark, sf):
+    """Lines above the mean of one group of an aggregate, looked up by its key."""
+    df = _lineitem(spark, sf)
+    mean = df.groupBy("l_returnflag").agg(F.avg(QTY).alias("mean")).where("l_returnflag = 'R'").select("mean")  # one row
+    return df.join(F.broadcast(mean), F.col(QTY) > F.col("mean")).groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n FROM (SELECT event_type, CASE WHEN value > 1 THEN ln(value) END AS stat FROM events) WHERE stat IS NOT NULL GROUP BY 1")
+def drop_missing(spark, sf):
+    """Groups of rows whose statistic is there."""
+    stats = table(spark, sf, "events").select("event_type", F.when(F.col("value") > 1, F.log("value")).alias("stat"))
+    return stats.dropna(subset=["stat"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def summary_sizes(spark, sf):
+    """Bytes of stored states over one column, by summary."""
+    df = table(spark, sf, "events")
+    arrays = lambda *names: sum((8 * F.size(c) for c in names), F.lit(16))
+    found = [
+        Y.kll(df, [], "value", 400).select(F.lit("kll").alias("summary"), F.length("sketch").alias("bytes")),
+        Y.tdigest(df, [], "value", 200).select(F.lit("tdigest"), arrays("means", "weights")),
+        Y.streaming_histogram(df, [], "value", 100).select(F.lit("streaming_histogram"), arrays("centers", "counts")),
+        Y.gk(df, [], "value", 100).select(F.lit("gk"), arrays("tops", "gaps", "slacks")),
+        Y.random_buffers(df, [], "value", 500).select(F.lit("random"), arrays("held", "weights")),
+        spark.range(1).select(F.lit("log_moments"), F.lit(M.state_bytes(10, True))),
+    ]
+    return reduce(lambda a, b: a.union(b), found).select("summary", F.col("bytes").cast("long").alias("bytes"))
+
+
 @query("SELECT DISTINCT event_type FROM events")
 def distinct_dims(spark, sf):
     return table(spark, sf, "events").select("event_type").distinct()

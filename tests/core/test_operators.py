@@ -143,6 +143,13 @@ def test_markov_error_holds(spark):
         assert abs(1 - math.exp(-q) - p) <= worst + 0.02 and worst <= 1
 
 
+def test_inversions_agree(spark):
+    states = A.build(synthetic.exponential(spark, 3000, seed=2), [], F.col("x"), 6)
+    ps = (0.1, 0.5, 0.9, 1.0)
+    got = states.select(M.inversion_quantiles(ps, 6).alias("all"), *[M.inversion_quantile(p, 6).alias(f"q{i}") for i, p in enumerate(ps)]).first()
+    assert np.allclose(got["all"], [got[f"q{i}"] for i in range(4)])
+
+
 def test_running_sums_and_samples(spark):
     df = synthetic.integers(spark, 500).withColumn("v", F.lit(1))
     assert all(r["upto_v"] == r["id"] + 1 for r in Y.running(df, "id", ["v"], 7).collect())
