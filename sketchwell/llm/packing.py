@@ -4,7 +4,8 @@ Documents of one length are alike to a packer, so the packing is made on the his
 which has at most CAPACITY entries however many documents there are. It gives bin patterns (lists of
 lengths with a count). Documents then take the places of their length in the order of a hash: each
 finds its rank among its length from counts per (length, bucket), so that no task holds a length: a
-length has a bucket for each BUCKET_ROWS of its rows, and rows that are alike are dealt over them too.
+length has a bucket for each BUCKET_ROWS of its rows and up to SPREAD more, and rows that are alike
+are dealt over them too.
 
 Only documents of over CAPACITY tokens are cut: their first piece takes the remainder, the others
 are full. Of the items, those above a third of the capacity come at most two to a bin: descending,
@@ -34,8 +35,8 @@ CAPACITY, END = 1024, 2
 CACHED_WORDS, KEPT_CHARS = 600_000, 64
 #: What a text that is encoded word by word does not hold, besides white space other than space and line feed.
 PAIRS = ("  ", "\n\n", " \n", "\n ", "<|endoftext|>")
-#: Ranks of one length are dealt over buckets of about so many rows.
-BUCKET_ROWS = 200_000
+#: Ranks of one length are dealt over buckets of at most about so many rows, and over so many buckets if it has rows enough.
+BUCKET_ROWS, SPREAD, LEAST_ROWS = 200_000, 64, 50
 
 
 class Encoder:
@@ -218,12 +219,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (doc_id, piece, start, length, ...) with sequence_id and offset; lineage is cut before ranks are dealt."""
     cut = checkpointed(cut.withColumn("_row", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())))
     histogram = dict(map(tuple, cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()))  # at most capacity rows
-    buckets = F.element_at(F.array(*[F.lit(histogram.get(n, 0) // BUCKET_ROWS + 1) for n in range(1, capacity + 1)]), F.col("length").cast("int"))
+    dealt = {n: c // BUCKET_ROWS + min(SPREAD, c // LEAST_ROWS) + 1 for n, c in histogram.items()}
+    buckets = F.element_at(F.array(*[F.lit(dealt.get(n, 1)) for n in range(1, capacity + 1)]), F.col("length").cast("int"))
     cut = cut.withColumn("_bucket", F.pmod("_row", buckets).cast("int"))
-    counts = cut.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each BUCKET_ROWS rows, and each length
+    counts = cut.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each BUCKET_ROWS rows, and SPREAD + 1 for each length
     before: dict[int, np.ndarray] = {}
     for length, b, n in counts:
-        before.setdefault(length, np.zeros(histogram[length] // BUCKET_ROWS + 2, "int64"))[b + 1] = n
+        before.setdefault(length, np.zeros(dealt[length] + 1, "int64"))[b + 1] = n
     before = {n: np.cumsum(x) for n, x in before.items()}
     slots = places(patterns(histogram, capacity))
     shared = cut.sparkSession.sparkContext.broadcast((before, slots))
