@@ -88,6 +88,11 @@ def canonical_points(states: DataFrame, t: float) -> DataFrame:
     return per_state(states, [T.StructField("points", T.ArrayType(item))], lambda ss, _: [[points(s) for s in ss]])
 
 
+def canonical_entropy(pointed: DataFrame) -> DataFrame:
+    """canonical_points with entropy, that of the points' weights."""
+    return pointed.withColumn("entropy", F.aggregate("points", F.lit(0.0), lambda a, p: a - F.when(p["weight"] > 0, p["weight"] * F.log(p["weight"])).otherwise(0.0)))
+
+
 def exact(df: DataFrame, keys: list[str], x: str, ps) -> DataFrame:
     """Exact quantiles of type R-1, (keys, q_<i> ...)."""
     found = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})").alias(f"q_{i}") for i, p in enumerate(ps)]

@@ -543,6 +543,31 @@ def gaussian_source(spark, sf):
     return synthetic.gaussian(spark, 10_000)
 
 
+@query("SELECT source, 20000::BIGINT AS n, true AS ok FROM (SELECT unnest(['gaussian', 'pareto', 'gamma', 'exponential', 'shuffled']) AS source)")
+def generated_sources_ok(spark, sf):
+    """Whether generated numbers have the share of their distribution below a point, within 0.02; ten values of it hold it in the shuffled source."""
+    n, made = 20_000, synthetic
+    sources = {
+        "gaussian": (made.gaussian(spark, n), 1.0, 0.8413),
+        "pareto": (made.pareto(spark, n, 0.1), 1.0, 1 - 2**-0.1),
+        "gamma": (made.gamma(spark, n, 0.1), 0.1, 0.8275),
+        "exponential": (made.exponential(spark, n), 1.0, 0.6321),
+        "shuffled": (made.shuffled(made.integers(spark, n)).select("id", "x"), 4999.5, 0.25),
+    }
+    below = [df.agg(F.lit(k).alias("source"), F.count("x").alias("n"), (F.abs(F.avg((F.col("x") <= at).cast("double")) - share) <= 0.02).alias("ok")) for k, (df, at, share) in sources.items()]
+    return reduce(lambda a, b: a.unionByName(b), below)
+
+
+@query("SELECT l_returnflag, count(*) AS n, true AS ok FROM lineitem GROUP BY l_returnflag")
+def canonical_points_ok(spark, sf):
+    """Whether the canonical distribution at a quantity has all mass, the state's mean and mean square, and an entropy of at most its points' logarithm."""
+    states = A.build(_lineitem(spark, sf), ["l_returnflag"], QTY, 6)
+    found = Q.canonical_entropy(Q.canonical_points(states, 20.5))
+    mean = lambda i: F.aggregate("points", F.lit(0.0), lambda a, p: a + p["weight"] * F.pow(p["pos"], i))
+    near = [F.abs(mean(i) / (F.col(f"p{i}") / F.col("n")) - 1) < 1e-6 for i in (1, 2)]
+    return found.select("l_returnflag", "n", ((F.abs(mean(0) - 1) < 1e-6) & near[0] & near[1] & (F.col("entropy") <= F.log(F.size("points")) + 1e-9) & (F.col("entropy") > 0)).alias("ok"))
+
+
 _CARDINALITIES = (6, 10, 30, 100, 300, 1000)
 
 

@@ -169,6 +169,8 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "g.csv").write_text('data\n"[1,2.5]"\n[3]\n')
     assert [r["x"] for r in readers.csv_column(spark, f"{tmp_path}/t.csv", 2).collect()] == [3.0, 6.0]
     assert readers.csv_column(spark, f"{tmp_path}/t.csv", 2, limit=1).count() == 1
+    (tmp_path / "bare.csv").write_text("1,2\n4,5\n")
+    assert [r["x"] for r in readers.csv_column(spark, f"{tmp_path}/bare.csv", 1, header=False).collect()] == [2.0, 5.0]
     assert [r["data"] for r in readers.grouped_csv(spark, f"{tmp_path}/g.csv").collect()] == [[1.0, 2.5], [3.0]]
     path = readers.write_results(spark.createDataFrame([("kll", 1)], "sketch string, n int"), f"{tmp_path}/out")
     assert readers.results(spark, [path, path]).count() == 2
