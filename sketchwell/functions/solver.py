@@ -39,15 +39,32 @@ class State:
         return bool(self.log_sums) and self.log_sums[0] == self.sums[0] and self.lo > 0
 
 
+@cache
+def _binomials(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binomials of m over j, and m - j where it is not negative, for m and j below k."""
+    m, j = np.arange(k)[:, None], np.arange(k)[None]
+    return np.array([[float(comb(a, b)) for b in range(k)] for a in range(k)]), np.maximum(m - j, 0)
+
+
+@cache
+def _chebyshev_rows(k: int) -> np.ndarray:
+    """Coefficients of powers in the first k Chebyshev polynomials, a row each."""
+    rows = np.zeros((k, k))
+    for i in range(k):
+        rows[i, : i + 1] = C.cheb2poly([0] * i + [1])
+    return rows
+
+
 def scaled(sums, lo: float, hi: float) -> np.ndarray:
     """Means of powers of the values scaled to [-1, 1]."""
     center, half = (hi + lo) / 2, (hi - lo) / 2
-    return np.array([sum(comb(m, j) * (-center) ** (m - j) * sums[j] for j in range(m + 1)) / half**m for m in range(len(sums))]) / sums[0]
+    binomials, powers = _binomials(len(sums))
+    about = (binomials * (-center) ** powers) @ np.asarray(sums, float)
+    return about / half ** np.arange(len(sums)) / sums[0]
 
 
 def chebyshev_means(sums, lo: float, hi: float) -> np.ndarray:
-    raw = scaled(sums, lo, hi)
-    return np.array([C.cheb2poly([0] * i + [1]) @ raw[: i + 1] for i in range(len(raw))])
+    return _chebyshev_rows(len(sums)) @ scaled(sums, lo, hi)
 
 
 def trusted(means: np.ndarray) -> int:
