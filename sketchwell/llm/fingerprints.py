@@ -11,7 +11,8 @@ A text's fingerprint is its table of FINGERPRINT cells a row, whatever its lengt
 that any two can be subtracted. Where their difference is too large for that, both texts' digests
 are dealt by a hash over sections of about SECTION digests of both, whose tables are tried with
 WIDTHS in turn; a section that fails at all of them is compared by its digests. Sections are rows of
-their own, so that the work grows with the length of a text and no more.
+their own, so that none filters all digests. Time still grows faster than a text's length from some
+30,000 paragraphs on (measured: 32,000 lines 18 s, 64,000 lines 69 s); the cause is not found.
 
 Null text counts as empty; empty text has no digest and an empty table, two of which are alike (1).
 Repeated rows come one after the other: equal ids are ordered by a hash of their text; null ids come
