@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, licenses, lm, packing, pieces, pii, quality, simhash, toxicity
+from . import audit, fingerprints, langid, licenses, lm, packing, pieces, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
+        "op13_audit": audit.op13_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.ORACLE_SQL, "op8_licenses": licenses.ORACLE_SQL}
+    return {"op3_quality": quality.ORACLE_SQL, "op8_licenses": licenses.ORACLE_SQL, "op13_audit": audit.ORACLE_SQL}
