@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, fingerprints, langid, licenses, lm, packing, pieces, pii, quality, simhash, toxicity
+from . import audit, fingerprints, langid, licenses, lm, minhash, packing, pieces, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
+        "op11_minhash": minhash.op11_minhash,
         "op13_audit": audit.op13_audit,
     }
 
