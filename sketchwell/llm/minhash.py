@@ -243,3 +243,24 @@ def group(docs: DataFrame) -> DataFrame:
 def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = group(documents(spark, sf_dir).select("doc_id", "text"))
     return grouped.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(ws) > 0 THEN list_sort(list_distinct(list_transform(range(1, greatest(2, len(ws) - {SHINGLE - 2})), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')))) ELSE [] END AS s FROM texts),
+nodes AS (
+    SELECT s, min(doc_id) AS node, len(s) AS n FROM sets GROUP BY s),
+items AS (
+    SELECT node, n, unnest(s) AS x FROM nodes),
+links AS (
+    SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.x = b.x AND a.node <> b.node GROUP BY a.node, b.node HAVING 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+reached AS (
+    SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other),
+least AS (
+    SELECT node, min(other) AS component FROM reached GROUP BY node)
+SELECT doc_id, nodes.n::BIGINT AS n_shingles, CASE WHEN nodes.n = 0 THEN doc_id ELSE coalesce(component, nodes.node) END AS component_id,
+       doc_id = CASE WHEN nodes.n = 0 THEN doc_id ELSE coalesce(component, nodes.node) END AS kept
+FROM sets JOIN nodes USING (s) LEFT JOIN least ON least.node = nodes.node
+"""

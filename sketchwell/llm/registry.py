@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, fingerprints, langid, licenses, lm, minhash, packing, pieces, pii, quality, simhash, toxicity
+from . import audit, fingerprints, langid, licenses, lm, minhash, packing, pieces, pii, quality, simhash, toxicity, trie
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
         "op11_minhash": minhash.op11_minhash,
+        "op12_trie": trie.op12_trie,
         "op13_audit": audit.op13_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.ORACLE_SQL, "op8_licenses": licenses.ORACLE_SQL, "op13_audit": audit.ORACLE_SQL}
+    return {"op3_quality": quality.ORACLE_SQL, "op8_licenses": licenses.ORACLE_SQL, "op11_minhash": minhash.ORACLE_SQL, "op12_trie": trie.ORACLE_SQL, "op13_audit": audit.ORACLE_SQL}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sketchwell.llm import minhash
 
+from .oracle import same
+
 
 def slow_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -83,6 +85,7 @@ def test_query_equals_brute_force(spark, sf):
     got = minhash.op11_minhash(spark, sf)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert found(got.drop("kept")) == brute(docs)
+    assert same(spark, minhash.op11_minhash, minhash.ORACLE_SQL, sf) == 200
     assert got.where("kept != (doc_id = component_id)").count() == 0 and got.where("not kept").count() > 5
 
 
