@@ -73,6 +73,14 @@ def weighted_quantile(values: np.ndarray, weights: np.ndarray, ps) -> list[float
     return [float(x[min(len(x) - 1, int(np.searchsorted(upto, p * upto[-1] - 1e-9)))]) for p in ps]
 
 
+def fresh_tuples(values: np.ndarray, error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tuples of values not seen before: in order, both ends and every so many-th value that gaps fit in twice the error."""
+    x = np.sort(values)
+    step = max(1, int(2 * error * len(x)))
+    at = np.unique(np.concatenate([[0], np.arange(step, len(x), step), [len(x) - 1]]))
+    return x[at], np.diff(at, prepend=-1).astype(float), np.zeros(len(at))
+
+
 def tuples_merged(values, gaps, slacks, error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greenwald-Khanna tuples of several lists as one: a value, how far its least rank is above the one before, and how far ranks may be off.
 

@@ -96,12 +96,6 @@ def canonical_entropy(pointed: DataFrame) -> DataFrame:
     return pointed.withColumn("entropy", F.aggregate("points", F.lit(0.0), lambda a, p: a - F.when(p["weight"] > 0, p["weight"] * F.log(p["weight"])).otherwise(0.0)))
 
 
-def exact(df: DataFrame, keys: list[str], x: str, ps) -> DataFrame:
-    """Exact quantiles of type R-1, (keys, q_<i> ...)."""
-    found = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})").alias(f"q_{i}") for i, p in enumerate(ps)]
-    return df.groupBy(*keys).agg(*found)
-
-
 def rank_errors(df: DataFrame, keys: list[str], x: str, estimates: DataFrame, ps) -> DataFrame:
     """(keys, p, q, n, rank_error) of estimates (keys, p, q) of the shares ps, against all rows of df.
 

@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import buffers as B
 from ..functions import moments as M
 from ..functions import solver as S
+from ..functions.binomial import limits
 from . import quantiles as Q
 from . import states
 
@@ -210,7 +212,7 @@ def gk(df: DataFrame, keys: list[str], x: str, accuracy: int) -> DataFrame:
     error = 1 / (2 * accuracy)  # half for building, since merging adds
 
     def add(state, values):
-        fresh = np.sort(values), np.ones(len(values)), np.zeros(len(values))
+        fresh = B.fresh_tuples(values, error)
         both = [fresh] if state is None else [state, fresh]
         return B.tuples_merged(*zip(*both, strict=True), error)
 
@@ -265,12 +267,18 @@ def merge_reservoirs(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     return least(shared, keys or [F.lit(1)])
 
 
-def subset_sum(sample: DataFrame, keys: list[str], total: DataFrame, condition) -> DataFrame:
-    """(keys, lo, estimate, hi, n): how many of n rows meet the condition, from a sample, within two standard errors."""
-    share = sample.groupBy(*keys).agg(F.avg(condition.cast("double")).alias("_p"), F.count(F.lit(1)).alias("_k"))
-    joined = share.join(total, keys) if keys else share.crossJoin(total)
-    err = 2 * F.sqrt(F.col("_p") * (1 - F.col("_p")) / F.col("_k"))
-    return joined.select(*keys, (F.greatest(F.lit(0.0), F.col("_p") - err) * F.col("n")).alias("lo"), (F.col("_p") * F.col("n")).alias("estimate"), (F.least(F.lit(1.0), F.col("_p") + err) * F.col("n")).alias("hi"), "n")
+def subset_sum(sample: DataFrame, keys: list[str], total: DataFrame, condition, miss: float = 0.01) -> DataFrame:
+    """(keys, lo, estimate, hi, n): how many of n rows meet the condition, from a sample; exact binomial limits that miss with this probability."""
+    hits = sample.groupBy(*keys).agg(F.sum(condition.cast("long")).alias("_hits"), F.count(F.lit(1)).alias("_k"))
+    joined = hits.join(total, keys) if keys else hits.crossJoin(total)
+    schema = T.StructType([*(joined.schema[k] for k in keys), *[T.StructField(c, T.DoubleType()) for c in ("lo", "estimate", "hi")], joined.schema["n"]])
+
+    def run(batches):
+        for pdf in batches:
+            lo, hi = limits(pdf["_hits"].to_numpy(), pdf["_k"].to_numpy(), miss)
+            yield pdf[[*keys, "n"]].assign(lo=lo * pdf["n"], estimate=pdf["_hits"] / pdf["_k"] * pdf["n"], hi=hi * pdf["n"])[schema.names]
+
+    return joined.mapInPandas(run, schema)
 
 
 def ks_distance(df: DataFrame, side: str, x: str) -> DataFrame:
