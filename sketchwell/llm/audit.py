@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from .common import documents
 
 FILTERS = "ABCDE"
+#: Text that a task of the shuffle holds, about; an RDD's partitions are not fitted to what arrives, so it is counted first.
+TASK_BYTES = 64 << 20
 MIN_WORDS, DISTINCT_PERCENT, CAPITALS_PERCENT = 100, 80, 10
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 
@@ -113,7 +115,8 @@ def _between_tasks(pairs):
 def masked(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask, n): the mask of filters that a document fails; n rows repeat id, text and lang."""
     spark, rdd = docs.sparkSession, docs.select("doc_id", "text", "lang").rdd
-    n = max(rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(size // TASK_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rdd.mapPartitions(_within_task).partitionBy(n, lambda fp: fp % n).mapPartitions(_between_tasks)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType()), T.StructField("n", T.LongType())])
     return spark.createDataFrame(rows, schema, verifySchema=False)
