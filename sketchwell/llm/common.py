@@ -40,6 +40,16 @@ def remainder(doc_id: Column, of: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
 
 
+def place(*columns: str) -> Column:
+    """A whole number from 0 to 2 ** 63 - 1 that looks drawn at random for each different row of columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
+def place_limit(wanted: int, of: int) -> int:
+    """The greatest place up to which about `wanted` of so many rows lie, and all if there are no more; over 0 for any table."""
+    return 2**63 - 1 if of <= wanted else max(1, wanted * 2**63 // of)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

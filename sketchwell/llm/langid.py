@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, documents, remainder
+from .common import append_columns, documents, place, place_limit, remainder
 
 DIMENSIONS, N = 1024, 3
 #: Prototypes are fitted on about so many texts of each language, taken by a hash of the id.
@@ -118,8 +118,8 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", per_language: i
         raise ValueError(f"{lang} has over {MAX_LANGUAGES} values: it names no language")
     if not n:
         return {}
-    rates = known.sparkSession.createDataFrame([(k, int(1_000_000 * min(1.0, per_language / v))) for k, v in n.items()], "lang string, rate int")
-    taken = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("rate"))  # MAX_LANGUAGES rows
+    limits = known.sparkSession.createDataFrame([(k, place_limit(per_language, v)) for k, v in n.items()], "lang string, upto long")
+    taken = known.join(F.broadcast(limits), "lang").where(place("doc_id", "text") <= F.col("upto"))  # MAX_LANGUAGES rows
 
     def sums(batches):
         grams, totals = Grams(), {}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, checkpointed, documents, remainder
+from .common import append_columns, checkpointed, documents, place, place_limit, remainder
 
 #: The classifier is fitted on about so many labelled rows, taken by a hash of the id ...
 LABELLED = 20_000
@@ -147,14 +147,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes, list[bytes], np.nd
     n = known.count()
     if not n:
         return b"", [], np.zeros(4), 0.0
-    rate = min(1.0, LABELLED / n)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    taken = known.where(place < int(rate * 1_000_000)).withColumn("place", place)
+    taken = known.withColumn("place", place("doc_id")).where(F.col("place") <= place_limit(LABELLED, n))
     sample = checkpointed(docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id"))  # about LABELLED small rows
     share = sample.agg(F.avg("toxic")).first()[0]
     if share in (None, 0.0, 1.0):
         return b"", [], np.zeros(4), float(share or 0)
-    few = F.col("place") < int(rate * 1_000_000 * min(1.0, ORDINARY_TEXTS / (n * rate)))
+    few = F.col("place") <= place_limit(min(ORDINARY_TEXTS, LABELLED), n)
     ordinary = [r["text"].encode().lower() for r in sample.where((F.col("toxic") == 0) & few & F.col("text").isNotNull()).orderBy("doc_id").select("text").collect()]
     words = toxic_words(sample)
     content = dictionary(ordinary)
