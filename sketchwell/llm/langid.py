@@ -134,8 +134,8 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", per_language: i
     parts = taken.select("lang", "text").mapInPandas(sums, "lang string, place int, value long")
     found = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()  # languages x DIMENSIONS rows
     out: dict[str, np.ndarray] = {}
-    for language, place, value in found:
-        out.setdefault(language, np.zeros(DIMENSIONS))[place] = value
+    for language, at, value in found:
+        out.setdefault(language, np.zeros(DIMENSIONS))[at] = value
     return out
 
 
