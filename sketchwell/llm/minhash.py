@@ -11,9 +11,9 @@ of similarity PERCENT/100 share no key with a probability under 1e-9, which is w
 lose. Candidates are confirmed on their full sets. Under a key of up to PAIRED nodes all pairs of
 fitting size are tried. Under a crowded key pairs are not made: its nodes are compared with PIVOTS of
 them, which joins groups of many near copies at one comparison a node and pivot. Keys whose nodes are
-of one component then are done. Nodes of the others are dealt over blocks, and a task has two blocks
+all linked with one pivot then are done. Nodes of the others are dealt over blocks, and a task has two blocks
 of a key: it counts the shingles that all their nodes share by products of small matrices, and gives
-only the links that join components. So no link between different components is missed, no pairs are
+only the links that join nodes of different pivots or of none. So no component is missed, no pairs are
 written, and no task holds a whole key; the work on a key that stays open is the square of its nodes.
 
 Text is lower-cased in A-Z. Null, empty and wordless text has an empty set, is linked with nothing and
@@ -42,7 +42,7 @@ UNIVERSE, SEED = 1 << 22, 5
 #: Nodes of one key up to which all pairs are tried; pivots of a crowded key.
 PAIRED, PIVOTS = 16, 3
 #: Nodes and shingles of a block, about; columns of a matrix.
-BLOCK_NODES, BLOCK_ITEMS, COLUMNS = 400, 500_000, 4096
+BLOCK_NODES, BLOCK_ITEMS, COLUMNS = 2000, 2_000_000, 4096
 #: Shingles whose slices are held at once.
 SLICE = 2048
 
@@ -148,9 +148,15 @@ def _small_pairs(members: DataFrame) -> DataFrame:
     return left.select(F.col("x.fp").alias("a"), F.explode(fits).alias("y")).select("a", F.col("y.fp").alias("b"))
 
 
-def _open(crowded: DataFrame, comps: DataFrame) -> DataFrame:
-    """crowded (key, fp, size) with comp, of keys whose nodes are of several components."""
-    named = checkpointed(crowded.join(comps.select("fp", F.col("rank.fp").alias("comp")), "fp"))
+def _open(crowded: DataFrame, pivots: DataFrame, edges: DataFrame) -> DataFrame:
+    """crowded (key, fp, size) with comp, the first of its key's pivots that it is linked with or else itself, of keys where these differ."""
+    met = crowded.join(pivots.select("key", "a", "_place"), "key")
+    sides = lambda a, b: [F.least(a, b).alias("_x"), F.greatest(a, b).alias("_y")]
+    joined = met.select("key", "fp", "_place", "a", *sides("a", "fp")).join(edges.select(*sides("a", "b")), ["_x", "_y"])
+    covered = joined.groupBy("key", "fp").agg(F.min(F.struct("_place", "a"))["a"].alias("comp"))
+    first = met.where("fp = a AND _place = 1").select("key", "fp", F.col("a").alias("comp"))
+    named = crowded.join(covered.unionByName(first), ["key", "fp"], "left").withColumn("comp", F.coalesce("comp", "fp"))
+    named = checkpointed(named)
     several = named.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a < _z").select("key")
     return named.join(several, "key", "left_semi")
 
@@ -217,14 +223,14 @@ def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = checkpointed(_sets(docs, wanted))
     crowded = members.where(F.col("n") > PAIRED).select("key", "fp", "size")
     place = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("fp"), "fp"))  # the same pivots under many keys
-    pivots = crowded.withColumn("_place", place).where(F.col("_place") <= PIVOTS).select("key", F.col("fp").alias("a"), F.col("size").alias("_size"))
+    pivots = crowded.withColumn("_place", place).where(F.col("_place") <= PIVOTS).select("key", F.col("fp").alias("a"), F.col("size").alias("_size"), "_place")
+    pivots = checkpointed(pivots)
     met = crowded.join(pivots, "key").where(_near(F.col("size"), F.col("_size"))).select("a", F.col("fp").alias("b"))
     edges = checkpointed(_verified(_ordered(_small_pairs(members).unionByName(met)), sets))
-    comps = checkpointed(components(ranks, edges))
-    open_ = checkpointed(_open(crowded, comps))
-    if not open_.limit(1).count():
-        return comps
-    return components(ranks, edges.unionByName(_block_links(open_, sets)))
+    open_ = checkpointed(_open(crowded, pivots, edges))
+    if open_.limit(1).count():
+        edges = edges.unionByName(_block_links(open_, sets))
+    return components(ranks, edges)
 
 
 def group(docs: DataFrame) -> DataFrame:
