@@ -152,10 +152,10 @@ def _open(crowded: DataFrame, pivots: DataFrame, edges: DataFrame) -> DataFrame:
     """crowded (key, fp, size) with comp, the first of its key's pivots that it is linked with or else itself, of keys where these differ."""
     met = crowded.join(pivots.select("key", "a", "_place"), "key")
     sides = lambda a, b: [F.least(a, b).alias("_x"), F.greatest(a, b).alias("_y")]
-    joined = met.select("key", "fp", "_place", "a", *sides("a", "fp")).join(edges.select(*sides("a", "b")), ["_x", "_y"])
-    covered = joined.groupBy("key", "fp").agg(F.min(F.struct("_place", "a"))["a"].alias("comp"))
-    first = met.where("fp = a AND _place = 1").select("key", "fp", F.col("a").alias("comp"))
-    named = crowded.join(covered.unionByName(first), ["key", "fp"], "left").withColumn("comp", F.coalesce("comp", "fp"))
+    joined = met.select("key", "fp", "_place", "a", *sides("a", "fp")).join(edges.select(*sides("a", "b")), ["_x", "_y"]).select("key", "fp", "_place", "a")
+    itself = met.where("fp = a").select("key", "fp", "_place", "a")
+    covered = joined.unionByName(itself).groupBy("key", "fp").agg(F.min(F.struct("_place", "a"))["a"].alias("comp"))
+    named = crowded.join(covered, ["key", "fp"], "left").withColumn("comp", F.coalesce("comp", "fp"))
     named = checkpointed(named)
     several = named.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a < _z").select("key")
     return named.join(several, "key", "left_semi")
