@@ -2,7 +2,7 @@
 
 Histograms on power-of-two grids and KLL use Spark's own aggregates; reservoirs are the rows of least
 hash. T-digests, streaming histograms that merge, Greenwald-Khanna tuples and random buffers are
-stored states: each task keeps one a group through all its batches, and states of a group merge in
+stored states (adaptive tuples and drawn reservoirs too): each task keeps one a group through all its batches, and states of a group merge in
 two levels, so that no task gets more than a share of them.
 """
 
@@ -133,32 +133,32 @@ def _joined(lists) -> np.ndarray:
     return np.concatenate([np.asarray(x, float) for x in lists])
 
 
-def streaming_histogram(df: DataFrame, keys: list[str], x: str, size: int, low: float | None = None, high: float | None = None) -> DataFrame:
-    """(keys, centers, counts, mn, mx): at most size centers with counts, the nearest merged; with limits, of values from low to high only."""
+def streaming_histogram(df: DataFrame, keys: list[str], x: str, size: int, low: float | None = None, high: float | None = None, least: float = 0.0) -> DataFrame:
+    """(keys, centers, counts, mn, mx): at most size centers with counts, the nearest merged, and those nearer than least in any case; with limits, of values from low to high only."""
     if low is not None or high is not None:
         within = (F.col(x) >= F.lit(low)) if low is not None else F.lit(True)
         df = df.where(within & (F.col(x) <= F.lit(high)) if high is not None else within)
 
     def add(state, values):
         distinct, n = np.unique(values, return_counts=True)
-        return B.nearest_merged(distinct, n, size) if state is None else B.nearest_merged(np.concatenate([state[0], distinct]), np.concatenate([state[1], n]), size)
+        return B.nearest_merged(distinct, n, size, least) if state is None else B.nearest_merged(np.concatenate([state[0], distinct]), np.concatenate([state[1], n]), size, least)
 
-    return merge_streaming_histograms(built(df, keys, x, "centers array<double>, counts array<double>", add), keys, size)
+    return merge_streaming_histograms(built(df, keys, x, "centers array<double>, counts array<double>", add), keys, size, least)
 
 
-def merge_streaming_histograms(hists: DataFrame, keys: list[str], size: int) -> DataFrame:
-    return merged(hists.select(*keys, "centers", "counts", "mn", "mx"), keys, ["centers", "counts"], lambda c, n: B.nearest_merged(_joined(c), _joined(n), size))
+def merge_streaming_histograms(hists: DataFrame, keys: list[str], size: int, least: float = 0.0) -> DataFrame:
+    return merged(hists.select(*keys, "centers", "counts", "mn", "mx"), keys, ["centers", "counts"], lambda c, n: B.nearest_merged(_joined(c), _joined(n), size, least))
 
 
 def streaming_histogram_quantiles(hists: DataFrame, keys: list[str], ps) -> DataFrame:
-    """(keys, qs) between centers; the ends are exact."""
+    """(keys, qs) by trapezoids between centers; the ends are exact."""
     ps = [float(p) for p in ps]
-    return per_group(hists, keys, "qs array<double>", lambda r: S.digest_quantile(np.array(r.centers), np.array(r.counts), r.mn, r.mx, ps).tolist())
+    return per_group(hists, keys, "qs array<double>", lambda r: B.trapezoid_quantiles(np.array(r.centers), np.array(r.counts), r.mn, r.mx, ps))
 
 
 def streaming_histogram_below(hists: DataFrame, keys: list[str], x: float) -> DataFrame:
-    """(keys, n_below): how many values are at most x."""
-    return per_group(hists, keys, "n_below double", lambda r: B.share_below(np.array(r.centers), np.array(r.counts), r.mn, r.mx, x) * sum(r.counts))
+    """(keys, n_below): how many values are at most x, by the trapezoid that x is in."""
+    return per_group(hists, keys, "n_below double", lambda r: B.trapezoid_share(np.array(r.centers), np.array(r.counts), r.mn, r.mx, x) * sum(r.counts))
 
 
 def tdigest(df: DataFrame, keys: list[str], x: str, compression: float = 100.0) -> DataFrame:
@@ -185,23 +185,43 @@ def tdigest_below(digests: DataFrame, keys: list[str], x: float) -> DataFrame:
     return per_group(digests, keys, "share double", lambda r: B.share_below(np.array(r.means), np.array(r.weights), r.mn, r.mx, x))
 
 
-def random_buffers(df: DataFrame, keys: list[str], x: str, size: int) -> DataFrame:
-    """(keys, held, weights, mn, mx): buffers of at most size values for each power of two, halved at random as they fill."""
+_BUFFERS = ["held", "weights", "open"]
 
-    def add(state, values):
-        held, weights = state or (np.zeros(0), np.zeros(0))
-        return B.collapsed(np.concatenate([held, values]), np.concatenate([weights, np.ones(len(values))]), size)
 
-    return merge_random_buffers(built(df, keys, x, "held array<double>, weights array<double>", add), keys, size)
+def random_buffers(df: DataFrame, keys: list[str], x: str, accuracy: int, seed: int = 0) -> DataFrame:
+    """(keys, held, weights, open, mn, mx): buffers whose ranks are within 1 / accuracy with high probability.
+
+    Their size follows from the accuracy alone. Once they have been full often enough, only one of
+    2, 4, 8 .. values is taken, so that the work on a value falls as a group grows.
+    """
+    fields = "held array<double>, weights array<double>, open array<double>"
+    add = lambda state, values: B.buffers_added(state, values, 1 / accuracy, seed)
+    return merge_random_buffers(built(df, keys, x, fields, add), keys, accuracy, seed)
 
 
-def merge_random_buffers(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
-    return merged(parts.select(*keys, "held", "weights", "mn", "mx"), keys, ["held", "weights"], lambda v, w: B.collapsed(_joined(v), _joined(w), size))
+def merge_random_buffers(parts: DataFrame, keys: list[str], accuracy: int, seed: int = 0) -> DataFrame:
+    return merged(parts.select(*keys, *_BUFFERS, "mn", "mx"), keys, _BUFFERS, lambda v, w, o: B.buffers_merged(v, w, o, 1 / accuracy, seed))
 
 
 def random_quantiles(parts: DataFrame, keys: list[str], ps) -> DataFrame:
     ps = [float(p) for p in ps]
-    return per_group(parts, keys, "qs array<double>", lambda r: B.weighted_quantile(np.array(r.held), np.array(r.weights), ps))
+    return per_group(parts, keys, "qs array<double>", lambda r: B.weighted_quantile(np.append(r.held, r.open[:1]), np.append(r.weights, r.open[1:]), ps))
+
+
+def drawn_reservoir(df: DataFrame, keys: list[str], x: str, k: int, seed: int = 0) -> DataFrame:
+    """(keys, sample, n, mn, mx): an even sample of k values of each group, and how many it stands for; rows need no id and keep no priority."""
+    add = lambda state, values: B.reservoir_added(state, values, k, seed)
+    return merge_drawn_reservoirs(built(df, keys, x, "sample array<double>, n long", add), keys, k, seed)
+
+
+def merge_drawn_reservoirs(parts: DataFrame, keys: list[str], k: int, seed: int = 0) -> DataFrame:
+    """Samples of parts of any sizes as one: how many values come from each is drawn by the parts' counts."""
+    return merged(parts.select(*keys, "sample", "n", "mn", "mx"), keys, ["sample", "n"], lambda s, n: B.reservoirs_joined([np.asarray(v, float) for v in s], n, k, seed))
+
+
+def drawn_reservoir_quantiles(parts: DataFrame, keys: list[str], ps) -> DataFrame:
+    ps = [float(p) for p in ps]
+    return per_group(parts, keys, "qs array<double>", lambda r: B.weighted_quantile(np.array(r.sample), np.ones(len(r.sample)), ps))
 
 
 _TUPLES = ["tops", "gaps", "slacks"]
@@ -227,7 +247,24 @@ def merge_gk(parts: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
 
 def gk_state_quantiles(parts: DataFrame, keys: list[str], ps) -> DataFrame:
     ps = [float(p) for p in ps]
-    return per_group(parts, keys, "qs array<double>", lambda r: B.tuple_quantile(np.array(r.tops), np.array(r.gaps), np.array(r.slacks), 0.0, ps))
+    return per_group(parts, keys, "qs array<double>", lambda r: B.tuple_quantile(np.array(r.tops), np.array(r.gaps), np.array(r.slacks), ps))
+
+
+def gk_adaptive(df: DataFrame, keys: list[str], x: str, accuracy: int) -> DataFrame:
+    """(keys, tops, gaps, slacks, pending, mn, mx): tuples whose ranks are within 1 / accuracy, and values that wait to become some."""
+    fields = "tops array<double>, gaps array<double>, slacks array<double>, pending array<double>"
+    return merge_gk_adaptive(built(df, keys, x, fields, lambda state, values: B.adaptive_added(state, values, 1 / accuracy)), keys, accuracy)
+
+
+def merge_gk_adaptive(parts: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
+    names = [*_TUPLES, "pending"]
+    return merged(parts.select(*keys, *names, "mn", "mx"), keys, names, lambda v, g, d, w: B.adaptive_merged(v, g, d, w, 1 / accuracy))
+
+
+def gk_adaptive_quantiles(parts: DataFrame, keys: list[str], ps, accuracy: int) -> DataFrame:
+    ps = [float(p) for p in ps]
+    whole = lambda r: B.adaptive_whole(r.tops, r.gaps, r.slacks, r.pending, 1 / accuracy)
+    return per_group(parts, keys, "qs array<double>", lambda r: B.tuple_quantile(*whole(r), ps))
 
 
 def kll_cdf(sketches: DataFrame, keys: list[str], splits) -> DataFrame:
@@ -348,7 +385,7 @@ class Summary:
         return REGISTRY[self.name](df, keys, x, ps, self.size)
 
     def error(self) -> float | None:
-        return {"gk": lambda s: 1 / s, "gk_adaptive": lambda s: 1 / s, "kll": lambda s: kll_error(int(s)), "reservoir": lambda s: 2.5 * (0.25 / s) ** 0.5}.get(canonical(self.name), lambda s: None)(self.size)
+        return {"gk": lambda s: 1 / s, "gk_adaptive": lambda s: 1 / s, "kll": lambda s: kll_error(int(s)), "random": lambda s: 1 / s, "reservoir": lambda s: 2.5 * (0.25 / s) ** 0.5, "drawn_reservoir": lambda s: 2.5 * (0.25 / s) ** 0.5}.get(canonical(self.name), lambda s: None)(self.size)
 
 
 def _from_states(df, keys, x, ps, size, logs, method):
@@ -376,15 +413,16 @@ REGISTRY = {
     "grid_histogram": _grid_quantiles,
     "streaming_histogram": lambda df, keys, x, ps, size: streaming_histogram_quantiles(streaming_histogram(df, keys, x, int(size)), keys, ps),
     "gk": lambda df, keys, x, ps, size: gk_quantiles(df, keys, x, ps, int(size)),
-    "gk_adaptive": lambda df, keys, x, ps, size: gk_state_quantiles(gk(df, keys, x, int(size)), keys, ps),
+    "gk_adaptive": lambda df, keys, x, ps, size: gk_adaptive_quantiles(gk_adaptive(df, keys, x, int(size)), keys, ps, int(size)),
     "random": lambda df, keys, x, ps, size: random_quantiles(random_buffers(df, keys, x, int(size)), keys, ps),
     "kll": lambda df, keys, x, ps, size: kll_quantiles(kll(df, keys, x, int(size)), keys, ps),
     "tdigest": lambda df, keys, x, ps, size: tdigest_quantiles(tdigest(df, keys, x, size), keys, ps),
     "reservoir": _reservoir_quantiles,
+    "drawn_reservoir": lambda df, keys, x, ps, size: drawn_reservoir_quantiles(drawn_reservoir(df, keys, x, int(size)), keys, ps),
     "exact": lambda df, keys, x, ps, size: df.groupBy(*keys).agg(F.array(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})") for p in ps]).alias("qs")),
 }
 #: Names that configurations use for the same summaries.
-ALIASES = {"cmoments": "log_moments", "hybrid": "hybrid_moments", "histogram": "grid_histogram", "approx_histogram": "streaming_histogram", "spark_gk": "gk", "yahoo": "kll", "sampling": "reservoir", "reservoir_sampling": "reservoir"}
+ALIASES = {"cmoments": "log_moments", "hybrid": "hybrid_moments", "histogram": "grid_histogram", "approx_histogram": "streaming_histogram", "spark_gk": "gk", "yahoo": "kll", "sampling": "reservoir", "reservoir_sampling": "drawn_reservoir"}
 
 
 def canonical(name: str) -> str:

@@ -421,7 +421,7 @@ def _summary_ok(name: str, size: float, bound: float):
     _QUERIES[f"{name}_ok"], _SQL[f"{name}_ok"] = run, _ok_sql("l_returnflag", "lineitem")
 
 
-for _name, _size, _bound in [("gk", 200, 0.01), ("gk_adaptive", 100, 0.01), ("kll", 400, 0.02), ("random", 500, 0.02), ("tdigest", 200, 0.01), ("reservoir", 1500, 0.06), ("streaming_histogram", 100, 0.02), ("grid_histogram", 100, 0.03), ("moments", 11, 0.02), ("log_moments", 11, 0.02), ("hybrid_moments", 11, 0.02)]:
+for _name, _size, _bound in [("gk", 200, 0.01), ("gk_adaptive", 100, 0.01), ("kll", 400, 0.02), ("random", 50, 0.02), ("tdigest", 200, 0.01), ("reservoir", 1500, 0.06), ("drawn_reservoir", 1500, 0.06), ("streaming_histogram", 100, 0.02), ("grid_histogram", 100, 0.03), ("moments", 11, 0.02), ("log_moments", 11, 0.02), ("hybrid_moments", 11, 0.02)]:
     _summary_ok(_name, _size, _bound)
 
 
@@ -458,7 +458,10 @@ def _merged_ok(name: str, build, merge, quantiles, bound: float):
 _merged_ok("streaming_histogram", lambda df, keys: Y.streaming_histogram(df, keys, "value", 100), lambda s, keys: Y.merge_streaming_histograms(s, keys, 100), lambda s, keys: Y.streaming_histogram_quantiles(s, keys, _PS), 0.03)
 _merged_ok("tdigest", lambda df, keys: Y.tdigest(df, keys, "value", 200), lambda s, keys: Y.merge_tdigests(s, keys, 200), lambda s, keys: Y.tdigest_quantiles(s, keys, _PS), 0.02)
 _merged_ok("gk", lambda df, keys: Y.gk(df, keys, "value", 100), lambda s, keys: Y.merge_gk(s, keys, 100), lambda s, keys: Y.gk_state_quantiles(s, keys, _PS), 0.01)
-_merged_ok("random", lambda df, keys: Y.random_buffers(df, keys, "value", 500), lambda s, keys: Y.merge_random_buffers(s, keys, 500), lambda s, keys: Y.random_quantiles(s, keys, _PS), 0.02)
+_merged_ok("gk_adaptive", lambda df, keys: Y.gk_adaptive(df, keys, "value", 100), lambda s, keys: Y.merge_gk_adaptive(s, keys, 100), lambda s, keys: Y.gk_adaptive_quantiles(s, keys, _PS, 100), 0.01)
+_merged_ok("random", lambda df, keys: Y.random_buffers(df, keys, "value", 50), lambda s, keys: Y.merge_random_buffers(s, keys, 50), lambda s, keys: Y.random_quantiles(s, keys, _PS), 0.02)
+_merged_ok("reservoir", lambda df, keys: Y.drawn_reservoir(df, keys, "value", 1500), lambda s, keys: Y.merge_drawn_reservoirs(s, keys, 1500), lambda s, keys: Y.drawn_reservoir_quantiles(s, keys, _PS), 0.06)
+_merged_ok("spaced_histogram", lambda df, keys: Y.streaming_histogram(df, keys, "value", 200, least=0.25), lambda s, keys: Y.merge_streaming_histograms(s, keys, 200, 0.25), lambda s, keys: Y.streaming_histogram_quantiles(s, keys, _PS), 0.03)
 
 
 def _share_ok(df, found, bound: float):
@@ -761,7 +764,9 @@ def summary_sizes(spark, sf):
         Y.tdigest(df, [], "value", 200).select(F.lit("tdigest"), arrays("means", "weights")),
         Y.streaming_histogram(df, [], "value", 100).select(F.lit("streaming_histogram"), arrays("centers", "counts")),
         Y.gk(df, [], "value", 100).select(F.lit("gk"), arrays("tops", "gaps", "slacks")),
-        Y.random_buffers(df, [], "value", 500).select(F.lit("random"), arrays("held", "weights")),
+        Y.gk_adaptive(df, [], "value", 100).select(F.lit("gk_adaptive"), arrays("tops", "gaps", "slacks", "pending")),
+        Y.random_buffers(df, [], "value", 50).select(F.lit("random"), arrays("held", "weights", "open")),
+        Y.drawn_reservoir(df, [], "value", 1500).select(F.lit("drawn_reservoir"), arrays("sample")),
         spark.range(1).select(F.lit("log_moments"), F.lit(M.state_bytes(10, True))),
     ]
     return reduce(lambda a, b: a.union(b), found).select("summary", F.col("bytes").cast("long").alias("bytes"))
