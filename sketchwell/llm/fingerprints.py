@@ -11,8 +11,9 @@ A text's fingerprint is its table of FINGERPRINT cells a row, whatever its lengt
 that any two can be subtracted. Where their difference is too large for that, both texts' digests
 are dealt by a hash over sections of about SECTION digests of both, whose tables are tried with
 WIDTHS in turn; a section that fails at all of them is compared by its digests. Sections are rows of
-their own, so that none filters all digests. Time still grows faster than a text's length from some
-30,000 paragraphs on (measured: 32,000 lines 18 s, 64,000 lines 69 s); the cause is not found.
+their own, so that none filters all digests; they are exploded from one array that is made before, since an
+explode copies whatever else its row holds for each digest (measured, two texts: 16,000 lines 19 s,
+32,000 lines 20 s, 64,000 lines 30 s; with the arrays in the row 64,000 lines took 69 s on a faster day).
 
 Null text counts as empty; empty text has no digest and an empty table, two of which are alike (1).
 Repeated rows come one after the other: equal ids are ordered by a hash of their text; null ids come
@@ -110,8 +111,8 @@ def difference(a: Column, b: Column) -> Column:
 def dealt(pair: int, a: Column, b: Column) -> Column:
     """The digests of two versions as (pair, section, c, k); c is 1 for a, -1 for b."""
     last = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / SECTION)))).cast("long") - 1
-    of = lambda c: lambda h: F.struct(F.lit(pair).alias("pair"), F.xxhash64(F.lit(5), h).bitwiseAND(last).alias("section"), F.lit(c).alias("c"), h.alias("k"))
-    return F.concat(F.transform(a, of(1)), F.transform(b, of(-1)))
+    of = lambda c, m: lambda h: F.struct(F.lit(pair).alias("pair"), F.xxhash64(F.lit(5), h).bitwiseAND(m).alias("section"), F.lit(c).alias("c"), h.alias("k"))
+    return _let(last, lambda m: F.concat(F.transform(a, of(1, m)), F.transform(b, of(-1, m))))
 
 
 def recovered(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -204,7 +205,8 @@ def compare(found: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<struct<pair:int,section:bigint,c:int,k:bigint>>)")
     failed = [F.when(F.col(f"near_{i}").isNull(), dealt(i, F.col("d0"), F.col(f"d{i}"))).otherwise(none) for i in (1, 2)]
     own = F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).cast("long").alias("section"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k")))
-    rows = done.select("_range", "_place", kept.alias("_kept"), F.explode(F.concat(own, *failed)).alias("e"))
+    ready = done.select("_range", "_place", kept.alias("_kept"), F.concat(own, *failed).alias("_all"))  # no other array goes into the explode
+    rows = ready.select("_range", "_place", "_kept", F.explode("_all").alias("e"))
     rows = rows.select("_range", "_place", "e", F.when(F.col("e.pair") == 0, F.col("_kept")).alias("kept"))
     found = recovered(rows, ["_range", "_place"])
     sums = [F.sum(F.when(F.col("pair") == i, F.size("found"))).alias(f"_far_{i}") for i in (1, 2)]
