@@ -2,7 +2,8 @@
 
 A density on y in [-1, 1] is exp of a linear combination of functions: Chebyshev polynomials in y
 and, where logarithms are at hand, Chebyshev polynomials in the other scale. All integrals are sums
-over one fixed Clenshaw-Curtis grid, so a fit is a few small matrix products a Newton step.
+over one fixed Clenshaw-Curtis grid, so a fit is a few small matrix products a Newton step. A density
+too narrow for that grid, as the last coefficients of its series show, is solved again on finer ones.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from statistics import NormalDist
 import numpy as np
 from numpy.polynomial import chebyshev as C
 
+from . import chebyshev as K
+
 NODES, FINE = 256, 2049
+#: Nodes that a narrow density may take, and what its last coefficients may be of its greatest.
+MOST_NODES, LEFT_OUT = 1 << 16, 1e-6
 WELL_CONDITIONED, LARGEST = 1e4, 1.1
 
 
@@ -117,10 +122,15 @@ class Density:
     below: np.ndarray
     converged: bool
     entropy: float = 0.0
+    points: np.ndarray | None = None  # where below is given; the fine grid if none
+
+    @property
+    def at(self) -> np.ndarray:
+        return _fine() if self.points is None else self.points
 
     def quantile(self, p):
         p = np.asarray(p, float)
-        y = np.interp(p, self.below, _fine())
+        y = np.interp(p, self.below, self.at)
         x = y * (self.hi - self.lo) / 2 + (self.hi + self.lo) / 2
         x = np.exp(x) if self.logs else x
         ends = np.exp([self.lo, self.hi]) if self.logs else (self.lo, self.hi)
@@ -132,17 +142,18 @@ class Density:
                 return 0.0
             x = np.log(x)
         y = (x - (self.hi + self.lo) / 2) / ((self.hi - self.lo) / 2)
-        return float(np.interp(y, _fine(), self.below, 0.0, 1.0))
+        return float(np.interp(y, self.at, self.below, 0.0, 1.0))
 
 
-def newton(functions: np.ndarray, means: np.ndarray, weights: np.ndarray, tol: float = 1e-9, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def newton(functions: np.ndarray, means: np.ndarray, weights: np.ndarray, tol: float = 1e-9, most: int = 200, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients of the densities whose means of the functions are the given ones, and which converged.
 
     functions is densities x functions x nodes, means densities x functions; the first function is 1.
     All densities step together; one that is done is left out of later steps.
     """
-    at = np.zeros(means.shape)
-    at[:, 0] = -np.log(2.0)
+    at = np.zeros(means.shape) if start is None else start.copy()
+    if start is None:
+        at[:, 0] = -np.log(2.0)
     value = lambda f, m, c: np.exp(np.minimum(np.matmul(c[:, None], f)[:, 0], 700.0)) @ weights - (c * m).sum(axis=1)
     potential, converged, going = value(functions, means, at), np.zeros(len(at), bool), np.arange(len(at))
     for _ in range(most):
@@ -225,6 +236,19 @@ class _Plan:
     other_means: np.ndarray
     size: int
     other_size: int = 0
+    other_ends: tuple[float, float] = (0.0, 0.0)
+    least: float = 0.0
+
+    def of_other(self, y: np.ndarray, k: int) -> np.ndarray:
+        """The first k polynomials of the other scale, but for the constant, at places y of this one."""
+        x = y * (self.ends[1] - self.ends[0]) / 2 + (self.ends[0] + self.ends[1]) / 2
+        moved = np.exp(x) if self.logs else np.log(np.maximum(x, self.least))
+        z = np.clip((moved - sum(self.other_ends) / 2) / ((self.other_ends[1] - self.other_ends[0]) / 2), -1, 1)
+        return C.chebvander(z, k).T[1:]
+
+    def functions_at(self, y: np.ndarray) -> np.ndarray:
+        rows = C.chebvander(y, self.size - 1).T
+        return np.concatenate([rows, self.of_other(y, self.other_size)]) if self.other_size else rows
 
     def functions(self) -> np.ndarray:
         return np.concatenate([_polynomials(self.size), self.other[: self.other_size]])
@@ -246,13 +270,10 @@ def _plan(state: State, both: bool, logs: bool | None) -> _Plan:
     means = usable_means(sums, *ends)
     if len(means) < 2:
         means = chebyshev_means(sums, *ends)[:2]
-    plan = _Plan(log_first, ends, means, np.zeros((0, len(y))), np.zeros(0), len(means))
+    plan = _Plan(log_first, ends, means, np.zeros((0, len(y))), np.zeros(0), len(means), 0, other_ends, state.lo)
     if both and state.positive and state.log_hi > state.log_lo:
-        x = y * (ends[1] - ends[0]) / 2 + (ends[0] + ends[1]) / 2
-        moved = np.exp(x) if log_first else np.log(np.maximum(x, state.lo))
-        z = np.clip((moved - sum(other_ends) / 2) / ((other_ends[1] - other_ends[0]) / 2), -1, 1)
         other = usable_means(other_sums, *other_ends)
-        plan.other, plan.other_means = C.chebvander(z, max(1, len(other) - 1)).T[1:], other[1:]
+        plan.other, plan.other_means = plan.of_other(y, max(1, len(other) - 1)), other[1:]
         stack = np.concatenate([_polynomials(plan.size), plan.other])
         gram = (stack * weights) @ stack.T
         while plan.other_size < len(plan.other_means) and np.linalg.cond(gram[: (n := plan.size + plan.other_size + 1), :n]) <= WELL_CONDITIONED:
@@ -260,6 +281,31 @@ def _plan(state: State, both: bool, logs: bool | None) -> _Plan:
     return plan
 
 
+def _narrow(functions: np.ndarray, coefficients: np.ndarray) -> bool:
+    """Whether a density given at nodes is too narrow for them."""
+    with np.errstate(all="ignore"):
+        return not K.left_out(K.coefficients(np.exp(np.minimum(coefficients @ functions, 700.0)))) <= LEFT_OUT
+
+
+def _refined(plan: _Plan, coefficients: np.ndarray) -> Density | None:
+    """The density of a plan on four times as many nodes, and again, until they resolve it; none if the most do not, or it does not converge."""
+    n = 4 * NODES
+    while n <= MOST_NODES:
+        y, weights = K.nodes(n), K.weights(n)
+        functions = plan.functions_at(y)
+        found, converged = newton(functions[None], plan.wanted()[None], weights, start=coefficients[None])
+        if not (converged[0] and np.isfinite(found).all()):
+            return None
+        coefficients = found[0]
+        if not _narrow(functions, coefficients):
+            power = coefficients @ functions
+            f = np.exp(np.minimum(power, 700.0))
+            upto = np.maximum.accumulate(np.clip(K.values(K.antiderivative(K.coefficients(f)), n + 1), 0, None)[::-1])
+            return Density(*plan.ends, plan.logs, upto / upto[-1], True, -float(weights @ (f * power)), K.nodes(n + 1)[::-1])
+        n *= 4
+    return None
+
+
 def fit_all(states: list[State], both: bool = True, logs: bool | None = None) -> list[Density]:
     """Maximum entropy densities, those of as many functions solved together.
 
@@ -278,7 +324,9 @@ def fit_all(states: list[State], both: bool = True, logs: bool | None = None) ->
             functions, wanted = np.stack([p.functions() for p in plans]), np.stack([p.wanted() for p in plans])
             coefficients, converged = newton(functions, wanted, weights)
             densities = _densities(functions, coefficients, [p.ends for p in plans], [p.logs for p in plans], converged)
-            for i, plan, density in zip(members, plans, densities, strict=True):
+            for i, plan, density, f, c in zip(members, plans, densities, functions, coefficients, strict=True):
+                if density.converged and _narrow(f, c):
+                    density = _refined(plan, c) or density
                 if density.converged or n <= 2:
                     found[i] = density
                     del open_plans[i]
@@ -408,17 +456,91 @@ def gaussian_quantiles(state: State, ps) -> list[float]:
     return [min(state.hi, max(state.lo, NormalDist(mean, sd).inv_cdf(inner(p)) if sd else mean)) for p in ps]
 
 
-def least_squares_quantiles(state: State, ps, cells: int = 1000) -> list[float]:
-    """Quantiles of the grid of masses nearest to uniform that has the moments; negative masses are cut."""
-    y = np.linspace(-1, 1, cells)
+CELLS = 1000
+
+
+def _on_cells(state: State, order: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of cells in [-1, 1], trusted functions there (a row each), and their means."""
+    y = np.linspace(-1, 1, CELLS)
     means = chebyshev_means(state.sums, state.lo, state.hi)
-    functions = np.array([C.chebval(y, [0] * i + [1]) for i in range(trusted(means))])
-    uniform = np.full(cells, 1 / cells)
-    mass = uniform + np.linalg.lstsq(functions, means[: len(functions)] - functions @ uniform, rcond=None)[0]
+    k = min(order or len(means), trusted(means))
+    return y, C.chebvander(y, k - 1).T, means[:k]
+
+
+def _of_masses(state: State, y: np.ndarray, mass: np.ndarray, ps) -> list[float]:
     below = np.cumsum(np.clip(mass, 0, None))
     return [float(np.interp(p, below / below[-1], y) * (state.hi - state.lo) / 2 + (state.hi + state.lo) / 2) for p in ps]
 
 
+def least_squares_quantiles(state: State, ps) -> list[float]:
+    """Quantiles of the grid of masses nearest to uniform that has the moments; negative masses are cut."""
+    y, functions, means = _on_cells(state)
+    uniform = np.full(CELLS, 1 / CELLS)
+    mass = uniform + np.linalg.lstsq(functions, means - functions @ uniform, rcond=None)[0]
+    return _of_masses(state, y, mass, ps)
+
+
+def cell_entropy_quantiles(state: State, ps) -> tuple[list[float], bool]:
+    """Quantiles of the masses of greatest entropy on cells that have the moments; with a moment less while that does not converge."""
+    for k in range(len(state.sums), 1, -1):
+        y, functions, means = _on_cells(state, k)
+        found, converged = newton(functions[None], means[None], np.full(CELLS, 2 / CELLS))
+        if converged[0]:
+            break
+    return _of_masses(state, y, np.exp(np.minimum(found[0] @ functions, 700.0)), ps), bool(converged[0])
+
+
+def _under(cap: float, functions: np.ndarray, means: np.ndarray, start: np.ndarray, tol: float = 1e-7, most: int = 60) -> tuple[np.ndarray, bool]:
+    """Coefficients of the masses from 0 to a cap that have the means, and whether there are any.
+
+    Of all such masses it takes those of greatest entropy with their distances from the cap, which
+    have the form of a logistic curve: Newton steps on a smooth convex function of few coefficients.
+    """
+    at = start.copy()
+    value = lambda c: cap * np.logaddexp(0.0, c @ functions).sum() - c @ means
+    before = value(at)
+    for _ in range(most):
+        share = 1 / (1 + np.exp(-np.clip(at @ functions, -500, 500)))
+        slope = functions @ (cap * share) - means
+        if np.abs(slope).max() < tol:
+            return at, True
+        curve = (functions * (cap * share * (1 - share))) @ functions.T
+        step = -np.linalg.lstsq(curve + 1e-14 * np.eye(len(curve)), slope, rcond=None)[0]
+        size, downhill = 1.0, slope @ step
+        while size > 1e-8 and not (after := value(at + size * step)) <= before + 0.1 * size * downhill:
+            size /= 3
+        if size <= 1e-8:
+            return at, False
+        at, before = at + size * step, after
+    return at, False
+
+
+def smallest_density_quantiles(state: State, ps, precision: float = 1e-3) -> tuple[list[float], bool]:
+    """Quantiles of masses on cells whose greatest is as small as the moments allow, to a relative precision; and whether any masses have them.
+
+    The dual of that linear programme has as many unknowns as there are moments; its cap is found by
+    halving between the even mass, under which none can lie, and one that is wide enough. A moment
+    less is taken while no cap is.
+    """
+    for k in range(len(state.sums), 1, -1):
+        y, functions, means = _on_cells(state, k)
+        low, high = 1 / CELLS, 1.0
+        found, feasible = _under(high, functions, means, np.append(-np.log(CELLS - 1.0), np.zeros(len(means) - 1)))
+        if feasible:
+            break
+    cap = high
+    while feasible and high > low * (1 + precision):
+        middle = (low * high) ** 0.5
+        # the same coefficients under another cap are not the same masses: the constant takes up the difference
+        tried, fits = _under(middle, functions, means, np.append(found[0] + np.log(cap / middle), found[1:]))
+        if fits:
+            high, found, cap = middle, tried, middle
+        else:
+            low = middle
+    mass = cap / (1 + np.exp(-np.clip(found @ functions, -500, 500)))
+    return _of_masses(state, y, mass, ps), feasible
+
+
 def digest(values: np.ndarray, weights: np.ndarray, compression: float = 100.0) -> tuple[np.ndarray, np.ndarray]:
     """Centroids and weights of a merging t-digest: one pass over sorted values under the arcsine scale."""
     order = np.argsort(values, kind="stable")

@@ -22,6 +22,8 @@ SOLVERS: dict[str, Callable[[list[S.State], tuple], list[tuple[list[float], bool
     "hybrid": S.hybrid_all,
     "gaussian": lambda ss, ps: [(S.gaussian_quantiles(s, ps), True) for s in ss],
     "least_squares": lambda ss, ps: [(S.least_squares_quantiles(s, ps) if s.hi > s.lo else [s.lo] * len(ps), True) for s in ss],
+    "cell_entropy": lambda ss, ps: [S.cell_entropy_quantiles(s, ps) if s.hi > s.lo else ([s.lo] * len(ps), True) for s in ss],
+    "smallest_density": lambda ss, ps: [S.smallest_density_quantiles(s, ps) if s.hi > s.lo else ([s.lo] * len(ps), True) for s in ss],
 }
 #: States that are solved together.
 TOGETHER = 256

@@ -649,6 +649,17 @@ def solver_comparison(spark, sf):
     return _worst(df, "value", estimates, "method", [*Q.SOLVERS, "inversion"])
 
 
+@query("SELECT l_returnflag, method, count(*) AS n, true AS ok FROM lineitem, (VALUES ('cell_entropy'), ('least_squares'), ('smallest_density')) AS m(method) GROUP BY ALL")
+def cell_estimators_ok(spark, sf):
+    """Whether estimates on a grid of cells, from the same states, are within 0.03 of each rank."""
+    df, key = _lineitem(spark, sf), "l_returnflag"
+    states = A.build(df, [key], F.col("l_extendedprice"), 8)
+    methods = ["cell_entropy", "least_squares", "smallest_density"]
+    solved = reduce(lambda a, b: a.unionByName(b), [Q.quantiles(states, _PS, m).select(key, F.lit(m).alias("method"), "qs") for m in methods])
+    rows = df.select(key, "l_extendedprice", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
+    return _verdict(rows, [key, "method"], "l_extendedprice", Q.exploded(solved, [key, "method"], _PS), 0.03)
+
+
 #: Significant bits that stored sums keep.
 _BITS = (53, 40, 32, 24, 16, 12, 8)
 
