@@ -43,7 +43,8 @@ def states_of(pdf: pd.DataFrame, order: int, log_order: int) -> list[S.State]:
 def per_state(states: DataFrame, fields: list[T.StructField], use: Callable[[list[S.State], pd.DataFrame], list[list]]) -> DataFrame:
     """states with fields from use(states, frame), which gives a list for each field; groups come in batches.
 
-    A group is a few bytes and much work, so groups are dealt over all cores: their size alone would put many in one task.
+    A group is a few bytes and much work, so groups are dealt over all cores, or over as many tasks as a
+    shuffle has where those are more: their size alone would put many in one task.
     """
     order, log_order = M.order_of(states.columns), M.order_of(states.columns, "l")
     kept = [c for c in states.columns if c not in {f.name for f in fields}]
@@ -58,7 +59,9 @@ def per_state(states: DataFrame, fields: list[T.StructField], use: Callable[[lis
                     pdf[f.name] = pd.Series(values, index=pdf.index, dtype="object" if isinstance(f.dataType, (T.ArrayType, T.StructType)) else None)
                 yield pdf
 
-    return states.repartition(states.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
+    spark = states.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return states.repartition(tasks).mapInPandas(run, schema)
 
 
 def quantiles(states: DataFrame, ps=QS, method: str = "maxent") -> DataFrame:

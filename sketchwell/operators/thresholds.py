@@ -24,9 +24,12 @@ def by_bounds(lo: Column, hi: Column, share: Column) -> Column:
     return F.when(lo > share + MARKOV_SLACK, F.lit(True)).when(hi < share - MARKOV_SLACK, F.lit(False))
 
 
-def cascade(states: DataFrame, t: str, share: float, order: int | None = None) -> DataFrame:
+def cascade(states: DataFrame, t: str, share: float, order: int | None = None, fit: bool = True) -> DataFrame:
     """states with above (more than `share` of the values exceed column t) and stage, that of the decision.
 
+    With fit=False no density is fitted: groups that the bounds leave open have a null verdict and the
+    stage 'open', for a caller that counts them.
+
     Range and Markov tests are columns. Only groups that they leave open go to Python, where moment
     bounds decide or else the fitted density; the densities of many groups are solved together. Both
     kinds come from one aggregation, whose exchange Spark reads twice.
@@ -44,6 +47,9 @@ def cascade(states: DataFrame, t: str, share: float, order: int | None = None) -
         at = pdf[t].astype("float64").tolist()
         bounds = [S.above_bounds(s, v) for s, v in zip(found, at, strict=True)]
         open_ = [i for i, (low, high) in enumerate(bounds) if not (low > share + MOMENT_SLACK or high < share - MOMENT_SLACK)]
+        if not fit:
+            left = set(open_)
+            return [[None if i in left else low > share for i, (low, _) in enumerate(bounds)], ["open" if i in left else "moments" for i in range(len(found))]]
         densities = dict(zip(open_, S.fit_all([found[i] for i in open_]), strict=True))
         above = [densities[i].share_below(at[i]) < 1 - share if i in densities else low > share for i, (low, _) in enumerate(bounds)]
         return [above, ["density" if i in densities else "moments" for i in range(len(found))]]
@@ -53,12 +59,12 @@ def cascade(states: DataFrame, t: str, share: float, order: int | None = None) -
 
 
 def counted_where_open(decided: DataFrame, keys: list[str], df: DataFrame, x: str, share: float) -> DataFrame:
-    """decided (keys, t, above, stage, ...) with verdicts that only a fitted density gave counted on df's rows instead.
+    """decided (keys, t, above, stage, ...) with verdicts that are open, or that only a fitted density gave, counted on df's rows instead.
 
     All other stages are certain, so the result is exact; only the rows of open groups are read again.
     t may differ between a group's rows.
     """
-    undecided = decided.where("stage = 'density'").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("t").alias("_t")).distinct()
+    undecided = decided.where("stage IN ('open', 'density')").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("t").alias("_t")).distinct()
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     rows = df.select(*keys, F.col(x).cast("double").alias("_x")).where(M.finite(F.col("_x"))).join(undecided, on)
     true = rows.groupBy(*[f"_k_{k}" for k in keys], "_t").agg((F.avg((F.col("_x") > F.col("_t")).cast("double")) > share).alias("_true"))

@@ -1,0 +1,2 @@
+from . import catalog as catalog
+from . import runs as runs

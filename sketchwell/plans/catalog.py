@@ -321,7 +321,7 @@ _CUTS = (20, 60, 120, 200)
 def _many(spark, sf):
     events = table(spark, sf, "events")
     states = A.build(events, ["user_id", "event_type"], F.col("value"), 6, logs=True)
-    decided = H.cascade(states.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in _CUTS]))), "t", 0.1)
+    decided = H.cascade(states.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in _CUTS]))), "t", 0.1, fit=False)
     return H.counted_where_open(decided, ["user_id", "event_type"], events, "value", 0.1)
 
 
@@ -340,17 +340,17 @@ def cascade_many_stages(spark, sf):
 def sliding(spark, sf):
     """Panes' sliding windows in which over a tenth of the values exceed a bound, with the deciding stage.
 
-    Where only a fitted density would decide, the window's values are counted (stage count): panes'
+    Where the bounds leave a window open, its values are counted (stage count): panes'
     counts slide as their states do.
     """
     events = table(spark, sf, "events").where(M.finite(F.col("value").cast("double")))  # as build has it
     paned = A.panes(events, "ts", "1 hour", ["event_type"], F.col("value"), 6, logs=True)
-    decided = H.cascade(A.slide(paned, ["event_type"], 6).withColumn("t", F.lit(60.0)), "t", 0.1)
+    decided = H.cascade(A.slide(paned, ["event_type"], 6).withColumn("t", F.lit(60.0)), "t", 0.1, fit=False)
     over = events.groupBy(F.window("ts", "1 hour")["start"].alias("pane"), "event_type").agg(F.sum((F.col("value") > 60).cast("long")).alias("over"))
     frame = W.partitionBy("event_type").orderBy("pane").rowsBetween(-5, 0)  # as slide has it
     counted = over.select(F.col("pane").alias("_pane"), F.col("event_type").alias("_type"), F.sum("over").over(frame).alias("over"))
     joined = decided.join(counted, F.col("pane").eqNullSafe(F.col("_pane")) & F.col("event_type").eqNullSafe(F.col("_type")))
-    open_ = F.col("stage") == "density"
+    open_ = F.col("stage") == "open"
     above = F.when(open_, F.col("over") / F.col("n") > 0.1).otherwise(F.col("above"))
     return joined.select("pane", "event_type", "n", above.alias("above"), F.when(open_, "count").otherwise(F.col("stage")).alias("stage"))
 

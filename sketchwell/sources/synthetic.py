@@ -26,30 +26,52 @@ def integers(spark: SparkSession, n: int) -> DataFrame:
 
 
 def discrete(spark: SparkSession, n: int, cardinality: int) -> DataFrame:
-    return spark.range(n).select("id", ((F.col("id") % cardinality) / (cardinality - 1)).alias("x"))
+    return spark.range(n).select("id", discrete_number(F.col("id"), cardinality).alias("x"))
 
 
 def pareto(spark: SparkSession, n: int, shape: float, seed: int = 0) -> DataFrame:
     return spark.range(n).select("id", (F.pow(1 - F.rand(seed), -1.0 / shape) - 1).alias("x"))
 
 
-def gamma(spark: SparkSession, n: int, shape: float, seed: int = 0) -> DataFrame:
-    """Gamma of any shape: a cube of a shifted normal, the first of TRIES that is accepted, lowered by a power of a uniform number.
+def drawn(row: Column, seed: int, *more: Column | int) -> Column:
+    """A uniform number in (0, 1] from a hash of the row, so that a row is the same whenever it is made again."""
+    rest = [F.lit(m) if isinstance(m, int) else m for m in more]
+    return (F.pmod(F.xxhash64(F.lit(seed), row, *rest), F.lit(2**53)) + 1) / F.lit(2.0**53)
+
+
+def normal_number(row: Column, seed: int, *more: Column | int) -> Column:
+    return F.sqrt(-2 * F.log(drawn(row, seed, *more, 0))) * F.cos(2 * pi * drawn(row, seed, *more, 1))
+
+
+def pareto_number(row: Column, shape: float, seed: int) -> Column:
+    return F.pow(drawn(row, seed), -1.0 / shape) - 1
+
+
+def exponential_number(row: Column, scale: float, seed: int) -> Column:
+    return -scale * F.log(drawn(row, seed))
 
-    Numbers come from hashes of the row and the try, so that a row is the same whenever it is made again.
-    """
-    draw = lambda k, i: (F.pmod(F.xxhash64(F.lit(seed), "id", k, F.lit(i)), F.lit(2**53)) + 1) / F.lit(2.0**53)
+
+def gamma_number(row: Column, shape: float, seed: int) -> Column:
+    """Gamma of any shape: a cube of a shifted normal, the first of TRIES that is accepted, lowered by a power of a uniform number."""
     d = shape + 1 - 1 / 3
     c = 1 / (9 * d) ** 0.5
 
     def trial(k):
-        z = F.sqrt(-2 * F.log(draw(k, 0))) * F.cos(2 * pi * draw(k, 1))
+        z = normal_number(row, seed, k)
         v = F.pow(1 + c * z, 3)
-        accepted = (v > 0) & (F.log(draw(k, 2)) < z * z / 2 + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300))))
+        accepted = (v > 0) & (F.log(drawn(row, seed, k, 2)) < z * z / 2 + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300))))
         return F.when(accepted, d * v)
 
     first = F.filter(F.transform(F.sequence(F.lit(1), F.lit(TRIES)), trial), lambda x: x.isNotNull())
-    return spark.range(n).select("id", (F.get(first, F.lit(0)) * F.pow(draw(F.lit(0), 3), 1 / shape)).alias("x"))
+    return F.get(first, F.lit(0)) * F.pow(drawn(row, seed, 0, 3), 1 / shape)
+
+
+def discrete_number(row: Column, cardinality: int) -> Column:
+    return (row % cardinality) / (cardinality - 1)
+
+
+def gamma(spark: SparkSession, n: int, shape: float, seed: int = 0) -> DataFrame:
+    return spark.range(n).select("id", gamma_number(F.col("id"), shape, seed).alias("x"))
 
 
 def exponential(spark: SparkSession, n: int, scale: float = 1.0, seed: int = 0) -> DataFrame:
