@@ -2,9 +2,10 @@
 
 A fingerprint has 64 bits; two link at MAX_BITS or fewer differing bits. PIVOTS are random, fixed
 fingerprints. The table of a fingerprint holds its Hamming distances to every pivot, block by block:
-a distance within one of BLOCKS blocks of bits. By the triangle inequality two fingerprints' distances
+a distance within one of four blocks of bits, or of six or eight where fingerprints are more than the
+values of two of four blocks' bits (2 ** 32), or of four of six blocks' (2 ** 42). By the triangle inequality two fingerprints' distances
 to a pivot differ by no more, in sum over the blocks, than they themselves do; and as MAX_BITS
-differing bits leave BLOCKS - MAX_BITS blocks alone, there is a choice of so many blocks in which all
+differing bits leave all but MAX_BITS blocks alone, there is a choice of so many blocks in which all
 their distances are equal. So candidates are those with equal coordinates in one choice of blocks,
 found by a shuffle on those coordinates' hash. Of these, pairs with a coordinate that differs by more
 than MAX_BITS are discarded, and the rest verified by their differing bits. Nothing is lost.
@@ -30,8 +31,9 @@ from pyspark.sql import types as T
 
 from .common import append_columns, checkpointed, documents
 
-MAX_BITS, BLOCKS, SHINGLE = 2, 4, 3
-WIDTH = 64 // BLOCKS
+MAX_BITS, SHINGLE = 2, 3
+#: Numbers of blocks, of which the least is taken whose keys have a value for each fingerprint, or the last.
+BLOCKS = (4, 6, 8)
 #: Members of one choice up to which they are paired with each other.
 PAIRED = 24
 #: Keys with more than one row in so many are looked up apart from others, once there are LEAST_HEAVY.
@@ -69,31 +71,41 @@ def with_fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
     return append_columns(df, [text], [T.StructField("fp", T.LongType())], lambda: lambda texts: [[fingerprint(t) for t in texts]])
 
 
-def _mask(blocks) -> int:
-    bits = sum((2**WIDTH - 1) << (WIDTH * b) for b in blocks)
-    return bits - 2**64 if bits >= 2**63 else bits
+def blocks_for(n: int) -> int:
+    """How many blocks the fingerprints' bits are cut into, for n of them."""
+    return next((of for of in BLOCKS if n <= 2 ** (64 * (of - MAX_BITS) // of)), BLOCKS[-1])
 
 
-CHOICES = list(combinations(range(BLOCKS), BLOCKS - MAX_BITS))
+def choices(of: int) -> list[tuple[int, ...]]:
+    """The ways to choose, of so many blocks, those that MAX_BITS differing bits may leave alone."""
+    return list(combinations(range(of), of - MAX_BITS))
 
 
-def _cleared(choice: tuple[int, ...]) -> list[int]:
-    """Masks that clear up to MAX_BITS bits outside the choice of blocks; with exactly MAX_BITS the fewer are covered."""
-    free = [i for i in range(64) if i // WIDTH not in choice]
-    signed = lambda m: m - 2**64 if m >= 2**63 else m
-    return [signed((2**64 - 1) & ~sum(1 << i for i in c)) for c in combinations(free, MAX_BITS)]
+def _bits(block: int, of: int) -> range:
+    return range(64 * block // of, 64 * (block + 1) // of)
 
 
-def distances(fp: Column) -> Column:
+def _signed(mask: int) -> int:
+    return mask - 2**64 if mask >= 2**63 else mask
+
+
+def _cleared(choice: tuple[int, ...], of: int) -> list[int]:
+    """Masks that clear MAX_BITS bits outside the choice of blocks; those that clear fewer are covered."""
+    free = [i for b in range(of) if b not in choice for i in _bits(b, of)]
+    return [_signed((2**64 - 1) & ~sum(1 << i for i in c)) for c in combinations(free, MAX_BITS)]
+
+
+def distances(fp: Column, of: int = BLOCKS[0]) -> Column:
     """The table's row of a fingerprint: by block, its distances to the pivots within the block."""
-    of = lambda p, b: F.bit_count(fp.bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(_mask([b])))).cast("byte")
-    return F.array(*[F.array(*[of(p, b) for p in PIVOTS]) for b in range(BLOCKS)])
+    mask = lambda b: F.lit(_signed(sum(1 << i for i in _bits(b, of))))
+    at = lambda p, b: F.bit_count(fp.bitwiseXOR(F.lit(p)).bitwiseAND(mask(b))).cast("byte")
+    return F.array(*[F.array(*[at(p, b) for p in PIVOTS]) for b in range(of)])
 
 
-def may_link(s: Column, t: Column) -> Column:
+def may_link(s: Column, t: Column, of: int = BLOCKS[0]) -> Column:
     """Whether no distance to a pivot differs by more than MAX_BITS between two rows of the table."""
     apart = lambda u, v: F.zip_with(u, v, lambda p, q: p - q)
-    blocks = [apart(s[b], t[b]) for b in range(BLOCKS)]
+    blocks = [apart(s[b], t[b]) for b in range(of)]
     whole = blocks[0]
     for more in blocks[1:]:
         whole = F.zip_with(whole, more, lambda p, q: p + q)
@@ -101,17 +113,21 @@ def may_link(s: Column, t: Column) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between the distinct fingerprints fp of fps that keep the components of all links."""
-    table = fps.select("fp", distances(F.col("fp")).alias("t"))
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(*[F.col("t")[b] for b in blocks]).alias("key")) for i, blocks in enumerate(CHOICES)]))
+    """(a, b): links between the distinct fingerprints fp of fps that keep the components of all links.
+
+    fps must be cheap to count.
+    """
+    of = blocks_for(fps.count())
+    table = fps.select("fp", distances(F.col("fp"), of).alias("t"))
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.xxhash64(*[F.col("t")[b] for b in blocks]).alias("key")) for i, blocks in enumerate(choices(of))]))
     keyed = table.select("fp", keys.alias("k")).select("fp", "k.choice", "k.key")
     shared = checkpointed(keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = checkpointed(keyed.join(shared, ["choice", "key"]))
-    few = members.where(F.col("n") <= PAIRED).groupBy("choice", "key").agg(F.sort_array(F.collect_list(F.struct("fp", distances(F.col("fp")).alias("t")))).alias("m"))
+    few = members.where(F.col("n") <= PAIRED).groupBy("choice", "key").agg(F.sort_array(F.collect_list(F.struct("fp", distances(F.col("fp"), of).alias("t")))).alias("m"))
     left = few.select(F.posexplode("m").alias("i", "x"), "m")
-    near = lambda y: may_link(F.col("x.t"), y["t"]) & (F.bit_count(F.col("x.fp").bitwiseXOR(y["fp"])) <= MAX_BITS)
+    near = lambda y: may_link(F.col("x.t"), y["t"], of) & (F.bit_count(F.col("x.fp").bitwiseXOR(y["fp"])) <= MAX_BITS)
     pairs = left.select(F.col("x.fp").alias("a"), F.explode(F.filter(F.slice("m", F.col("i") + 2, PAIRED), near)).alias("y")).select("a", F.col("y.fp").alias("b"))
-    masks = fps.sparkSession.createDataFrame([(i, m) for i, c in enumerate(CHOICES) for m in _cleared(c)], "choice int, mask long")
+    masks = fps.sparkSession.createDataFrame([(i, m) for i, c in enumerate(choices(of)) for m in _cleared(c, of)], "choice int, mask long")
     masks = masks.groupBy("choice").agg(F.collect_list("mask").alias("masks"))
     many = members.where(F.col("n") > PAIRED).join(F.broadcast(masks), "choice")
     cleared = many.select("fp", F.explode("masks").alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
@@ -171,14 +187,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the first row of the document that names the component.
 
     Groups are told apart by the id and fingerprint that name them, since an id may name several.
-    Rows are told apart by id and a hash of the text, so that texts are read again, not kept.
+    Rows are told apart by id and a hash of the text, so that texts are read again, not kept. Copies of
+    one row meet on the map side first; texts are shuffled once.
     """
     same = F.xxhash64(F.coalesce("text", F.lit("")))
     ranked = _ranked(with_fingerprint(docs.select("doc_id", "text", same.alias("_hash"))).drop("text"))
-    naming = ranked.where((F.col("fp") == F.col("_rank.fp")) & F.col("doc_id").eqNullSafe(F.col("_rank.id"))).groupBy("fp").agg(F.min("doc_id").alias("_id"), F.min("_hash").alias("_kept"))
-    naming = naming.select("_id", "_kept").distinct()
-    first = docs.withColumn("_hash", same).join(naming, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
-    return first.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    naming = ranked.where((F.col("fp") == F.col("_rank.fp")) & F.col("doc_id").eqNullSafe(F.col("_rank.id"))).groupBy("fp").agg(F.min("doc_id").alias("_id"), F.min("_hash").alias("_hash"))
+    row = lambda i: {"_none": F.col(i).isNull(), "_number": F.coalesce(F.col(i), F.lit(0))}
+    naming = naming.withColumns(row("_id")).select("_none", "_number", "_hash").distinct()
+    each = docs.withColumns({**row("doc_id"), "_hash": same}).dropDuplicates(["_none", "_number", "_hash"])
+    return each.join(naming, ["_none", "_number", "_hash"], "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

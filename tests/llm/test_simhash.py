@@ -59,10 +59,23 @@ def test_crowded_fingerprints_lose_no_link(spark, monkeypatch):
     ids = [int(i) for i in rng.permutation(len(fps))]
     df = spark.createDataFrame(list(zip(ids, fps, strict=True)), "doc_id long, fp long")
     want = dict(zip(ids, grouped(ids, fps), strict=True))
-    for paired in (3, 24):
+    for paired, of in ((3, 4), (24, 4), (3, 6), (24, 6), (3, 8)):
         monkeypatch.setattr(simhash, "PAIRED", paired)
+        monkeypatch.setattr(simhash, "blocks_for", lambda n, of=of: of)
         got = {r["doc_id"]: r["component_id"] for r in simhash.group(df).collect()}
-        assert got == want
+        assert got == want, (paired, of)
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**9, 2**32, 2**32 + 1, 2**42, 2**42 + 1, 2**60)] == [4, 4, 4, 6, 6, 8, 8]
+    for of in simhash.BLOCKS:
+        assert [i for b in range(of) for i in simhash._bits(b, of)] == list(range(64))
+    assert [len(simhash.choices(of)) for of in simhash.BLOCKS] == [6, 15, 28]
+
+
+def test_many_copies_of_one_row(spark):
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text")).unionByName(spark.createDataFrame([(4, "a text of its own that no other row has"), (4, "")], "doc_id long, text string"))
+    assert sorted(map(tuple, simhash.keep_one(rows.repartition(8)).collect())) == [(4, ""), (4, "a text of its own that no other row has")]
 
 
 def test_pivot_distances_keep_every_link(spark):
