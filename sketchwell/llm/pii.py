@@ -1,7 +1,9 @@
 """Personal data with offsets: base patterns, and patterns behind disguises mapped back to the source.
 
-A transducer rewrites homoglyphs, zero-width characters, spelled digits and at/dot disguises while
-it records, for each character it writes, which source characters it came from. The same patterns
+A transducer rewrites homoglyphs, digits of other scripts, zero-width characters, spelled digits and
+plus signs, underscores between groups of four digits and at/dot disguises (in brackets, spaces or
+hyphens; a bare "at" before a host name with a known ending only behind a name that has a digit or a
+sign, or that a word like "mail" announces, since people also meet at places) while it records, for each character it writes, which source characters it came from. The same patterns
 run over what it wrote; a match that holds a rewritten character becomes a span of the source.
 
 Null text counts as empty. Empty text gives no span. Repeated rows each give their own result. A very
@@ -13,6 +15,8 @@ Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,29 +79,55 @@ def base_spans(text: str) -> list[Span]:
 #: Letters of other scripts that look like Latin ones (fixed values), in pairs.
 LOOKALIKES = "АAВBЕEКKМMНHОOРPСCТTХXІIЈJЅSаaеeоoрpсcхxуyіiјjѕsԁdһhΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧXοoνvıi"
 GLYPHS = dict(zip(LOOKALIKES[::2], LOOKALIKES[1::2], strict=True)) | {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)} | {chr(c): "" for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+GLYPHS |= {chr(c): str(unicodedata.digit(chr(c))) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-_GLYPH = re.compile("[" + re.escape("".join(GLYPHS)) + "]")
+#: Apart from characters beyond the basic plane, which make a slow class.
+_GLYPH = re.compile("[" + re.escape("".join(c for c in GLYPHS if c <= "\uffff")) + "]")
+_BEYOND = re.compile("[" + re.escape("".join(c for c in GLYPHS if c > "\uffff")) + "]")
 _WORD = "|".join(DIGITS)
-#: What every token has: a digit's word, the word dot, or a bracket before at, @ or a full stop.
+#: What every token has: a digit's word, the word dot, a bracket before at, @ or a full stop, digits about an underscore, or at before a name with an ending.
 _WORD_HINTS = ("dot", *DIGITS)
-_BRACKET_HINT = re.compile(r"[\[({][\x20]?(?:at|@|\.)")
+_HINT = re.compile(r"[\[({<][\x20]?(?:at|@|\.)|[0-9]_[0-9]|[\x20]at[\x20][a-z0-9-]+\.")
+#: Endings of host names that "at" may stand before without other disguise, and words that announce an address (fixed values).
+ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "co")
+ANNOUNCED = ("mail", "email", "e-mail", "address", "contact")
 _TOKENS = re.compile(
-    r"(?P<digits>(?<![A-Za-z])(?:%s)(?:[\x20-]{1,2}(?:%s))*(?![A-Za-z]))"
-    r"|(?P<at>[\x20]?[\[({][\x20]?(?:at|@)[\x20]?[\])}][\x20]?|(?<=[A-Za-z0-9])[\x20]at[\x20](?=[A-Za-z0-9-]+(?:[\x20]dot[\x20]|[\x20]?[\[({][\x20]?dot[\x20]?[\])}])))"
-    r"|(?P<dot>[\x20]?[\[({][\x20]?(?:dot|\.)[\x20]?[\])}][\x20]?|(?<=[A-Za-z0-9])[\x20]dot[\x20](?=[A-Za-z0-9]))" % (_WORD, _WORD),
+    r"(?=[\x20\[({<_pzotfsen-])(?:(?P<digits>(?<![A-Za-z])(?:%(w)s)(?:(?:,[\x20]?|[\x20-]{1,2})(?:%(w)s))*(?![A-Za-z]))"
+    r"|(?P<at>[\x20]?[\[({<][\x20]?(?:at|@)[\x20]?[\])}>][\x20]?"
+    r"|(?<=[A-Za-z0-9])[\x20]at[\x20](?=[A-Za-z0-9-]+(?:[\x20]dot[\x20]|[\x20]?[\[({<][\x20]?dot[\x20]?[\])}>]))"
+    r"|(?<=[A-Za-z0-9])-at-(?=[A-Za-z0-9]+-dot-))"
+    r"|(?P<maybe>(?<=[A-Za-z0-9])[\x20]at[\x20](?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:%(e)s)(?![A-Za-z0-9-])))"
+    r"|(?P<dot>[\x20]?[\[({<][\x20]?(?:dot|\.)[\x20]?[\])}>][\x20]?|(?<=[A-Za-z0-9])(?:[\x20]dot[\x20]|-dot-)(?=[A-Za-z0-9]))"
+    r"|(?P<plus>(?<![A-Za-z])plus[\x20](?=(?:%(w)s)(?![A-Za-z])))"
+    r"|(?P<join>(?<=[0-9]{4})_(?=[0-9]{4})))" % {"w": _WORD, "e": "|".join(ENDINGS)},
     re.IGNORECASE | re.ASCII,
 )
+_WRITTEN = {"at": "@", "maybe": "@", "dot": ".", "plus": "+", "join": "-"}
+_SPECIAL = re.compile(r"[0-9._%+-]")
+_BEFORE = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(ANNOUNCED)})(?:[\x20](?:is|to))?:?[\x20]\Z", re.IGNORECASE | re.ASCII)
+
+
+def _addressed(plain: str, end: int) -> bool:
+    """Whether what stands before a bare "at" is an address's name rather than a word: it has a digit or a sign, or is announced."""
+    start = end
+    while start > max(0, end - 64) and plain[start - 1] in _LOCAL:
+        start -= 1
+    return _SPECIAL.search(plain, start, end) is not None or _BEFORE.search(plain[max(0, start - 16) : start]) is not None
+
+
 #: What may stand between a short run of spelled digits and its neighbours.
 _GAP = "\x20().+-"
 _ONE = re.compile(rf"(?:{_WORD})", re.IGNORECASE)
 
 
 def _tokens(plain: str) -> list[re.Match]:
-    """Matches of _TOKENS; fewer than three spelled digits count beside digits, other spelled ones or a dot."""
+    """Matches of _TOKENS; fewer than three spelled digits count beside digits, other spelled ones or a dot, a bare "at" behind a name."""
     found = list(_TOKENS.finditer(plain))
 
     def counts(i: int, m: re.Match) -> bool:
+        if m.lastgroup == "maybe":
+            return _addressed(plain, m.start())
         if m.lastgroup != "digits" or len(_ONE.findall(m[0])) > 2:
             return True
         before = plain[max(0, m.start() - 3) : m.start()].rstrip(_GAP)[-1:]
@@ -109,7 +139,7 @@ def _tokens(plain: str) -> list[re.Match]:
             beside.append((found[i - 1], plain[found[i - 1].end() : m.start()]))
         if i + 1 < len(found) and found[i + 1].start() - m.end() <= 2:
             beside.append((found[i + 1], plain[m.end() : found[i + 1].start()]))
-        return any(n.lastgroup != "at" and not gap.strip(_GAP) for n, gap in beside)
+        return any(n.lastgroup in ("digits", "dot") and not gap.strip(_GAP) for n, gap in beside)
 
     return [m for i, m in enumerate(found) if counts(i, m)]
 
@@ -119,7 +149,7 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]] | None:
 
     A written character is a rewritten one if its source differs from it.
     """
-    glyphs = not text.isascii() and _GLYPH.search(text) is not None
+    glyphs = not text.isascii() and (_GLYPH.search(text) is not None or (max(text) > "\uffff" and _BEYOND.search(text) is not None))
     plain, starts = text, None
     if glyphs:
         out, starts = [], []
@@ -129,7 +159,7 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]] | None:
                 starts.append(i)
         plain = "".join(out)
     lower = plain.lower()
-    hinted = any(h in lower for h in _WORD_HINTS) or _BRACKET_HINT.search(lower) is not None
+    hinted = any(h in lower for h in _WORD_HINTS) or _HINT.search(lower) is not None
     tokens = _tokens(plain) if hinted else []
     if not glyphs and not tokens:
         return None
@@ -149,7 +179,7 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]] | None:
                 begin.append(starts[d.start()])
                 end.append(ends[d.end() - 1])
         else:
-            out.append("@" if m.lastgroup == "at" else ".")
+            out.append(_WRITTEN[m.lastgroup])
             begin.append(starts[m.start()])
             end.append(ends[m.end() - 1])
         done = m.end()

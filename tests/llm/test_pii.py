@@ -83,7 +83,7 @@ def test_every_token_is_hinted():
     for _ in range(30_000):
         x = "".join(rng.choice(["[", "( ", "{", " ", "at", "AT", "@", ".", "dot", " ]", ")", "}", "a", "1", "one", "oh", "Two", "-"]) for _ in range(rng.randint(0, 14)))
         if pii._TOKENS.search(x):
-            assert any(h in x.lower() for h in pii._WORD_HINTS) or pii._BRACKET_HINT.search(x.lower()), x
+            assert any(h in x.lower() for h in pii._WORD_HINTS) or pii._HINT.search(x.lower()), x
 
 
 def test_short_runs_of_spelled_digits_beside_dots_and_digits():
@@ -108,3 +108,40 @@ def test_very_long_text():
     text = "plain words here " * 50_000 + "joe [at] site [dot] com " + "1.2.3.4 " + "more " * 50_000
     base, spans = pii.all_spans(text)
     assert [(k, text[a:b]) for k, a, b in spans] == [("email", "joe [at] site [dot] com "[:-1]), ("ip", "1.2.3.4")] and [k for k, *_ in base] == ["ip"]
+
+
+def test_wider_disguises():
+    for text, kind, part in [
+        ("or john<at>example<dot>com now", "email", "john<at>example<dot>com"),
+        ("or john-at-example-dot-com now", "email", "john-at-example-dot-com"),
+        ("or john.b at example.com now", "email", "john.b at example.com"),
+        ("mail: john at mail.example.org.", "email", "john at mail.example.org"),
+        ("call plus one two three four five six seven eight nine zero one", "phone", "plus one two three four five six seven eight nine zero one"),
+        ("card " + ", ".join(["four"] + ["one"] * 15), "card", ", ".join(["four"] + ["one"] * 15)),
+        ("card 4111_1111_1111_1111 now", "card", "4111_1111_1111_1111"),
+        ("on \u0661.\u0662.\u0663.\u0664 now", "ip", "\u0661.\u0662.\u0663.\u0664"),
+        ("to +\u0967\u0968\u0969 456 789 01", "phone", "+\u0967\u0968\u0969 456 789 01"),
+    ]:
+        base, spans = pii.all_spans(text)
+        assert base == [] and [(k, text[s:e]) for k, s, e in spans] == [(kind, part)], (text, spans)
+
+
+def test_clean_texts_stay_clean():
+    for text in [
+        "We meet people at example.com and look at docs.example.org/start, at noon.",
+        "One, two, three and four at the polka-dot-dress shop, plus one more, plus 3.",
+        "The constant 1_000_000 and a_b at least; look <at> this, a look-at-me moment.",
+        "See you all at Example.com tomorrow, at 10.30 at the latest.",
+        "\u0661\u0669\u0668\u0664 \u0648 \u0662\u0660\u0662\u0664",
+    ]:
+        assert pii.all_spans(text) == ([], []), text
+
+
+def test_ties_are_ordered_by_kind_and_end():
+    spans = pii.all_spans("1.2.3.4@site.com")[1]
+    assert spans == [("email", 0, 16), ("ip", 0, 7)]
+
+
+def test_digits_beyond_the_basic_plane():
+    text = "x \U0001d7d2111 1111 1111 111\U0001d7cf y"
+    assert [(k, text[a:b]) for k, a, b in pii.all_spans(text)[1]] == [("card", text[2:-2])]
