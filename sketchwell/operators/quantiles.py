@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import moments as M
 from ..functions import solver as S
+from ..functions.lineage import checkpointed
 
 QS = (0.01, *[round(0.05 * i, 2) for i in range(1, 20)], 0.99)
 
@@ -25,8 +26,8 @@ SOLVERS: dict[str, Callable[[list[S.State], tuple], list[tuple[list[float], bool
     "cell_entropy": lambda ss, ps: [S.cell_entropy_quantiles(s, ps) if s.hi > s.lo else ([s.lo] * len(ps), True) for s in ss],
     "smallest_density": lambda ss, ps: [S.smallest_density_quantiles(s, ps) if s.hi > s.lo else ([s.lo] * len(ps), True) for s in ss],
 }
-#: States that are solved together.
-TOGETHER = 256
+#: States that are solved together; groups whose estimates are sent to every task.
+TOGETHER, SENT = 256, 10_000
 
 
 def states_of(pdf: pd.DataFrame, order: int, log_order: int) -> list[S.State]:
@@ -105,14 +106,17 @@ def rank_errors(df: DataFrame, keys: list[str], x: str, estimates: DataFrame, ps
     """(keys, p, q, n, rank_error) of estimates (keys, p, q) of the shares ps, against all rows of df.
 
     A group's estimates are one row, which each row of df meets once; what it lies below is counted
-    in that row's place, so that counts combine on the map side.
+    in that row's place, so that counts combine on the map side. The estimates are cut from their
+    lineage and counted first: those of up to SENT groups go to every task, those of more are merged.
+    Left to Spark, the rows of df may be broadcast, since it takes them for as small as their file.
     """
     ps = sorted(float(p) for p in ps)
     per_group = estimates.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"_q{i}") for i, p in enumerate(ps)])
     qs = [f"_q{i}" for i in range(len(ps))]
-    few = per_group.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *qs)
+    few = checkpointed(per_group.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *qs))
     on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    joined = df.select(*keys, x).join(few, on) if keys else df.select(x).crossJoin(F.broadcast(few))  # one row without keys
+    sent = few.limit(SENT + 1).count() <= SENT
+    joined = df.select(*keys, x).join(F.broadcast(few) if sent else few.hint("merge"), on) if keys else df.select(x).crossJoin(F.broadcast(few))  # one row without keys
     below = lambda i: [F.sum((F.col(x) < F.col(f"_q{i}")).cast("long")).alias(f"_l{i}"), F.sum((F.col(x) <= F.col(f"_q{i}")).cast("long")).alias(f"_r{i}")]
     counted = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.first(q).alias(q) for q in qs], *[c for i in range(len(ps)) for c in below(i)])
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"_q{i}").alias("q"), F.col(f"_l{i}").alias("l"), F.col(f"_r{i}").alias("r")) for i, p in enumerate(ps)]))

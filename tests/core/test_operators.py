@@ -211,3 +211,16 @@ def test_sliding_threshold_reports_sparse_windows(spark, tmp_path):
         assert got[k]["above"] == (sum(v > 60 for v in values) / len(values) > 0.1), (k, values, got[k])
     assert {"count", "range"} <= {r["stage"] for r in got.values()}
     assert got["2024-02-01 00:00:00", "once"]["above"] and not got["2024-02-01 00:00:00", "low"]["above"]
+
+
+@pytest.mark.parametrize("sent", [10, 0])
+def test_rank_errors_send_no_rows_of_the_data(spark, tmp_path, monkeypatch, sent):
+    """Rows that a small file hides, exploded, met by estimates of few groups and of more than are sent."""
+    monkeypatch.setattr(Q, "SENT", sent)
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).select((F.col("id") % 1000 / 10).alias("x"), F.explode(F.array(F.lit(1), F.lit(None).cast("int"))).alias("g"))
+    estimates = spark.createDataFrame([(1, 0.5, 50.0), (None, 0.5, 40.0)], "g int, p double, q double")
+    errors = Q.rank_errors(df, ["g"], "x", estimates, [0.5])
+    plan = errors._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == bool(sent)
+    assert sorted((r.g or 0, r.n, round(r.rank_error, 6)) for r in errors.collect()) == [(0, 1000, 0.099), (1, 1000, 0.0)]
