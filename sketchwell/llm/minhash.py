@@ -167,7 +167,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def joining_links(fps: list, comps: list, sets: list[np.ndarray]) -> list[tuple]:
-    """Links (a, b) between nodes of different components that join all that any links between them join."""
+    """Links (a, b) between nodes of different components that join all that any links between them join.
+
+    A component counts as joined in itself, so there are fewer links than components.
+    """
     sizes = np.array([len(s) for s in sets])
     owner, items = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
     _, column, times = np.unique(items, return_inverse=True, return_counts=True)
@@ -183,16 +186,18 @@ def joining_links(fps: list, comps: list, sets: list[np.ndarray]) -> list[tuple]
         shared += matrix @ matrix.T
     _, comp = np.unique(np.array([bytes(c).hex() for c in comps]), return_inverse=True)
     near = (100 * shared >= PERCENT * (sizes[:, None] + sizes - shared)) & (comp[:, None] != comp)
+    members = np.split(np.argsort(comp, kind="stable"), np.cumsum(np.bincount(comp))[:-1])
     found, reached = [], np.zeros(len(sets), bool)
-    for start in np.flatnonzero(near.any(axis=1)):
-        queue = [] if reached[start] else [start]
-        reached[start] = True
+    for start in np.unique(comp[near.any(axis=1)]):
+        queue = [] if reached[members[start][0]] else [start]
+        reached[members[start]] = True
         while queue:
-            i = queue.pop()
-            fresh = np.flatnonzero(near[i] & ~reached)
-            reached[fresh] = True
-            found += [(fps[i], fps[j]) for j in fresh]
-            queue += list(fresh)
+            for i in members[queue.pop()]:
+                for j in np.flatnonzero(near[i] & ~reached):
+                    if not reached[j]:
+                        reached[members[comp[j]]] = True
+                        found.append((fps[i], fps[j]))
+                        queue.append(comp[j])
     return found
 
 
@@ -229,7 +234,7 @@ def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     edges = checkpointed(_verified(_ordered(_small_pairs(members).unionByName(met)), sets))
     open_ = checkpointed(_open(crowded, pivots, edges))
     if open_.limit(1).count():
-        edges = edges.unionByName(_block_links(open_, sets))
+        edges = _ordered(edges.unionByName(_block_links(open_, sets)))  # many keys give the same links
     return components(ranks, edges)
 
 

@@ -116,6 +116,28 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch, paired, nodes, columns):
     assert got == want and len({c for _, _, c in want}) > 8
 
 
+def test_links_are_fewer_than_components():
+    """Six like sets under two pivots take one link; without pivots five."""
+    like = [np.append(np.arange(100), 1000 + i) for i in range(6)] + [np.arange(5000, 5100)]
+    names = [bytes([i]) for i in range(7)]
+    assert len(minhash.joining_links(names, [names[0]] * 3 + [names[3]] * 3 + [names[6]], like)) == 1
+    assert len(minhash.joining_links(names, names, like)) == 5
+
+
+def test_each_link_is_followed_once(spark, monkeypatch):
+    """Near copies that share many keys, none of which is small."""
+    monkeypatch.setattr(minhash, "PAIRED", 2)
+    seen = []
+    components = minhash.components
+    monkeypatch.setattr(minhash, "components", lambda ranks, edges: seen.append(edges) or components(ranks, edges))
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(120)]
+    docs = list(enumerate(edited(rng, words, rng.choice([0, 1, 2, 3, 4])) for _ in range(80)))
+    assert found(minhash.group(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    links = [tuple(sorted((bytes(r.a), bytes(r.b)))) for r in seen[0].collect()]
+    assert len(links) == len(set(links)) > 20
+
+
 def test_threshold_is_exact(spark):
     """Sets of 90 and 100 - k, on both sides of 85 per cent."""
     base = [f"w{i}" for i in range(104)]  # 100 shingles
