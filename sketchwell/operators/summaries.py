@@ -13,6 +13,8 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from . import states
 
 #: Groups whose states a task holds before it hands them on; shares in which a group's states merge first.
 HELD, SHARES = 10_000, 64
+#: Rows that a task gathers before it drops those that cannot be in a reservoir.
+GATHERED = 200_000
 
 
 def grid_histogram(df: DataFrame, keys: list[str], x: str, bins: int) -> DataFrame:
@@ -294,7 +298,47 @@ def even_quantiles(sketches: DataFrame, keys: list[str], n: int) -> DataFrame:
 def reservoir(df: DataFrame, keys: list[str], row_id: str, x: str, k: int, seed: int = 42) -> DataFrame:
     """(keys, x, priority): the k rows of least hash of each group, the same whatever the partitions; merges by taking them again."""
     rows = df.select(*keys, F.col(x).alias("x"), F.xxhash64(F.lit(seed), F.col(row_id)).alias("priority"))
-    return merge_reservoirs(rows, keys, k)
+    return merge_reservoirs(least_of_tasks(rows, keys, k), keys, k)
+
+
+def least_of_tasks(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """rows (keys, x, priority) without those that more than k of their group precede in their task.
+
+    A task holds k rows of each group and the next GATHERED rows, so that it neither sorts nor shuffles
+    a whole table; it hands on what it holds at over HELD groups' worth of rows.
+    """
+
+    def least(held: pa.Table) -> pa.Table:
+        code = np.zeros(held.num_rows, "int64")
+        for c in keys:
+            found = pc.dictionary_encode(held[c], null_encoding="encode").combine_chunks()
+            code = np.unique(code * max(1, len(found.dictionary)) + found.indices.to_numpy(), return_inverse=True)[1]
+        x = pc.cast(held["x"], pa.float64(), safe=False)
+        value = pc.fill_null(x, 0.0).to_numpy()
+        order = np.lexsort((value, pc.is_valid(x).to_numpy(), held["priority"].to_numpy(), code))  # nulls first, as Spark has them
+        first = np.searchsorted(code[order], code[order])
+        return held.take(pa.array(np.sort(order[np.arange(len(order)) - first < k]))).combine_chunks()
+
+    def run(batches):
+        held, waiting, n = None, [], 0
+
+        def gathered():
+            return least(pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches(waiting)]))
+
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n >= GATHERED:
+                held, waiting, n = gathered(), [], 0
+                if held.num_rows > HELD * 100:
+                    yield from held.to_batches()
+                    held = None
+        if waiting:
+            held = gathered()
+        if held is not None:
+            yield from held.to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def merge_reservoirs(rows: DataFrame, keys: list[str], k: int) -> DataFrame:

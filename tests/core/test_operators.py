@@ -224,3 +224,23 @@ def test_rank_errors_send_no_rows_of_the_data(spark, tmp_path, monkeypatch, sent
     plan = errors._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and ("BuildRight" in plan) == bool(sent)
     assert sorted((r.g or 0, r.n, round(r.rank_error, 6)) for r in errors.collect()) == [(0, 1000, 0.099), (1, 1000, 0.0)]
+
+
+@pytest.mark.parametrize(("gathered", "held"), [(7, 10_000), (7, 0), (200_000, 10_000)])
+def test_reservoirs_shuffle_what_tasks_leave(spark, monkeypatch, gathered, held):
+    """Null keys and values, repeated rows, equal ids; the k least rows come out, and few go to the shuffle."""
+    monkeypatch.setattr(Y, "GATHERED", gathered)
+    monkeypatch.setattr(Y, "HELD", held)
+    rows = [(i % 3 or None, "ab"[i % 2], 2**60 + i // 2, None if i % 7 == 0 else float(i % 11)) for i in range(3000)] + [(1, "a", 5, 1.0)] * 50
+    df = spark.createDataFrame(rows, "g long, h string, id long, x double").repartition(3)
+    want = {}
+    for r in df.select("g", "h", "x", F.xxhash64(F.lit(42), "id").alias("priority")).collect():
+        want.setdefault((r.g, r.h), []).append((r.priority, r.x is not None, r.x or 0.0))
+    got = {}
+    for r in Y.reservoir(df, ["g", "h"], "id", "x", 20).collect():
+        got.setdefault((r.g, r.h), []).append((r.priority, r.x is not None, r.x or 0.0))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:20] for k, v in want.items()}
+    left = Y.least_of_tasks(df.select("g", "h", "x", F.xxhash64(F.lit(42), "id").alias("priority")), ["g", "h"], 20).count()
+    assert left <= 3 * 6 * 20 if held else left <= 3050
+    assert Y.reservoir(df, [], "id", "x", 20).count() == 20
+    assert Y.reservoir(df.where("id < 0"), ["g"], "id", "x", 20).count() == 0
