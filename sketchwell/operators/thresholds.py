@@ -45,7 +45,7 @@ def cascade(states: DataFrame, t: str, share: float, order: int | None = None, f
 
     def use(found, pdf):
         at = pdf[t].astype("float64").tolist()
-        bounds = [S.above_bounds(s, v) for s, v in zip(found, at, strict=True)]
+        bounds = S.above_bounds_all(found, at)
         open_ = [i for i, (low, high) in enumerate(bounds) if not (low > share + MOMENT_SLACK or high < share - MOMENT_SLACK)]
         if not fit:
             left = set(open_)
@@ -77,7 +77,7 @@ def tail_bounds(states: DataFrame, t: float) -> DataFrame:
     """states with lo and hi, the bounds of the share above t, and share, its estimate."""
 
     def use(found, _):
-        bounds = [S.above_bounds(s, t) for s in found]
+        bounds = S.above_bounds_all(found, [t] * len(found))
         inside = [i for i, s in enumerate(found) if s.lo <= t < s.hi]
         densities = dict(zip(inside, S.fit_all([found[i] for i in inside]), strict=True))
         return [[b[0] for b in bounds], [b[1] for b in bounds], [1 - densities[i].share_below(t) if i in densities else b[0] for i, b in enumerate(bounds)]]

@@ -120,3 +120,21 @@ def test_widths_agree_and_orders_are_guarded():
     far = state(1e6 + np.linspace(0, 1, 500), 10, logs=False)
     qs, _ = S.quantiles(far, [0.5])
     assert abs(qs[0] - 1e6 - 0.5) < 0.05
+
+
+def test_bounds_of_many_states_are_those_of_each():
+    """Few and equal values, signs, ties at the cut, narrow and wide groups, numbers that overflow."""
+    rng = np.random.default_rng(8)
+    draws = [lambda n: rng.exponential(50, n), lambda n: rng.normal(0, 1, n), lambda n: rng.integers(0, 3, n).astype(float), lambda n: 1e6 + rng.random(n), lambda n: rng.lognormal(0, 3, n), lambda n: rng.random(n) * 1e80]
+    states, xs = [], []
+    for i in range(600):
+        x = draws[i % len(draws)](1 + i % 40)
+        sums, positive = [float((x**k).sum()) for k in range(7)], x[x > 0]
+        logs = np.log(positive) if len(positive) else np.array([0.0])
+        states.append(S.State(float(x.min()), float(x.max()), tuple(sums), float(logs.min()), float(logs.max()), tuple(float((logs**k).sum()) for k in range(7)) if len(positive) else ()))
+        xs.append(float([x.mean(), x[0], x.min() - 1, x.max(), 1.0][i % 5]))
+    with np.errstate(all="ignore"):
+        each = [S.above_bounds(s, x) for s, x in zip(states, xs)]
+    many = S.above_bounds_all(states, xs)
+    assert np.abs(np.array(each) - np.array(many)).max() < 1e-6  # MOMENT_SLACK
+    assert S.above_bounds_all([], []) == []
