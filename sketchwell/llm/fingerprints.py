@@ -14,6 +14,8 @@ WIDTHS in turn; a section that fails at all of them is compared by its digests.
 their own, so that none filters all digests; they are exploded from one array that is made before, since an
 explode copies whatever else its row holds for each digest (measured, two texts: 16,000 lines 19 s,
 32,000 lines 20 s, 64,000 lines 30 s; with the arrays in the row 64,000 lines took 69 s on a faster day).
+That array is never empty and the explode is an outer one: for an inner one Spark infers a filter on the
+array's size, pushes it down to the texts and makes all digests, tables and peelings for it once more.
 
 Null text counts as empty; empty text has no digest and an empty table, two of which are alike (1).
 Repeated rows come one after the other: equal ids are ordered by a hash of their text; null ids come
@@ -206,7 +208,7 @@ def compare(found: DataFrame) -> DataFrame:
     failed = [F.when(F.col(f"near_{i}").isNull(), dealt(i, F.col("d0"), F.col(f"d{i}"))).otherwise(none) for i in (1, 2)]
     own = F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).cast("long").alias("section"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k")))
     ready = done.select("_range", "_place", kept.alias("_kept"), F.concat(own, *failed).alias("_all"))  # no other array goes into the explode
-    rows = ready.select("_range", "_place", "_kept", F.explode("_all").alias("e"))
+    rows = ready.select("_range", "_place", "_kept", F.explode_outer("_all").alias("e"))
     rows = rows.select("_range", "_place", "e", F.when(F.col("e.pair") == 0, F.col("_kept")).alias("kept"))
     found = recovered(rows, ["_range", "_place"])
     sums = [F.sum(F.when(F.col("pair") == i, F.size("found"))).alias(f"_far_{i}") for i in (1, 2)]

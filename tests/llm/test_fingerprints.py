@@ -116,6 +116,13 @@ def test_very_long_text(spark):
         assert abs(rows[k]["near_edited"] - want[k][2]) < 1e-9 and abs(rows[k]["near_next"] - want[k][3]) < 1e-9
 
 
+def test_no_filter_makes_the_tables_once_more(spark):
+    df = spark.createDataFrame([(1, "One. Two."), (2, None)], "doc_id long, text string")
+    plan = fingerprints.compare(fingerprints.versions(df))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not [line for line in filters if "size(" in line or "xxhash64" in line]
+
+
 def test_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, digests string, next_text int"
     data = [(1, None, "x", 1), (None, "Null id.", None, 2), (3, "One. Two.\nThree.", "x", 1), (3, "One. Two.\nThree.", "x", 1), (9, "", "x", 1)]
