@@ -127,21 +127,27 @@ def outputs(p: dict[str, np.ndarray], h: np.ndarray, targets: np.ndarray, grad:
     return logp, dh
 
 
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """Rows of three gates as three arrays."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2))
+
+
 def _run(p, given, starts, h, kept=None) -> np.ndarray:
     """States of steps x lanes; with kept, also what the way back needs.
 
-    Gates are halved sums, since a sigmoid is half a tanh of half its sum and a half.
+    Gates are halved sums, since a sigmoid is half a tanh of half its sum and a half. They lie one behind
+    the other (gates x lanes x HIDDEN), so that each step's sums run over whole blocks of memory.
     """
     H = HIDDEN
     half = np.repeat(np.array([0.5, 0.5, 1.0], h.dtype), H)
-    gx, wh = (half * (p["emb"] @ p["wx"] + p["b"]))[given], half * p["wh"]
+    gx, wh = np.take(_by_gate(half * (p["emb"] @ p["wx"] + p["b"])), given, axis=1), _by_gate(half * p["wh"])
     n_steps, n = given.shape
     states = np.empty((n_steps, n, H), h.dtype)
     if kept is not None:
-        kept |= {"zr": np.empty((n_steps, n, 2 * H), h.dtype), "new": np.empty_like(states), "back": np.empty_like(states), "before": np.empty_like(states)}
+        kept |= {"zr": np.empty((n_steps, 2, n, H), h.dtype), "new": np.empty_like(states), "back": np.empty_like(states), "before": np.empty_like(states)}
     fresh = starts.any(axis=1)
-    gh = np.empty((n, 3 * H), h.dtype)
-    zr, new = np.empty((n, 2 * H), h.dtype), np.empty((n, H), h.dtype)
+    gh = np.empty((3, n, H), h.dtype)
+    zr, new = np.empty((2, n, H), h.dtype), np.empty((n, H), h.dtype)
     for t in range(n_steps):
         if fresh[t]:
             h = np.where(starts[t][:, None], np.zeros((), h.dtype), h)
@@ -149,18 +155,18 @@ def _run(p, given, starts, h, kept=None) -> np.ndarray:
             zr, new = kept["zr"][t], kept["new"][t]
             kept["before"][t] = h
         np.matmul(h, wh, out=gh)
-        np.add(gx[t, :, : 2 * H], gh[:, : 2 * H], out=zr)
+        np.add(gx[:2, t], gh[:2], out=zr)
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
         if kept is not None:
-            kept["back"][t] = gh[:, 2 * H :]
-        np.multiply(zr[:, H:], gh[:, 2 * H :], out=new)
-        new += gx[t, :, 2 * H :]
+            kept["back"][t] = gh[2]
+        np.multiply(zr[1], gh[2], out=new)
+        new += gx[2, t]
         np.tanh(new, out=new)
         out = states[t]
         np.subtract(h, new, out=out)
-        out *= zr[:, :H]
+        out *= zr[0]
         out += new
         h = out
     return states
@@ -203,31 +209,33 @@ def window_gradient(p, inputs, targets, starts, h):
     dall = np.zeros_like(every)
     dall[live] = dlive
     dall = dall.reshape(states.shape)
-    z, r, new = kept["zr"][:, :, :H], kept["zr"][:, :, H:], kept["new"]
+    z, r, new = kept["zr"][:, 0], kept["zr"][:, 1], kept["new"]
     to_z, to_new, to_r = (kept["before"] - new) * z * (1 - z), (1 - z) * (1 - new * new), kept["back"] * r * (1 - r)
-    dgx, dgh = np.empty((n_steps, n, 3 * H), h.dtype), np.empty((n_steps, n, 3 * H), h.dtype)
-    back, fresh = np.ascontiguousarray(p["wh"].T), starts.any(axis=1)
-    dh = np.zeros((n, H), h.dtype)
+    dgx, dback = np.empty((3, n_steps, n, H), h.dtype), np.empty((n_steps, n, H), h.dtype)  # dback: of the last gate's share of the state
+    back, fresh = np.ascontiguousarray(_by_gate(p["wh"]).transpose(0, 2, 1)), starts.any(axis=1)
+    dh, part = np.zeros((n, H), h.dtype), np.empty((n, H), h.dtype)
     for t in range(n_steps - 1, -1, -1):
         d = dall[t]
         d += dh
-        x = dgx[t]
-        np.multiply(d, to_z[t], out=x[:, :H])
-        np.multiply(d, to_new[t], out=x[:, 2 * H :])
-        np.multiply(x[:, 2 * H :], to_r[t], out=x[:, H : 2 * H])
-        dgh[t, :, : 2 * H] = x[:, : 2 * H]
-        np.multiply(x[:, 2 * H :], r[t], out=dgh[t, :, 2 * H :])
-        np.matmul(dgh[t], back, out=dh)
+        np.multiply(d, to_z[t], out=dgx[0, t])
+        np.multiply(d, to_new[t], out=dgx[2, t])
+        np.multiply(dgx[2, t], to_r[t], out=dgx[1, t])
+        np.multiply(dgx[2, t], r[t], out=dback[t])
+        np.matmul(dback[t], back[2], out=dh)
+        for k in (0, 1):
+            np.matmul(dgx[k, t], back[k], out=part)
+            dh += part
         d *= z[t]
         dh += d
         if fresh[t]:
             dh[starts[t]] = 0
-    dgx, dgh = dgx.reshape(-1, 3 * H), dgh.reshape(-1, 3 * H)
-    g["wh"] += kept["before"].reshape(-1, H).T @ dgh
+    before, dgx = kept["before"].reshape(-1, H).T, dgx.reshape(3, -1, H)
+    for k, d in enumerate((dgx[0], dgx[1], dback.reshape(-1, H))):
+        g["wh"][:, k * H : (k + 1) * H] += before @ d
     seen = given.reshape(-1)
     order = np.argsort(seen, kind="stable")
     symbols, first = np.unique(seen[order], return_index=True)
-    dtable = np.add.reduceat(dgx[order], first, axis=0)
+    dtable = np.hstack([np.add.reduceat(d[order], first, axis=0) for d in dgx])
     g["emb"][symbols] += dtable @ p["wx"].T
     g["wx"] += p["emb"][symbols].T @ dtable
     g["b"] += dtable.sum(axis=0)

@@ -53,6 +53,22 @@ def test_gradient_equals_differences():
         assert abs(slope - g[i]) < 1e-6 + 1e-4 * abs(slope)
 
 
+def test_gates_lie_apart_and_states_equal_a_plain_recurrence():
+    rng = np.random.default_rng(2)
+    p = gru.views(rng.standard_normal(gru.SIZE) * 0.3)
+    given, h, H = rng.integers(0, gru.SYMBOLS, (6, 5)), rng.standard_normal((5, gru.HIDDEN)), gru.HIDDEN
+    starts = rng.random((6, 5)) < 0.3
+    kept = {}
+    states = gru._run(p, given, starts, h, kept)
+    assert kept["zr"].shape == (6, 2, 5, H)
+    for t in range(6):
+        h = np.where(starts[t][:, None], 0, h)
+        x, y = p["emb"][given[t]] @ p["wx"] + p["b"], h @ p["wh"]
+        z, r = (1 / (1 + np.exp(-x[:, k : k + H] - y[:, k : k + H])) for k in (0, H))
+        h = z * h + (1 - z) * np.tanh(x[:, 2 * H :] + r * y[:, 2 * H :])
+        assert np.allclose(states[t], h) and np.allclose(kept["zr"][t], [z, r])
+
+
 def test_symbols_of_a_text_sum_to_one_and_lanes_do_not_matter():
     rng = np.random.default_rng(1)
     flat = gru.initial(rng.integers(1, 50, gru.SYMBOLS))
